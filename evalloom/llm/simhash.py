@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm._shared import materialize, table
@@ -82,15 +82,16 @@ def plan(n: int, max_bits: int = MAX_BITS, width: int = 64) -> list[tuple[int, i
 def probes(fps: DataFrame, segments: list[tuple[int, int, int]]) -> DataFrame:
     """(key, fp): under each segment's value, and under the values of its ball that are smaller than its own. Of two
     fingerprints with different values, one has the smaller, so one of the two always meets the other."""
+    def ball(value: Column, tag: Column, masks: list[int]) -> Column:
+        around = F.transform(F.array(*map(F.lit, masks)).cast("array<long>"), lambda m: value.bitwiseXOR(m))
+        return F.transform(F.filter(around, lambda x: x < value), lambda x: x.bitwiseOR(tag))
+
     keys = []
     for i, (first, bits, radius) in enumerate(segments):
-        value = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1))
-        masks = [sum(1 << b for b in flips) for k in range(1, radius + 1) for flips in itertools.combinations(range(bits), k)]
-        tag = F.lit(i << 48)
+        value, tag = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1)), F.lit(i << 48)
         keys.append(F.array(value.bitwiseOR(tag)))
-        if masks:
-            ball = F.transform(F.array(*map(F.lit, [m | 0 for m in masks])).cast("array<long>"), lambda m, v=value: v.bitwiseXOR(m))
-            keys.append(F.transform(F.filter(ball, lambda x, v=value: x < v), lambda x, t=tag: x.bitwiseOR(t)))
+        if masks := [sum(1 << b for b in flips) for k in range(1, radius + 1) for flips in itertools.combinations(range(bits), k)]:
+            keys.append(ball(value, tag, masks))
     return fps.select(F.explode(F.concat(*keys)).alias("key"), "fp")
 
 
