@@ -31,6 +31,8 @@ from evalloom.llm._shared import materialize, table
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Buckets up to this many rows are compared by shifted arrays; larger ones by growing components.
 SMALL_BUCKET = 48
+#: Ids (16 bytes each) up to which keep_one broadcasts them; beyond, it shuffles.
+BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -197,12 +199,19 @@ def near_components(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_B
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs of which no component has a smaller doc_id; of rows that share that doc_id, one stays."""
     found = near_components(docs, **how)
-    kept = found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_sh_id")).agg(F.count("*").alias("_sh_n"))
-    kept = materialize(kept, "kept")
-    many = kept.where("_sh_n > 1")
-    rows = docs.join(kept.where("_sh_n = 1"), docs.doc_id.eqNullSafe(kept["_sh_id"]), "left_semi")
-    again = docs.join(many, docs.doc_id.eqNullSafe(many["_sh_id"]), "left_semi")
-    return rows.unionByName(again.dropDuplicates(["doc_id"])).select(*docs.columns)
+    keeps = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = found.groupBy(F.col("doc_id").alias("_sh_id")).agg(F.count_if(keeps).alias("_sh_keeps"), F.count("*").alias("_sh_n"))
+    # ids of rows that don't just stay: few beside the documents, so that texts need no shuffle while they are
+    special = materialize(ids.where("_sh_keeps = 0 or _sh_n > 1"), "special")
+    few = special.count() <= BROADCAST_IDS
+    side = F.broadcast(special) if few else special
+    rows = docs.join(side, docs.doc_id.eqNullSafe(side["_sh_id"]), "left_anti")
+    many = special.where("_sh_keeps > 0")
+    if many.limit(1).count():
+        many = F.broadcast(many) if few else many
+        again = docs.join(many, docs.doc_id.eqNullSafe(many["_sh_id"]), "left_semi")
+        rows = rows.unionByName(again.dropDuplicates(["doc_id"]))
+    return rows.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
