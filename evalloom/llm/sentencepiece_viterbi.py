@@ -17,10 +17,10 @@ a text are ordinary text; decoding drops the blank that encoding put in front. T
 from __future__ import annotations
 
 import hashlib
-import itertools
 import re
 import sys
 import types
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -285,12 +285,15 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         lead = BLANK if self.model.dummy_prefix else ""
-        found = [self.split((lead + t).replace(" ", BLANK)) if t else [] for t in texts]
-        different = dict.fromkeys(itertools.chain.from_iterable(found))
-        index = dict(zip(different, range(len(different)), strict=True))
-        every = np.fromiter(map(index.__getitem__, itertools.chain.from_iterable(found)), np.int64)
-        ends = np.cumsum([len(x) for x in found]).astype(np.int64)
-        del found
+        index: defaultdict[str, int] = defaultdict()
+        index.default_factory = index.__len__  # a new word gets the next number
+        places = []
+        for t in texts:
+            words = self.split((lead + t).replace(" ", BLANK)) if t else []
+            places.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
+        ends = np.cumsum([len(x) for x in places]).astype(np.int64)
+        every = np.concatenate(places) if places else np.zeros(0, np.int32)
+        del places
         by_size: dict[int, list[str]] = {}
         for w in index:
             by_size.setdefault(len(w), []).append(w)
