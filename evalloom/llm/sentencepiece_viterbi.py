@@ -35,6 +35,8 @@ from evalloom.llm._shared import over_texts, table
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK, BASE, BITMAP, PAIRS = "▁", np.uint64(0x9E3779B97F4A7C15), 1 << 20, 1 << 21
 UNK_PENALTY = 10.0
+#: Characters of equal-length words that advance together; their tables take about 150 bytes each.
+CELLS = 1 << 17
 NOT_A_PIECE = -1
 
 
@@ -291,6 +293,7 @@ class Encoder:
         for t in texts:
             words = self.split((lead + t).replace(" ", BLANK)) if t else []
             places.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
+        index.default_factory = None  # it refers back to index, which only a full collection would free
         ends = np.cumsum([len(x) for x in places]).astype(np.int64)
         every = np.concatenate(places) if places else np.zeros(0, np.int32)
         del places
@@ -299,15 +302,20 @@ class Encoder:
             by_size.setdefault(len(w), []).append(w)
         ids, counts, order = [], [], []
         for n, words in by_size.items():
-            x, c = self.viterbi(words, n)
-            ids.append(x)
-            counts.append(c)
-            order.append(np.array([index[w] for w in words], np.int64))
+            rows = max(1, CELLS // n)
+            for start in range(0, len(words), rows):
+                block = words[start : start + rows]
+                x, c = self.viterbi(block, n)
+                ids.append(x.astype(np.int32))
+                counts.append(c)
+                order.append(np.fromiter(map(index.__getitem__, block), np.int32, len(block)))
+        n_words = len(index)
+        del index, by_size
         if not ids:
             return [np.zeros(0, np.int32) for _ in texts]
         flat, count = self.spelled(np.concatenate(ids), np.concatenate(counts))
-        place = np.empty(len(index), np.int64)
-        place[np.concatenate(order)] = np.arange(len(index))
+        place = np.empty(n_words, np.int64)
+        place[np.concatenate(order)] = np.arange(n_words)
         start = np.cumsum(count) - count
         where = place[every]
         n = count[where]
