@@ -83,6 +83,7 @@ def over_texts(function, returns: str, limit: int = CHUNK_BYTES):
     import pyarrow as pa
 
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # trim() reaches its memory
         for texts in batches:
             out, chunk, held = [], [], 0
             for x in texts:
