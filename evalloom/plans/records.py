@@ -117,3 +117,62 @@ def evolving_union(spark, d):
     e = eval_long(spark, d)
     old, new = e.where("config = 2").select("config", "idx", "predicted"), e.where("config = 9").select("config", "idx", "predicted", "error")
     return old.unionByName(new, allowMissingColumns=True).groupBy("config").agg(F.count("*").alias("n"), F.count("error").alias("with_error"))
+
+
+@register("""SELECT conv_id, turn, text AS content, CASE WHEN turn % 3 = 0 THEN 'length' ELSE 'stop' END AS finish_reason, CAST(coalesce(CASE WHEN turn % 2 = 0 THEN turn * 1.5 END, 0) AS DOUBLE) AS tok_s FROM conversations WHERE text IS NOT NULL""")
+def chat_fields(spark, d):
+    """A chat response as JSON and its fields read back, with defaults where a path is missing."""
+    turn = F.col("turn")
+    timings = F.struct(F.when(turn % 2 == 0, turn * 1.5).alias("predicted_per_second"))
+    choice = F.struct(F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content")).alias("message"), F.when(turn % 3 == 0, "length").alias("finish_reason"))
+    body = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.to_json(F.struct(F.array(choice).alias("choices"), timings.alias("timings"))).alias("body"))
+    at = lambda path, default: F.coalesce(F.get_json_object("body", path), F.lit(default))
+    return body.select("conv_id", "turn", at("$.choices[0].message.content", "").alias("content"), at("$.choices[0].finish_reason", "stop").alias("finish_reason"), at("$.timings.predicted_per_second", "0").cast("double").alias("tok_s"))
+
+
+@register("""WITH c AS (SELECT p_partkey, [CAST(p_size AS VARCHAR), CAST(p_partkey AS VARCHAR), 'none'] AS choices, chr(CAST(65 + p_partkey % 5 AS INT)) AS letter FROM part)
+SELECT p_partkey, letter, CASE letter WHEN 'A' THEN TRY_CAST(choices[1] AS DOUBLE) WHEN 'B' THEN TRY_CAST(choices[2] AS DOUBLE) END AS value FROM c""")
+def choice_values(spark, d):
+    """The number behind a choice letter; null beyond the choices or for a choice that is no number."""
+    p = table(spark, d, "part").select("p_partkey", F.array(F.col("p_size").cast("string"), F.col("p_partkey").cast("string"), F.lit("none")).alias("choices"), F.char(F.col("p_partkey") % 5 + 65).alias("letter"))
+    return p.select("p_partkey", "letter", F.try_element_at("choices", F.ascii("letter") - 64).try_cast("double").alias("value"))
+
+
+@register(f"""WITH {EVAL}, s AS (SELECT config, dataset, count(*) AS target, count(*) FILTER (WHERE NOT (error IS NOT NULL AND idx % 2 = 0)) AS done FROM e GROUP BY ALL)
+SELECT config, count(*) AS datasets, bool_and(done = target) AS complete, CAST(sum(target - done) AS BIGINT) AS pending, CASE WHEN bool_and(done = target) THEN 'complete' WHEN sum(done) = 0 THEN 'not run' ELSE 'partial' END AS status FROM s GROUP BY config""")
+def run_status(spark, d):
+    """Whether all datasets of a run are complete; placeholders of an unavailable server are pending, other errors done."""
+    waits = paired.failed() & (F.col("idx") % 2 == 0)
+    s = eval_long(spark, d).groupBy("config", "dataset").agg(F.count("*").alias("target"), F.count_if(~waits).alias("done"))
+    whole = F.bool_and(F.col("done") == F.col("target"))
+    status = F.when(whole, "complete").when(F.sum("done") == 0, "not run").otherwise("partial")
+    return s.groupBy("config").agg(F.count("*").alias("datasets"), whole.alias("complete"), F.sum(F.col("target") - F.col("done")).alias("pending"), status.alias("status"))
+
+
+@register(f"""WITH {REQUESTS}, m AS (SELECT config, k, round(avg(wall_ms), 6) AS v FROM r WHERE wall_ms IS NOT NULL GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY config ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY config) AS n FROM m)
+SELECT config, max(v) FILTER (WHERE i = CAST(floor(n * 25 / 1000) AS BIGINT)) AS lo, max(v) FILTER (WHERE i = CAST(floor(n * 975 / 1000) AS BIGINT)) AS hi FROM o GROUP BY config""")
+def order_statistic_interval(spark, d):
+    """An interval from sorted replicates by position, not interpolated. The replicates of a config, here one a key k, are few."""
+    m = requests(spark, d).where("wall_ms is not null").groupBy("config", "k").agg(F.round(F.avg("wall_ms"), 6).alias("v"))
+    s = m.groupBy("config").agg(F.array_sort(F.collect_list("v")).alias("v"))
+    at = lambda q: F.element_at("v", (F.floor(F.size("v") * q / 1000) + 1).cast("int"))
+    return s.select("config", at(25).alias("lo"), at(975).alias("hi"))
+
+
+@register("""SELECT o_custkey, count(*) AS sessions, CAST(count(*) - 1 AS BIGINT) AS resumes, round(sum(o_totalprice), 2) AS elapsed FROM orders GROUP BY o_custkey""")
+def session_totals(spark, d):
+    """Elapsed time over all sessions of a run, and how often it was resumed."""
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("sessions"), (F.count("*") - 1).alias("resumes"), F.round(F.sum("o_totalprice"), 2).alias("elapsed"))
+
+
+@register(f"""WITH {EVAL}, g AS (SELECT config, dataset, sum(score) AS s, count(*) AS n FROM v GROUP BY ALL), q AS (SELECT o.config, o.dataset, CAST(round(100000.0 * (o.s * b.n - b.s * o.n) / (o.n * b.n)) AS BIGINT) AS m FROM g o JOIN g b ON b.config = 2 AND b.dataset = o.dataset AND o.config <> 2)
+SELECT config, dataset, CASE WHEN m >= 0 THEN '+' ELSE '-' END || CAST(abs(m) // 1000 AS VARCHAR) || '.' || lpad(CAST(abs(m) % 1000 AS VARCHAR), 3, '0') || CASE WHEN abs(m) > 5000 THEN '*' ELSE '' END AS cell FROM q""")
+def delta_cells(spark, d):
+    """Signed report cells, +0.000 for nothing, with a mark on large deltas."""
+    g = valid(eval_long(spark, d)).groupBy("config", "dataset").agg(F.sum("score").alias("s"), F.count("*").alias("n"))
+    b = g.where(F.col("config") == BASE).select("dataset", F.col("s").alias("bs"), F.col("n").alias("bn"))
+    m = F.round((F.col("s") * F.col("bn") - F.col("bs") * F.col("n")) * 100000.0 / (F.col("n") * F.col("bn"))).cast("long")
+    q = g.where(F.col("config") != BASE).join(b, "dataset").select("config", "dataset", m.alias("m"))
+    part = F.abs("m")
+    digits = F.concat(F.floor(part / 1000).cast("string"), F.lit("."), F.lpad((part % 1000).cast("string"), 3, "0"))
+    return q.select("config", "dataset", F.concat(F.when(F.col("m") >= 0, "+").otherwise("-"), digits, F.when(part > 5000, "*").otherwise("")).alias("cell"))
