@@ -37,11 +37,17 @@ def read_resumable(spark: SparkSession, path: str, schema: str = RESULT) -> Data
     return checked.where("ok").select("row.*").drop("_corrupt")
 
 
-def discover(spark: SparkSession, path: str) -> DataFrame:
-    """(file, config, short, dataset) of the result files below path; error lists are left out."""
+def discover(spark: SparkSession, path: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """(file, config, short, dataset) of the result files below path; error lists and files below folders named in exclude
+    are left out. Two files for one config and dataset raise when the rows are used."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "config*.jsonl").load(path).select(F.col("path").alias("file"))
     part = lambda i: F.regexp_extract("file", NAME, i)
-    return files.select("file", part(1).alias("config"), part(2).alias("short"), part(3).alias("dataset")).where("config <> '' and dataset not like '%\\_poison'")
+    found = files.select("file", part(1).alias("config"), part(2).alias("short"), part(3).alias("dataset")).where("config <> '' and dataset not like '%\\_poison'")
+    if exclude:
+        found = found.where(~F.arrays_overlap(F.split("file", "/"), F.array(*map(F.lit, exclude))))
+    one = found.groupBy("config", "dataset").agg(F.min(F.struct("file", "short")).alias("f"), F.max("file").alias("other"))
+    clash = F.raise_error(F.concat_ws(" ", F.lit("two files for one run:"), "f.file", "other"))
+    return one.select(F.when(F.col("other") != F.col("f.file"), clash).otherwise(F.col("f.file")).alias("file"), "config", "f.short", "dataset")
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:

@@ -58,3 +58,12 @@ def test_similarity(spark):
     rows = spark.createDataFrame([("stop", "stpo"), ("12", "19"), ("new york", "york"), ("abc", "xyz"), (None, "a"), ("a", "a")], "a string, b string")
     got = rows.select(F.round(similarity("a", "b"), 3).alias("s"), answer_category(F.col("a"), F.col("b")).alias("c")).collect()
     assert [r.s for r in got][:1] == [0.75] and [r.c for r in got] == ["misread", "number", "extent", "different", "different", "different"]
+
+
+def test_discovery_refuses_two_files_of_a_run(spark, tmp_path):
+    for d in ("a", "old"):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "config2_F16__textvqa.jsonl").write_text("{}\n")
+    assert [r.config for r in results.discover(spark, str(tmp_path), ("old",)).collect()] == ["2"]
+    with pytest.raises(Exception, match="two files"):
+        results.discover(spark, str(tmp_path)).collect()
