@@ -31,7 +31,7 @@ from evalloom.llm._shared import materialize, table
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Buckets up to this many rows are compared by shifted arrays; larger ones by growing components.
 SMALL_BUCKET = 48
-#: Ids (16 bytes each) up to which keep_one broadcasts them; beyond, it shuffles.
+#: Row keys (doc_id and hashes of the text, 20 bytes each) up to which keep_one broadcasts them; beyond, it shuffles.
 BROADCAST_IDS = 1_000_000
 
 
@@ -53,15 +53,22 @@ def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def row_key() -> list[Column]:
+    """doc_id and 96 bits of hashes of the text: rows that agree in it hold the same text, so are of one component."""
+    text = F.col("text").cast("binary")
+    return [F.col("doc_id").cast("long").alias("_sh_id"), F.xxhash64(text).alias("_sh_a"), F.hash(text).alias("_sh_b")]
+
+
 def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) of each row; fp is the fingerprint as a signed long."""
+    """(doc_id, fp, _sh_a, _sh_b) of each row; fp is the fingerprint as a signed long, the others are of row_key()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py() or b"", width, seed) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), b.column(2), b.column(3)], ["doc_id", "fp", "_sh_a", "_sh_b"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *row_key()[1:])
+    return rows.mapInArrow(run, "doc_id long, fp long, _sh_a long, _sh_b int")
 
 
 def plan(n: int, max_bits: int = MAX_BITS, width: int = 64) -> list[tuple[int, int, int]]:
@@ -184,34 +191,51 @@ def components(edges: DataFrame) -> DataFrame:
         star = small.union(low).where("u <> v").distinct()
 
 
-def near_components(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id that links of up to max_bits reach."""
+def placed(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
+    """fingerprints() of the rows, with root (of the component, also where all its ids are null) and component_id."""
     own = materialize(fingerprints(docs, width, seed), "fingerprints")
     different = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "different")
     found = components(materialize(links(different.select("fp"), different.count(), max_bits), "links"))
     rooted = different.join(found, different.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    reach = materialize(rooted.join(ids, "root").select("fp", "component_id"), "reach")
-    return own.join(reach, "fp").select("doc_id", "fp", "component_id")
+    reach = materialize(rooted.join(ids, "root").select("fp", "root", "component_id"), "reach")
+    return own.join(reach, "fp")
+
+
+def near_components(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
+    """(doc_id, fp, component_id): the smallest doc_id that links of up to max_bits reach."""
+    return placed(docs, width, max_bits, seed).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs of which no component has a smaller doc_id; of rows that share that doc_id, one stays."""
-    found = near_components(docs, **how)
-    keeps = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ids = found.groupBy(F.col("doc_id").alias("_sh_id")).agg(F.count_if(keeps).alias("_sh_keeps"), F.count("*").alias("_sh_n"))
-    # ids of rows that don't just stay: few beside the documents, so that texts need no shuffle while they are
-    special = materialize(ids.where("_sh_keeps = 0 or _sh_n > 1"), "special")
+    """One row of each component: of the smallest doc_id (null last), of rows that share it of the least hash of the text,
+    of rows that share both any one."""
+    rows = placed(docs, **how).select("root", F.col("doc_id").alias("_sh_id"), "_sh_a", "_sh_b")
+    rows = materialize(rows, "placed")
+    key = ["_sh_id", "_sh_a", "_sh_b"]
+    first = F.min(F.struct(F.isnull("_sh_id").alias("last"), *key)).alias("first")
+    several = rows.groupBy("root").agg(first, F.count("*").alias("n")).where("n > 1").select("root", "first")
+    of_several = rows.join(several, "root")
+    keeps = F.struct(F.isnull("_sh_id").alias("last"), *key).eqNullSafe(F.col("first"))
+    # keys of rows that don't just stay: few beside the documents, so that texts need no shuffle while they are
+    special = of_several.groupBy(*key).agg(F.max(keeps).alias("keeps"), F.count("*").alias("n")).where("NOT keeps OR n > 1")
+    special = materialize(special, "special")
     few = special.count() <= BROADCAST_IDS
-    side = F.broadcast(special) if few else special
-    rows = docs.join(side, docs.doc_id.eqNullSafe(side["_sh_id"]), "left_anti")
-    many = special.where("_sh_keeps > 0")
-    if many.limit(1).count():
-        many = F.broadcast(many) if few else many
-        again = docs.join(many, docs.doc_id.eqNullSafe(many["_sh_id"]), "left_semi")
-        rows = rows.unionByName(again.dropDuplicates(["doc_id"]))
-    return rows.select(*docs.columns)
+    many = special.where("keeps")
+    again = many.limit(1).count()
+    special, many = (x.select(*(F.col(c).alias(f"{c}_") for c in key)) for x in (special, many))
+    if few:
+        special, many = F.broadcast(special), F.broadcast(many)
+    keyed = docs.select("*", *row_key())
+
+    def meets(side: DataFrame) -> Column:
+        return keyed["_sh_id"].eqNullSafe(side["_sh_id_"]) & (keyed["_sh_a"] == side["_sh_a_"]) & (keyed["_sh_b"] == side["_sh_b_"])
+
+    out = keyed.join(special, meets(special), "left_anti")
+    if again:
+        out = out.unionByName(keyed.join(many, meets(many), "left_semi").dropDuplicates(key))
+    return out.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,6 +100,17 @@ def test_rows(spark):
     assert simhash.near_components(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_keep_one_of_each_component(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", few)
+    a, b, c = ("alpha beta gamma delta " * 9, "one two three four five six seven " * 5, "rain falls on the roof of the old house by the sea")
+    rows = [(None, a), (None, b), (3, a), (3, c), (1, c), (None, c), (9, "x y"), (9, "x y"), (None, None), (None, ""), (4, "p q r"), (4, "s t u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text or "") for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(3, a), (None, b), (1, c), (9, "x y"), (None, ""), (4, "p q r"), (4, "s t u")], key=str)
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
 def test_query_matches_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     fps = [brute_fingerprint(r.text) for r in docs]
