@@ -3,13 +3,15 @@
 A record's fingerprint is the hash of its nested field paths: the schema of the parsed JSON value, without leaf types. A
 registry maps fingerprints to declarative layouts (which paths hold roles and texts). A record with further fields
 takes the first layout whose fields are all present. Everything is native: parse_json, schema_of_variant, variant_get.
+Rows that are columns already never become JSON: their layout follows from the fingerprint of the schema.
 
 The template is `<|im_start|>role<|im_sep|>text<|im_end|>` for each turn. In roles and texts every backslash is doubled
 and a backslash is put behind the first character of each control string (also those of other templates), so no control
 string of a text survives, and reading back undoes both. Loss spans cover the assistant texts, without markers.
 
 Defined cases: null roles and texts are empty; turns sort by turn number, nulls first, ties by role and text; a record no
-layout fits, or that isn't JSON, has layout null and no turns; a conversation is one row and must fit a variant (128 MB).
+layout fits, or that isn't JSON, has layout null and no turns; a JSON record that doesn't fit a variant (128 MB) is an
+error, texts in it may have any length up to that; a conversation of columns is one row and must fit one (2 GB).
 """
 
 from __future__ import annotations
@@ -18,10 +20,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalloom.llm._shared import table
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
+#: Jackson's limits, lifted: strings are 20,000,000 characters at most in try_parse_json.
+LIFTED = {"maxStringLen": "2147483647", "maxNumLen": "2147483647", "maxNestingDepth": "100000"}
+#: Bytes of JSON that always fit a variant, which takes at most 6 bytes for one of JSON (arrays of digits).
+SURELY_FITS = 16 << 20
 #: Control strings that are broken inside texts.
 CONTROL = (START, SEP, END, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 
@@ -46,9 +53,14 @@ class Layout:
             return f"OBJECT<{self.array}: ARRAY<OBJECT<{', '.join(sorted((self.role, self.text)))}>>>"
         return f"OBJECT<{', '.join(sorted(self.names()))}>"
 
-    def turns(self, record: Column) -> Column:
+    def turns(self, record: Column, native: bool = False) -> Column:
+        """The turns of a variant, or of a struct column (native)."""
+
+        def get(field: str, kind: str) -> Column:
+            return F.try_variant_get(record, f"$.{field}", kind)
+
         if self.array:
-            rows = F.try_variant_get(record, f"$.{self.array}", f"array<struct<`{self.role}`: string, `{self.text}`: string>>")
+            rows = record[self.array] if native else get(self.array, f"array<struct<`{self.role}`: string, `{self.text}`: string>>")
 
             def canonical(x: Column) -> Column:
                 role = F.coalesce(x[self.role], F.lit(""))
@@ -57,7 +69,7 @@ class Layout:
                 return F.struct(role.alias("role"), F.coalesce(x[self.text], F.lit("")).alias("text"))
 
             return F.transform(rows, canonical)
-        each = [F.struct(F.lit(role).alias("role"), F.coalesce(F.try_variant_get(record, f"$.{f}", "string"), F.lit("")).alias("text")) for role, f in self.fields]
+        each = [F.struct(F.lit(role).alias("role"), F.coalesce(record[f].cast("string") if native else get(f, "string"), F.lit("")).alias("text")) for role, f in self.fields]
         return F.filter(F.array(*each), lambda x: (x["text"] != "") | (x["role"] == "assistant"))
 
 
@@ -92,9 +104,39 @@ def layout_of(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
     return F.coalesce(exact, near)
 
 
+def parsed(json: Column) -> Column:
+    """A JSON text as a variant; null if it isn't JSON, an error if it is but doesn't fit."""
+    valid = F.from_json(json, "struct<_bad: string>", {**LIFTED, "columnNameOfCorruptRecord": "_bad"})["_bad"].isNull()
+    over = F.raise_error(F.concat(F.lit("a JSON record is over the limit of a variant: bytes "), F.octet_length(json).cast("string")))
+    lost = F.when((F.octet_length(json) > SURELY_FITS) & valid, over.cast("variant"))
+    return F.coalesce(F.try_parse_json(json), F.from_json(json, "variant", LIFTED), lost)
+
+
+def structure_of_type(kind: T.DataType) -> str:
+    """What structure_of() gives for a record of this schema."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(((f.name, f.dataType) for f in kind.fields), key=lambda x: x[0])
+        return f"OBJECT<{', '.join(f'{n}: {structure_of_type(t)}' if isinstance(t, T.StructType | T.ArrayType) else n for n, t in fields)}>"
+    if isinstance(kind, T.ArrayType):
+        return f"ARRAY<{structure_of_type(kind.elementType)}>"
+    return kind.simpleString().upper()
+
+
+def native_turns(df: DataFrame, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """canonical_turns() for a struct column: the layout follows from the schema, no text is parsed."""
+    kind = df.schema[record].dataType
+    exact = [x for x in layouts if x.structure() == structure_of_type(kind)]
+    near = [x for x in layouts if set(x.names()) <= set(kind.names)]
+    none = F.array().cast("array<struct<role: string, text: string>>")
+    if not exact + near:
+        return df.withColumn("layout", F.lit(None).cast("string")).withColumn("turns", none)
+    layout = (exact + near)[0]
+    return df.withColumn("layout", F.lit(layout.name)).withColumn("turns", F.coalesce(layout.turns(F.col(record), native=True), none))
+
+
 def canonical_turns(df: DataFrame, json: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """df with layout (string) and turns (array of role, text) for its column of JSON texts."""
-    df = df.withColumn("_cf_record", F.try_parse_json(json))
+    df = df.withColumn("_cf_record", parsed(F.col(json)))
     df = df.withColumn("layout", layout_of(F.col("_cf_record"), layouts))
     turns = F.array().cast("array<struct<role: string, text: string>>")
     for x in layouts:
@@ -147,16 +189,16 @@ def read_loss(formatted: Column, spans: Column) -> Column:
 
 
 def records_of(rows: DataFrame) -> DataFrame:
-    """(conv_id, record): the rows of each conversation, by turn, as a JSON record of the messages layout."""
+    """(conv_id, record): the rows of each conversation, by turn, as a struct of the messages layout."""
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("m"))  # at most a conversation's turns
-    return grouped.select("conv_id", F.to_json(F.struct(F.transform("m", lambda t: F.struct(t["role"], t["content"])).alias("messages"))).alias("record"))
+    return grouped.select("conv_id", F.struct(F.transform("m", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages")).alias("record"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    out = format_turns(canonical_turns(records_of(rows.unionByName(more)), "record")).select("conv_id", "formatted", "loss_spans")
+    out = format_turns(native_turns(records_of(rows.unionByName(more)), "record")).select("conv_id", "formatted", "loss_spans")
     back = out.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("t"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     digest = F.sha2(F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), ""), 256)
     return back.select(

@@ -79,6 +79,20 @@ def test_chat_layouts(spark):
     assert "</s>" not in out[0].formatted and "[INST]" not in out[0].formatted
 
 
+def test_chat_very_long_texts(spark, tmp_path):
+    long = F.repeat(F.lit("x"), F.lit(21_000_000))
+    rows = spark.range(2).select(F.lit(5).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.when(F.col("id") == 0, long).otherwise("a").alias("text"))
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in chat.query(spark, str(tmp_path)).collect()}
+    assert (got[5].n_turns, got[5].loss_chars, got[5].formatted_chars) == (2, 1, 21_000_000 + 1 + len("userassistant") + 2 * 32)
+    record = F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), long.alias("content"))).alias("messages")))
+    out = chat.canonical_turns(spark.range(1).select(record.alias("r")), "r").select("layout", F.length(F.col("turns")[0]["text"]).alias("n")).first()
+    assert tuple(out) == ("messages", 21_000_000)
+    huge = spark.range(1).select(F.concat(F.lit('{"messages":"'), F.repeat(F.lit("y"), F.lit(140_000_000)), F.lit('"}')).alias("r"))
+    with pytest.raises(Exception, match="over the limit of a variant"):
+        chat.canonical_turns(huge, "r").select("layout").collect()
+
+
 def test_sentencepiece_equals_library():
     model = sentencepiece_viterbi.load()
     sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_viterbi.MODEL_PATH)
