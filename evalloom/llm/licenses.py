@@ -1,8 +1,7 @@
 """Licence scans by sentence rules, in native expressions only.
 
-A text is cut into sentences (lines, and after . ! ? ; : before white space), each sentence is normalised (lower case,
-letters and digits only, years and holders of copyright lines cut) and mapped to the identifier of a known licence
-sentence. The document's sequence of identifiers is then matched against ordered rules; each rule that matches takes its
+A text is normalised (lower case, letters and digits, line ends and stops kept as marks), and known licence sentences are
+found in it as parts of sentences, also wrapped over lines and behind comment prefixes, and mapped to identifiers. The document's sequence of identifiers is then matched against ordered rules; each rule that matches takes its
 identifiers out, so a short notice inside a full text isn't reported twice.
 
 Defined cases: null, empty and licence-free texts have no sentences and an empty list; repeated sentences are in the
@@ -75,35 +74,76 @@ RULES = (
 HINTS = r"(?i)licen[cs]|copyright|reserved|redistribut|permission|warrant|software|version [23]|copy of"
 
 
-def normalise(sentence: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
-    plain = F.regexp_replace(plain, r"^copyright( c)? [0-9].*$", "copyright")
-    return F.regexp_replace(plain, " https? .*$", "")
+#: Between two words of a clause: a blank, a line's end, or a stop inside a line; never an empty line.
+GAP = r"[ \n|]"
+#: Known sentences that count only as a whole one; all others count as parts of a sentence.
+WHOLE = ("all rights reserved", "copyright")
+#: Sentences that are turned round by a word before, or by what follows.
+NOT_BEFORE = {"ref": r"(?<!\bnot[ \n]|\bn t[ \n]|\bt[ \n]|\bnever[ \n])"}
+NOT_AFTER = {"gpl3.ref": rf"(?!{GAP}or{GAP})", "spdx": rf"(?=$|[\n|]|{GAP}(?:or|and){GAP})"}
+#: Parts that holders fill in or that later versions of a text add.
+VARIANTS = {
+    "the name of the copyright holder nor": f"the name of (?:[a-z0-9]+{GAP}){{1,12}}nor",
+    "this permission notice shall": f"this permission notice (?:including the next paragraph{GAP})?shall",
+}
+
+
+def patterns() -> list[tuple[str, str]]:
+    """(pattern over a prepared text, identifier), longer sentences first."""
+    out = []
+    for text, name in sorted(SENTENCES.items(), key=lambda x: -len(x[0])):
+        if text in WHOLE:
+            tail = r"(?:(?: c)? [0-9][^\n|]*)?" if text == "copyright" else ""
+            out.append((rf"(?<![^\n|]){text}{tail}(?: https? [^\n|]*)?(?![^\n|])", name))
+            continue
+        kind = name.split(".")[1]
+        for plain, varied in VARIANTS.items():
+            text = text.replace(plain, varied)
+        words = "".join(GAP if c == " " else c for c in text) if "(?:" not in text else spaced(text)
+        out.append((rf"{NOT_BEFORE.get(kind, '')}(?<![a-z0-9]){words}(?![a-z0-9]){NOT_AFTER.get(name, NOT_AFTER.get(kind, ''))}", name))
+    return out
+
+
+def spaced(text: str) -> str:
+    """A text with pattern parts (GAP among them) with its own blanks as GAP."""
+    return GAP.join(x.replace(" ", GAP) for x in text.split(GAP))
 
 
-def sentences_of(text: Column) -> Column:
-    """(line, text) of the sentences on lines that may hold a known one; line counts from 1."""
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
-    lines = F.filter(lines, lambda x: x["text"].rlike(HINTS))
-    return F.flatten(F.transform(lines, lambda x: F.transform(F.split(x["text"], r"(?<=[.!?;:])[ \t]+"), lambda s: F.struct(x["line"].alias("line"), s.alias("text")))))
+def prepared(text: Column) -> Column:
+    """Lower case; letters and digits, single blanks, a | for each stop inside a line, and line ends."""
+    plain = F.regexp_replace(F.lower(text), r"[^a-z0-9\n.!?;: \t]", "_")
+    plain = F.regexp_replace(plain, r"(?<=[.!?;:])[ \t]+", "|")
+    plain = F.regexp_replace(plain, r"[^a-z0-9\n|]+", " ")
+    return F.trim(F.regexp_replace(plain, r" *([\n|]) *", "$1"))
 
 
 def identify(sentence: Column) -> Column:
+    """The identifier of a matched part; its gaps are blanks."""
     known = F.lit(None).cast("string")
-    by_id: dict[str, list[str]] = {}
-    for text, name in SENTENCES.items():
-        by_id.setdefault(name, []).append(text)
-    for name, texts in by_id.items():
-        known = F.when(sentence.isin(texts), name).otherwise(known)
+    for pattern, name in reversed(patterns()):
+        plain = pattern.split("(?<![a-z0-9])")[-1].split("(?![a-z0-9])")[0]
+        known = F.when(sentence.rlike(f"^(?:{plain})$"), name).otherwise(known)
     return known
 
 
+def found_in(text: Column) -> Column:
+    """(line, id) of the known sentences, in their order; line is where one begins and counts from 1."""
+    every = "|".join(f"(?:{p})" for p, _ in patterns())
+    marked = F.regexp_replace(prepared(text), every, "<$0>")
+
+    def places(x: Column) -> Column:
+        lines = F.filter(F.transform(F.split(x, "\n"), lambda t, i: F.struct((i + 1).alias("line"), F.regexp_count(t, F.lit("<")).alias("n"))), lambda t: t["n"] > 0)
+        at = F.flatten(F.transform(lines, lambda t: F.array_repeat(t["line"], t["n"])))
+        return F.zip_with(at, F.regexp_extract_all(x, F.lit("<([^>]*)>"), F.lit(1)), lambda line, t: F.struct(line.alias("line"), identify(t).alias("id")))
+
+    return let(marked, places)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """docs, all columns, with `_lic_found` (array of line and id) and `_lic_names` (array of licences)."""
     text = F.col("text")
-    found = F.transform(sentences_of(text), lambda s: F.struct(s["line"].alias("line"), let(normalise(s["text"]), identify).alias("id")))
     none = F.array().cast("array<struct<line: int, id: string>>")
-    out = docs.withColumn("_lic_found", F.when(text.rlike(HINTS), F.filter(found, lambda x: x["id"].isNotNull())).otherwise(none))
+    out = docs.withColumn("_lic_found", F.when(text.rlike(HINTS), F.filter(found_in(text), lambda x: x["id"].isNotNull())).otherwise(none))
     out = out.withColumn("_lic_rest", F.concat(F.lit("|"), F.array_join(F.transform("_lic_found", lambda x: F.concat(x["id"], F.lit("|"))), "")))
     names = []
     for i, (name, ids) in enumerate(RULES):
@@ -125,7 +165,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL of the query. Rules of one identifier and of several are spelled out from RULES."""
+    """DuckDB SQL of the query, for known sentences that are a whole one on one line; others it doesn't see. Rules of one identifier and of several are spelled out from RULES."""
     case = " ".join(f"WHEN '{t}' THEN '{i}'" for t, i in SENTENCES.items())
     rest, names = "'|' || coalesce(string_agg(id || '|', '' ORDER BY line, pos), '')", []
     steps = [f"r0 AS (SELECT doc_id, {rest} AS rest FROM ids GROUP BY doc_id)"]

@@ -65,6 +65,40 @@ def test_line_rules_and_licenses(docs):
     assert line_rules.judge(docs.limit(0)).count() == licenses.scan(docs.limit(0)).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+ENDORSE = "3. Neither the name of the Example Foundation nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+
+
+def test_license_notices_wrapped_and_commented(spark):
+    import textwrap
+
+    notices = [("MIT", MIT), ("BSD-2-Clause", BSD), ("BSD-3-Clause", BSD + "\n\n" + ENDORSE), ("GPL-3.0-or-later", GPL), ("Apache-2.0", APACHE), ("MPL-2.0", MPL), ("ISC", ISC)]
+    notices += [("MIT", "This project is licensed under the MIT License - see the LICENSE file for details."), ("MIT", "// SPDX-License-Identifier: MIT"), ("", "It is not licensed under the MIT License."), ("", "SPDX-License-Identifier: MIT-0"), ("", GPL.replace("General", "Lesser General"))]
+    rows = []
+    for name, text in notices:
+        wrapped = "\n".join(textwrap.fill(x, 78) for x in text.split("\n"))
+        rows += [(name, text), (name, wrapped), (name, "\n".join(f" * {x}" for x in wrapped.split("\n"))), (name, "\r\n".join(f"# {x}" for x in wrapped.split("\n")))]
+    out = licenses.scan(spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(rows)], "i int, want string, text string")).collect()
+    assert [(r.i, ",".join(r._lic_names)) for r in out] == [(r.i, r.want) for r in out]
+    lines = licenses.scan(spark.createDataFrame([("x\n" + rows[1][1],)], "text string")).first()._lic_found
+    assert [r.id for r in lines] == ["mit.grant", "mit.notice", "mit.warranty"] and [r.line for r in lines][0] == 2
+
+
 def test_chat_layouts(spark):
     rows = [
         '{"messages": [{"role": "user", "content": "a\\\\b</s>"}, {"role": "assistant", "content": "[INST] x"}]}',
