@@ -3,7 +3,7 @@
 Vectors are lifted to points whose Euclidean distances order inner products: x gets the further coordinate
 sqrt(M^2 - |x|^2) with M the largest norm, a query gets 0, so that d(q, x)^2 = |q|^2 + M^2 - 2 q.x. Pivots are a bounded
 sample of the points. A first pass assigns each point to its nearest pivot and summarises the groups: count, least and
-largest distance to the pivot, and the k + 1 least ones. From the summaries follows an upper bound of each query's k-th
+largest distance to the pivot, and the k + 1 least ones of different ids. From the summaries follows an upper bound of each query's k-th
 distance (pivot distance plus the k + 1 least distances of each group), and by the triangle inequality the groups that can
 hold an answer. A second pass deals points by (query group, block of data group): groups are cut into blocks by hash, so
 that thousands of equal vectors don't meet in one task; a query goes to the blocks of the groups that its bound can't rule
@@ -11,7 +11,8 @@ out, a point to the query groups that need its data group. Blocks are solved loc
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; shorter vectors count as padded
 with zeros; a component that doesn't fit 31 bits after scaling is an error of the scores' long; rows that share a vec_id
-are candidates of their own but never of a query with that id; equal scores rank by vec_id; an empty table gives no rows.
+are candidates of their own but never of a query with that id; equal scores rank by vec_id; query rows that
+share an id rank as one query with each neighbour once a row, as in the SQL; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -95,13 +96,14 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     placed = data.mapInPandas(lambda b: assign(b, True, p), kind)
     summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"))
     rank = F.row_number().over(W.partitionBy("cell").orderBy("d"))
-    least = placed.select("cell", "d").withColumn("r", rank).where(F.col("r") <= k + 1).select("cell", "d")
+    # of rows that share an id only the least, so that a query's own id is at most one of those its bound counts
+    once = placed.groupBy("id").agg(F.min(F.struct("d", "cell")).alias("m")).select("m.cell", "m.d")
+    least = once.withColumn("r", rank).where(F.col("r") <= k + 1).select("cell", "d").collect()  # k + 1 rows a pivot at most
     cells = {r.cell: r for r in summary.collect()}  # one row a pivot
-    nearest = [np.sort([r.d for r in g]) for _, g in itertools.groupby(sorted(least.collect()), key=lambda r: r.cell)]  # k + 1 rows a pivot
     ids = np.array(sorted(cells))
     count, lo, hi = (np.array([cells[c][f] for c in ids]) for f in ("n", "lo", "hi"))
     blocks = np.maximum(1, -(-count // block))
-    near_d, near_of = np.concatenate(nearest), np.repeat(np.arange(len(ids)), [len(x) for x in nearest])
+    near_d, near_of = np.array([r.d for r in least]), np.searchsorted(ids, [r.cell for r in least])
 
     # queries: a few groups by the first pivots, cut into blocks by hash
     q_cells = int(min(p, max(1, n_queries // QUERY_BLOCK)))
