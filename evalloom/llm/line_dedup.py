@@ -3,7 +3,9 @@
 LineRuns keeps, in the shared folder, sorted runs of (h, n, last_doc): a line key's 128-bit hash, the number of
 documents that hold it and the largest of their ids. Every batch of documents adds a run to level 0; when a level has
 `fanout` runs they are merged into one run of the next level, so that a key is rewritten once a level and not once a
-batch. A batch is cleaned by a merge anti-join of its lines with the runs.
+batch. Batches aren't cleaned one by one, as a key's verdict needs the counts of all of them: once all are added, the keys
+that enough documents hold go to the executors as a table, and lines are looked up in it; beyond BROADCAST_KEYS keys, an
+ordinary anti-join of all lines with them decides (it groups the runs again and doesn't use their order).
 
 Defined cases: a null or empty text is one empty line; every row counts as a document, so a row given five times
 counts as five; rows with the largest id all keep their lines; a null doc_id counts as smaller than any other;
