@@ -40,7 +40,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near", near), ("mix", mix), ("encode", encode)]
 
-#: The classifier and the fingerprints have no SQL form; tests/llm holds run() against a brute-force version.
+#: The classifier and the fingerprints have no SQL form; tests/llm tests the operators, no test calls run() as a whole.
 ORACLE_SQL = None
 
 
