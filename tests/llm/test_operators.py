@@ -166,7 +166,7 @@ def test_topk_ties_and_bad_vectors(spark):
 
 def test_topk_repeated_ids(spark):
     rng = np.random.default_rng(2)
-    rows = [(100, [9, 9, 0, 0])] * 11 + [(i, [int(x) for x in rng.integers(-9, 9, 4)]) for i in range(1, 8)]
+    rows = [(100, [9, 9, 0, 0])] * 1_100 + [(i, [int(x) for x in rng.integers(-5, 5, 4)]) for i in range(1, 8)]  # each vector is a pivot
     df = spark.createDataFrame(rows, "id long, v array<long>")
     got = [tuple(r) for r in topk.top_k(df, df.where("id = 100").limit(1), 10).orderBy("rank").collect()]
     best = sorted((-sum(a * b for a, b in zip([9, 9, 0, 0], v)), i) for i, v in rows if i != 100)
