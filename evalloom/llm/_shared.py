@@ -14,27 +14,39 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a side table (a few hundred bytes a row at most) up to which it is broadcast.
 BROADCAST_ROWS = 50_000
 
-_LOCAL_DIRS: dict[str, str] = {}
+#: Folders of this process's applications, by application id.
+_ROOTS: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and the path as it wants it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where Spark runs in this one process and none is set."""
-    if root := spark.conf.get("spark.checkpoint.dir", None):
-        return root
-    if spark.sparkContext.master.startswith("local["):
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL_DIRS:
-            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="evalloom-")
-        return _LOCAL_DIRS[app]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    """The application's folder below spark.checkpoint.dir, the shared folder of the cluster; it goes when the driver ends.
+    A temporary folder stands in only where Spark runs in this one process and none is set; a cluster without one raises."""
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = tempfile.mkdtemp(prefix="evalloom-")
+        _ROOTS[app] = f"{root.rstrip('/')}/evalloom-{app}"
+        fs, target = file_system(spark, _ROOTS[app])
+        fs.mkdirs(target)  # what isn't there yet isn't deleted on exit
+        fs.deleteOnExit(target)
+    return _ROOTS[app]
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/evalloom-{tag}-{uuid.uuid4().hex[:12]}"
+    return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -42,13 +54,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._evalloom_path = path
+    return out
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def discard(spark: SparkSession, *tables: str | DataFrame) -> None:
+    """Delete tables by path, or what materialize() gave: those that no later result reads."""
+    for x in tables:
+        fs, target = file_system(spark, x if isinstance(x, str) else x._evalloom_path)
+        fs.delete(target, True)
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
@@ -65,8 +80,8 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-#: Bytes of text that a Python function gets at once.
-CHUNK_BYTES = 4 << 20
+#: Bytes and rows of text that a Python function gets at once.
+CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 2048
 
 
 def trim() -> None:
@@ -79,7 +94,7 @@ def trim() -> None:
 
 def over_texts(function, returns: str, limit: int = CHUNK_BYTES):
     """A column function of a text column. function: list of UTF-8 texts (null: b"") -> Arrow array of as many rows;
-    it gets a few MB at a time, however long an Arrow batch is."""
+    it gets a few MB and a bounded number of rows at a time, however long an Arrow batch is."""
     import pyarrow as pa
 
     def run(batches):
@@ -89,7 +104,7 @@ def over_texts(function, returns: str, limit: int = CHUNK_BYTES):
             for x in texts:
                 chunk.append(t := x.as_py() or b"")
                 held += len(t)
-                if held >= limit:
+                if held >= limit or len(chunk) >= CHUNK_ROWS:
                     out.append(function(chunk))
                     chunk, held = [], 0
                     trim()

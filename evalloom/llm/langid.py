@@ -7,7 +7,9 @@ logistic margins decide. Training data are hash-chosen rows, at most `max_rows`,
 features are computed on executors.
 
 Defined cases: null, empty or letterless texts are `und` with score 0; so is all text if nothing could be learned; one
-learned language is predicted everywhere with score 1; null langs train nothing; repeated rows predict alike.
+learned language is predicted everywhere with score 1; null langs train nothing; repeated rows predict alike and are chosen
+for training together (the choice hashes id and text, so rows that only share an id are chosen apart); an empty table gives an
+empty result; texts count whole, whatever their length; further columns are not read.
 """
 
 from __future__ import annotations
@@ -115,7 +117,7 @@ def fit(x: np.ndarray, lang: np.ndarray, families: dict[str, tuple[str, ...]] |
 
 def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> LangModel:
     """docs (doc_id, text, lang), labelled rows only."""
-    rows = docs.where("lang is not null").select("lang", "text", F.xxhash64("doc_id").alias("_li_h"))
+    rows = docs.where("lang is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("_li_h"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return LangModel()

@@ -7,7 +7,9 @@ found, and only the rows of that bucket are summed again by the next 10 bits, un
 
 Defined cases: null texts count 0 words; a null source is a source of its own, after all others; rows that share a
 doc_id (or a null one) share a hash and are taken or left together; an empty table gives an empty result; a source of
-size 0 has target 0. At the boundary the hash is taken if that brings the source nearer to its target.
+size 0 has target 0 and its rows are taken once; other rows without words are taken as their hash says, at most `max_repeats`
+times. At the boundary the hash is taken if that brings the source nearer to its target. Texts are counted whole, whatever their
+length; columns of docs that are called like those of the plan (size, key) are not touched.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalloom.llm._shared import materialize, n_words, small_side, table
+from evalloom.llm._shared import discard, materialize, n_words, small_side, table
 
 RATIO, WEIGHTS, MAX_REPEATS = 1.5, (5, 2, 1), 2
 BITS, LEVELS = 10, 4
@@ -49,14 +51,14 @@ def targets(sizes: DataFrame, ratio: float = RATIO, weights: tuple[int, ...] = W
 def thresholds(sized: DataFrame, **plan) -> tuple[DataFrame, int]:
     """sized: (source, size, key). The result has a row for each source: whole copies, the exclusive hash threshold of
     the last copy, target and source_size; and the number of those rows."""
-    per = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **plan), "mix-targets")
+    levels = per = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **plan), "mix-targets")
     n = per.count()
     base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     per = per.withColumn("copies", base).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
     state = per.select("source", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"))
     for i in range(LEVELS):
         shift = BITS * (LEVELS - 1 - i)
-        s = state.select(F.col("source").alias("s_source"), "rest", "prefix", "before")
+        last, s = state, state.select(F.col("source").alias("s_source"), "rest", "prefix", "before")
         inside = sized.join(small_side(s, n), sized.source.eqNullSafe(s.s_source) & (F.shiftright("key", shift + BITS) == s.prefix))
         sums = inside.groupBy("source", F.shiftright("key", shift).alias("bucket")).agg(F.sum("size").alias("t"), F.first("rest").alias("rest"), F.first("before").alias("b"))
         upto = F.sum("t").over(W.partitionBy("source").orderBy("bucket"))
@@ -65,12 +67,18 @@ def thresholds(sized: DataFrame, **plan) -> tuple[DataFrame, int]:
             "source", "x.rest", F.col("x.bucket").alias("prefix"), (F.col("x.upto") - F.col("x.t")).alias("before"), F.col("x.t").alias("t")
         )
         state = materialize(state, "mix-level")
+        if i:
+            discard(per.sparkSession, last)
     nearer = (F.col("before") + F.col("t") - F.col("rest")) < (F.col("rest") - F.col("before"))
     cut = state.select(F.col("source").alias("c_source"), (F.col("prefix") + nearer.cast("long")).alias("below"))
+    # nothing is left to take of a source at its cap: no hash is below, or rows without words would be taken once too often
+    below = F.when(F.col("rest") <= 0, 0).otherwise(F.coalesce("below", F.lit(1 << (BITS * LEVELS))))
     out = per.join(small_side(cut, n), per.source.eqNullSafe(cut.c_source), "left").select(
-        "source", "source_size", "target", "copies", F.coalesce("below", F.lit(1 << (BITS * LEVELS))).alias("below")
+        "source", "source_size", "target", "copies", F.when(F.col("source_size") > 0, below).otherwise(F.lit(1 << (BITS * LEVELS))).alias("below")
     )
-    return materialize(out, "mix-cut"), n
+    out = materialize(out, "mix-cut")
+    discard(per.sparkSession, levels, state)
+    return out, n
 
 
 def apply_mix(docs: DataFrame, cut: DataFrame, n: int, size: str, key: str) -> DataFrame:

@@ -5,41 +5,48 @@ sqrt(M^2 - |x|^2) with M the largest norm, a query gets 0, so that d(q, x)^2 = |
 sample of the points. A first pass assigns each point to its nearest pivot and summarises the groups: count, least and
 largest distance to the pivot, and the k + 1 least ones of different ids. From the summaries follows an upper bound of each query's k-th
 distance (pivot distance plus the k + 1 least distances of each group), and by the triangle inequality the groups that can
-hold an answer. A second pass deals points by (query group, block of data group): groups are cut into blocks by hash, so
-that thousands of equal vectors don't meet in one task; a query goes to the blocks of the groups that its bound can't rule
-out, a point to the query groups that need its data group. Blocks are solved locally, and the best k of each block merged.
+hold an answer. Groups are cut into blocks by hash, so that thousands of equal vectors don't meet in one task. Every point moves
+once, to its block; only queries, the small side, are replicated, to the blocks of the groups that their bound can't rule out.
+A task holds one block of points at a time and streams the queries that were sent there past it, whatever their number; the best
+k of each query and block are merged.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; shorter vectors count as padded
-with zeros; a component that doesn't fit 31 bits after scaling is an error of the scores' long; rows that share a vec_id
+with zeros; a component of 2^31 or more after scaling, or a score beyond a long, raises; rows that share a vec_id
 are candidates of their own but never of a query with that id; equal scores rank by vec_id; query rows that
 share an id rank as one query with each neighbour once a row, as in the SQL; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalloom.llm._shared import table
 
 K, SCALE, EVERY = 10, 1024, 100
-#: Bounds of what the driver plans with: pivots, and rows of a block of data or of queries.
-MAX_PIVOTS, MIN_BLOCK, MAX_BLOCK, QUERY_BLOCK = 256, 512, 16_384, 2_048
+#: Bounds of what the driver plans with (pivots; their number grows with the data) and of the rows of a block.
+MAX_PIVOTS, MIN_BLOCK, MAX_BLOCK = 2_048, 512, 16_384
+#: Bytes of replicated queries that a function gives out at once, and queries that are scored at once.
+SENT_BYTES, SCORED = 8 << 20, 256
+LARGEST = 1 << 31
 SLACK = 1e-6
 
 
 def scaled(df: DataFrame, id_col: str, vector: str, scale: int = SCALE) -> DataFrame:
-    """(id, v): finite vectors as arrays of floor(scale * x)."""
+    """(id, v): finite vectors as arrays of floor(scale * x); a component whose products may not fit a long raises."""
     whole = ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    v = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
+
+    def fitting(x: Column) -> Column:
+        return F.when(F.abs(x) < float(LARGEST), F.floor(x)).otherwise(F.raise_error(F.concat(F.lit("a vector's component is too large: "), x)).cast("long"))
+
+    v = F.transform(vector, lambda x: fitting(F.lit(float(scale)) * x.cast("double")))
     return df.where(F.col(vector).isNotNull() & whole & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
@@ -83,17 +90,15 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     if not n or not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     space = space_of(data, n)
-    p = len(space.pivots)
     block = min(MAX_BLOCK, max(MIN_BLOCK, n // 128))
 
-    def assign(batches: Iterator[pd.DataFrame], data: bool, cells: int) -> Iterator[pd.DataFrame]:
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            d = space.to_pivots(space.stack(b["v"]), data)[:, :cells]
+            d = space.to_pivots(space.stack(b["v"]), True)
             near = d.argmin(axis=1) if len(d) else np.zeros(0, np.int64)
             yield b.assign(cell=near.astype(np.int32), d=d[np.arange(len(d)), near])
 
-    kind = "id long, v array<long>, cell int, d double"
-    placed = data.mapInPandas(lambda b: assign(b, True, p), kind)
+    placed = data.mapInPandas(lambda b: assign(b), "id long, v array<long>, cell int, d double")
     summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"))
     rank = F.row_number().over(W.partitionBy("cell").orderBy("d"))
     # of rows that share an id only the least, so that a query's own id is at most one of those its bound counts
@@ -105,14 +110,8 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     blocks = np.maximum(1, -(-count // block))
     near_d, near_of = np.array([r.d for r in least]), np.searchsorted(ids, [r.cell for r in least])
 
-    # queries: a few groups by the first pivots, cut into blocks by hash
-    q_cells = int(min(p, max(1, n_queries // QUERY_BLOCK)))
-    q_placed = queries.mapInPandas(lambda b: assign(b, False, q_cells), kind)
-    q_count = {r.cell: r.n for r in q_placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row a query group
-    q_blocks = {c: -(-m // QUERY_BLOCK) for c, m in q_count.items()}
-    offsets = dict(zip(q_blocks, itertools.accumulate([0, *q_blocks.values()]), strict=False))
-    total = sum(q_blocks.values())
     starts = np.cumsum(np.r_[0, blocks])
+    index = {c: i for i, c in enumerate(ids.tolist())}
 
     def bounds(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For distances to all pivots: the bound of the k-th distance, and the groups that may hold an answer."""
@@ -125,52 +124,64 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     def mixed(x: np.ndarray) -> np.ndarray:
         return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
 
+    row = "block long, query boolean, id long, v array<long>, bound double"
+
     def send_queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             d = space.to_pivots(space.stack(b["v"]), False)
             theta, need = bounds(d)
-            cell = d[:, :q_cells].argmin(axis=1)
-            part = np.array([offsets[c] + x % q_blocks[c] for c, x in zip(cell.tolist(), mixed(b["id"].to_numpy()).tolist(), strict=True)], np.int64)
-            for i, (t, w) in enumerate(zip(theta, need, strict=True)):
-                at = np.concatenate([np.arange(starts[g], starts[g + 1]) for g in np.flatnonzero(w)] or [np.zeros(0, np.int64)])
-                yield pd.DataFrame({"key": at * total + part[i], "id": b["id"].iloc[i], "v": [b["v"].iloc[i]] * len(at), "bound": t})
-
-    q_sent = queries.mapInPandas(send_queries, "key long, id long, v array<long>, bound double")
-    wanted = np.zeros((len(ids), total), bool)  # groups x query blocks: which query blocks need a group
-    for r in q_sent.select("key").distinct().collect():  # one row a block and query block
-        wanted[np.searchsorted(starts, r.key // total, side="right") - 1, r.key % total] = True
-    index = {c: i for i, c in enumerate(ids.tolist())}
+            who, group = np.nonzero(need)
+            n = blocks[group]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[group], n)
+            who = np.repeat(who, n)
+            step = max(1, SENT_BYTES // (8 * space.dims + 40))
+            for s in range(0, len(who), step):
+                w = who[s : s + step]
+                yield pd.DataFrame({"block": at[s : s + step], "query": True, "id": b["id"].to_numpy()[w], "v": b["v"].to_numpy()[w], "bound": theta[w]})
 
     def send_data(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in assign(batches, True, p):
+        for b in assign(batches):
             g = np.array([index[c] for c in b["cell"]], np.int64)
             at = starts[g] + mixed(b["id"].to_numpy()) % blocks[g] if len(g) else g
-            row, part = np.nonzero(wanted[g])
-            yield pd.DataFrame({"key": at[row] * total + part, "id": b["id"].to_numpy()[row], "v": b["v"].to_numpy()[row]})
-
-    d_sent = data.mapInPandas(send_data, "key long, id long, v array<long>")
-
-    def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or x.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        x = x.sort_values("id", kind="stable")
-        a, b, own = space.stack(q["v"]), space.stack(x["v"]), x["id"].to_numpy()
-        exact = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * space.dims < 2**53
-        out = []
-        for s in range(0, len(a), 256):
-            c = a[s : s + 256]
-            score = (c @ b.T).astype(np.int64) if exact else c.astype(np.int64) @ b.astype(np.int64).T
-            least = ((c**2).sum(axis=1) + space.norm2 - q["bound"].to_numpy()[s : s + 256] ** 2) / 2
-            for i, r in enumerate(score):
-                may = np.flatnonzero((own != q["id"].iloc[s + i]) & (r >= least[i] - 1 - SLACK * abs(least[i])))
+            yield pd.DataFrame({"block": at, "query": False, "id": b["id"], "v": b["v"], "bound": 0.0})
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by block, a block's points before its queries."""
+        held, points, x, own = None, [], None, None
+        for batch in batches:
+            for block, part in batch.groupby("block", sort=False):
+                if block != held:
+                    held, points, x = block, [], None
+                if len(data := part[~part["query"]]):
+                    points.append(data[["id", "v"]])
+                if len(q := part[part["query"]]) and points:
+                    if x is None:
+                        every = pd.concat(points).sort_values("id", kind="stable")
+                        x, own = space.stack(every["v"]), every["id"].to_numpy()
+                    yield from scored(q, x, own)
+
+    def scored(q: pd.DataFrame, x: np.ndarray, own: np.ndarray) -> Iterator[pd.DataFrame]:
+        a, who, bound, out = space.stack(q["v"]), q["id"].to_numpy(), q["bound"].to_numpy(), []
+        exact = np.abs(a).max(initial=0) * np.abs(x).max(initial=0) * space.dims < 2**53
+        least = ((a**2).sum(axis=1) + space.norm2 - bound**2) / 2
+        for s in range(0, len(a), SCORED):
+            c = a[s : s + SCORED]
+            score = c @ x.T
+            if not exact:
+                if np.abs(score).max(initial=0) >= 2**63 * (1 - 1e-9):
+                    raise OverflowError("an inner product doesn't fit a long")
+                score = c.astype(np.int64) @ x.astype(np.int64).T  # a sum that fits is right although parts of it wrap
+            for i, r in enumerate(score, s):
+                may = np.flatnonzero((own != who[i]) & (r >= least[i] - 1 - SLACK * abs(least[i])))
                 if len(may) > k:
                     cut = np.partition(r[may], -k)[-k]
                     may = may[r[may] >= cut]
                     may = may[np.argsort(-r[may], kind="stable")[:k]]  # ids ascend, so ties keep the smaller ids
-                out.append((np.full(len(may), q["id"].iloc[s + i]), own[may], r[may]))
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                out.append((np.full(len(may), who[i]), own[may], r[may].astype(np.int64)))
+        yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    found = q_sent.groupBy("key").cogroup(d_sent.groupBy("key")).applyInPandas(solve, "query_id long, vec_id long, score long")
+    sent = data.mapInPandas(send_data, row).unionByName(queries.mapInPandas(send_queries, row))
+    found = sent.repartition("block").sortWithinPartitions("block", "query").mapInPandas(solve, "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
