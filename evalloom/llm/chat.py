@@ -1,22 +1,27 @@
-"""Chat formatting: heterogeneous JSON records to canonical turns by schema fingerprint, turns to one training text.
+"""Chat formatting: heterogeneous records to canonical turns by schema fingerprint, turns to one training text.
 
 A record's fingerprint is the hash of its nested field paths: the schema of the parsed JSON value, without leaf types. A
-registry maps fingerprints to declarative layouts (which paths hold roles and texts). A record with further fields
-takes the first layout whose fields are all present. Everything is native: parse_json, schema_of_variant, variant_get.
-Rows that are columns already never become JSON: their layout follows from the fingerprint of the schema.
+registry maps fingerprints to declarative layouts: which paths hold roles and texts, at the top or below one of `WRAPPERS`
+(`{"data": {"prompt": ...}}`). A text may be a list of parts (`[{"type": "text", "text": ...}]`), whose texts are joined; parts
+without text count as empty. A record with further fields takes the first layout whose fields are all present. Everything
+is native: parse_json, schema_of_variant, variant_get. Rows that are columns already can skip JSON: their layout follows from
+the fingerprint of the schema.
 
 The template is `<|im_start|>role<|im_sep|>text<|im_end|>` for each turn. In roles and texts every backslash is doubled
 and a backslash is put behind the first character of each control string (also those of other templates), so no control
 string of a text survives, and reading back undoes both. Loss spans cover the assistant texts, without markers.
 
-Defined cases: null roles and texts are empty; turns sort by turn number, nulls first, ties by role and text; a record no
-layout fits, or that isn't JSON, has layout null and no turns; a JSON record that doesn't fit a variant (128 MB) is an
-error, texts in it may have any length up to that; a conversation of columns is one row and must fit one (2 GB).
+Defined cases: null roles and texts are empty, and an empty text is a turn like any other; turns sort by turn number, nulls
+first, ties by role and text, and repeated rows are turns of their own; a record no layout fits, or that isn't JSON, has layout
+null and no turns; an empty table gives no rows; a JSON record that doesn't fit a variant (128 MB) is an error, texts in it may
+have any length up to that; a conversation of columns is one row and must fit one (2 GB). Results are columns called `_cf_*`,
+which replace input columns of these names; all others pass through.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +38,15 @@ SURELY_FITS = 16 << 20
 CONTROL = (START, SEP, END, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 
 
+#: Fields that may hold the record itself; the first stands for none.
+WRAPPERS = ("", "data", "sample", "record")
+TURNS = "array<struct<role: string, text: string>>"
+
+
 @dataclass(frozen=True)
 class Layout:
-    """Turns come from fixed fields (role, field), or from an array of objects with a role and a text field."""
+    """Turns come from fixed fields (role, field), or from an array of objects with a role and a text field; parts says that texts
+    are lists of parts; below names the field that holds all of it."""
 
     name: str
     fields: tuple[tuple[str, str], ...] = ()
@@ -43,38 +54,59 @@ class Layout:
     role: str = ""
     text: str = ""
     roles: tuple[tuple[str, str], ...] = ()
+    parts: bool = False
+    below: str = ""
 
     def names(self) -> list[str]:
         return [f for _, f in self.fields] or [self.array]
 
     def structure(self) -> str:
         """What structure_of() gives for a record of exactly this layout."""
+        part = ": ARRAY<OBJECT<text, type>>" if self.parts else ""
         if self.array:
-            return f"OBJECT<{self.array}: ARRAY<OBJECT<{', '.join(sorted((self.role, self.text)))}>>>"
-        return f"OBJECT<{', '.join(sorted(self.names()))}>"
+            inner = f"{self.array}: ARRAY<OBJECT<{', '.join(sorted((self.role, self.text + part)))}>>"
+        else:
+            inner = ", ".join(sorted(f + part for f in self.names()))
+        return f"OBJECT<{self.below}: OBJECT<{inner}>>" if self.below else f"OBJECT<{inner}>"
+
+    def path(self, field: str) -> str:
+        return f"$.{self.below}.{field}" if self.below else f"$.{field}"
 
     def turns(self, record: Column, native: bool = False) -> Column:
         """The turns of a variant, or of a struct column (native)."""
+        inside = record[self.below] if native and self.below else record
 
-        def get(field: str, kind: str) -> Column:
-            return F.try_variant_get(record, f"$.{field}", kind)
+        def plain(text: Column, native: bool = native) -> Column:
+            if native:
+                text = F.array_join(F.transform(text, lambda p: F.coalesce(p["text"], F.lit(""))), "") if self.parts else text.cast("string")
+            else:
+                text = variant_text(text)
+            return F.coalesce(text, F.lit(""))
 
         if self.array:
-            rows = record[self.array] if native else get(self.array, f"array<struct<`{self.role}`: string, `{self.text}`: string>>")
+            kind = f"array<struct<`{self.role}`: string, `{self.text}`: variant>>"
+            rows = inside[self.array] if native else F.try_variant_get(record, self.path(self.array), kind)
 
             def canonical(x: Column) -> Column:
                 role = F.coalesce(x[self.role], F.lit(""))
                 for source, name in self.roles:
                     role = F.when(x[self.role] == source, name).otherwise(role)
-                return F.struct(role.alias("role"), F.coalesce(x[self.text], F.lit("")).alias("text"))
+                return F.struct(role.alias("role"), plain(x[self.text]).alias("text"))
 
             return F.transform(rows, canonical)
-        each = [F.struct(F.lit(role).alias("role"), F.coalesce(record[f].cast("string") if native else get(f, "string"), F.lit("")).alias("text")) for role, f in self.fields]
-        return F.filter(F.array(*each), lambda x: (x["text"] != "") | (x["role"] == "assistant"))
+        texts = [plain(inside[f] if native else F.try_variant_get(record, self.path(f), "variant")) for f in self.names()]
+        return F.array(*[F.struct(F.lit(role).alias("role"), text.alias("text")) for (role, _), text in zip(self.fields, texts, strict=True)])
+
+
+def variant_text(value: Column) -> Column:
+    """A variant's text: the texts of its parts if it is an array, else its value as a string."""
+    parts = F.try_variant_get(value, "$", "array<struct<text: string>>")
+    joined = F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    return F.when(F.schema_of_variant(value).startswith("ARRAY<OBJECT<"), joined).otherwise(F.try_variant_get(value, "$", "string"))
 
 
 SHAREGPT = (("human", "user"), ("gpt", "assistant"))
-LAYOUTS = (
+PLAIN = (
     Layout("messages", array="messages", role="role", text="content"),
     Layout("conversations", array="conversations", role="from", text="value", roles=SHAREGPT),
     Layout("system_prompt_response", (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
@@ -84,6 +116,8 @@ LAYOUTS = (
     Layout("prompt_completion", (("user", "prompt"), ("assistant", "completion"))),
     Layout("question_answer", (("user", "question"), ("assistant", "answer"))),
 )
+#: Each plain layout, below each wrapper, with plain texts and with parts.
+LAYOUTS = tuple(replace(x, below=w, parts=p, name=x.name + ("_parts" if p else "") + (f"_in_{w}" if w else "")) for w in WRAPPERS for p in (False, True) for x in PLAIN)
 
 
 def structure_of(record: Column) -> Column:
@@ -93,15 +127,18 @@ def structure_of(record: Column) -> Column:
 
 def layout_of(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
     """The name of the layout with the record's fingerprint, else of the first whose fields are all present."""
-    print_ = F.xxhash64(structure_of(record))
-    exact, near = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for x in reversed(layouts):
-        exact = F.when(print_ == F.xxhash64(F.lit(x.structure())), x.name).otherwise(exact)
+    exact = F.create_map(*[F.lit(v) for x in layouts for v in (hash_of(x.structure()), x.name)])
+    near = F.lit(None).cast("string")
+    for x in reversed([x for x in layouts if not x.parts]):
         present = F.lit(True)
         for name in x.names():
-            present &= F.try_variant_get(record, f"$.{name}", "variant").isNotNull()
+            present &= F.try_variant_get(record, x.path(name), "variant").isNotNull()
         near = F.when(present, x.name).otherwise(near)
-    return F.coalesce(exact, near)
+    return F.coalesce(F.try_element_at(exact, F.md5(structure_of(record))), near)
+
+
+def hash_of(structure: str) -> str:
+    return hashlib.md5(structure.encode(), usedforsecurity=False).hexdigest()
 
 
 def parsed(json: Column) -> Column:
@@ -122,26 +159,34 @@ def structure_of_type(kind: T.DataType) -> str:
     return kind.simpleString().upper()
 
 
+def replaced(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with these columns, in place of any of the same names."""
+    return df.select(*[c for c in df.columns if c not in columns], *[c.alias(n) for n, c in columns.items()])
+
+
 def native_turns(df: DataFrame, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """canonical_turns() for a struct column: the layout follows from the schema, no text is parsed."""
     kind = df.schema[record].dataType
     exact = [x for x in layouts if x.structure() == structure_of_type(kind)]
-    near = [x for x in layouts if set(x.names()) <= set(kind.names)]
-    none = F.array().cast("array<struct<role: string, text: string>>")
+    near = [x for x in layouts if not x.below and not x.parts and set(x.names()) <= set(kind.names)]
+    none = F.array().cast(TURNS)
     if not exact + near:
-        return df.withColumn("layout", F.lit(None).cast("string")).withColumn("turns", none)
+        return replaced(df, _cf_layout=F.lit(None).cast("string"), _cf_turns=none)
     layout = (exact + near)[0]
-    return df.withColumn("layout", F.lit(layout.name)).withColumn("turns", F.coalesce(layout.turns(F.col(record), native=True), none))
+    return replaced(df, _cf_layout=F.lit(layout.name), _cf_turns=F.coalesce(layout.turns(F.col(record), native=True), none))
 
 
 def canonical_turns(df: DataFrame, json: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """df with layout (string) and turns (array of role, text) for its column of JSON texts."""
-    df = df.withColumn("_cf_record", parsed(F.col(json)))
-    df = df.withColumn("layout", layout_of(F.col("_cf_record"), layouts))
-    turns = F.array().cast("array<struct<role: string, text: string>>")
+    """df with _cf_layout (string) and _cf_turns (array of role, text) for its column of JSON texts."""
+    df = replaced(df, _cf_record=parsed(F.col(json)))
+    df = replaced(df, _cf_layout=layout_of(F.col("_cf_record"), layouts))
+    turns, none = F.lit(None).cast(TURNS), F.array().cast(TURNS)
     for x in layouts:
-        turns = F.when(F.col("layout") == x.name, x.turns(F.col("_cf_record"))).otherwise(turns)
-    return df.withColumn("turns", F.coalesce(turns, F.array().cast("array<struct<role: string, text: string>>"))).drop("_cf_record")
+        # the text of a variant tells itself whether it has parts, so a plain layout reads both
+        if not x.parts:
+            names = [y.name for y in layouts if replace(y, parts=False, name="") == replace(x, name="")]
+            turns = F.when(F.col("_cf_layout").isin(*names), x.turns(F.col("_cf_record"))).otherwise(turns)
+    return replaced(df, _cf_turns=F.coalesce(turns, none)).drop("_cf_record")
 
 
 def quoted(text: str) -> str:
@@ -159,9 +204,9 @@ def unescape(text: Column) -> Column:
 
 
 def format_turns(df: DataFrame) -> DataFrame:
-    """df with formatted (string) and loss_spans (array of start and length in code points, from 0) for its turns."""
-    parts = F.transform("turns", lambda t: F.struct(F.concat(F.lit(START), escape(t["role"]), F.lit(SEP)).alias("head"), escape(t["text"]).alias("text"), (t["role"] == "assistant").alias("loss")))
-    df = df.withColumn("_cf_parts", parts)
+    """df with _cf_formatted (string) and _cf_loss_spans (array of start and length in code points, from 0) for its _cf_turns."""
+    parts = F.transform("_cf_turns", lambda t: F.struct(F.concat(F.lit(START), escape(t["role"]), F.lit(SEP)).alias("head"), escape(t["text"]).alias("text"), (t["role"] == "assistant").alias("loss")))
+    df = replaced(df, _cf_parts=parts)
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start: long, length: long>>").alias("spans"))
 
     def add(a: Column, p: Column) -> Column:
@@ -170,7 +215,7 @@ def format_turns(df: DataFrame) -> DataFrame:
         return F.struct((start + length + len(END)).cast("long").alias("at"), spans.alias("spans"))
 
     text = F.array_join(F.transform("_cf_parts", lambda p: F.concat(p["head"], p["text"], F.lit(END))), "")
-    return df.select("*", text.alias("formatted"), F.aggregate("_cf_parts", zero, add, lambda a: a["spans"]).alias("loss_spans")).drop("_cf_parts")
+    return replaced(df, _cf_formatted=text, _cf_loss_spans=F.aggregate("_cf_parts", zero, add, lambda a: a["spans"])).drop("_cf_parts")
 
 
 def read_turns(formatted: Column) -> Column:
@@ -188,18 +233,73 @@ def read_loss(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
 
 
-def records_of(rows: DataFrame) -> DataFrame:
-    """(conv_id, record): the rows of each conversation, by turn, as a struct of the messages layout."""
+#: Bytes of text up to which the query makes a conversation a JSON record; a longer one stays a struct of columns.
+JSON_BYTES = 4 << 20
+#: The roles, in order, that let a conversation take a layout of fixed fields; all others take one of the two arrays.
+SHAPES = {("user", "assistant"): ("instruction_output", "prompt_response", "prompt_completion", "question_answer"), ("system", "user", "assistant"): ("system_prompt_response",), ("user", "user", "assistant"): ("instruction_input_output",)}
+
+
+def conversations_of(rows: DataFrame) -> DataFrame:
+    """(conv_id, m, bytes): the rows of each conversation, by turn, nulls empty; m: array of turn, role, content."""
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("m"))  # at most a conversation's turns
-    return grouped.select("conv_id", F.struct(F.transform("m", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages")).alias("record"))
+    size = F.sum(F.coalesce(F.octet_length("role"), F.lit(0)).cast("long") + F.coalesce(F.octet_length("text"), F.lit(0)))
+    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("m"), size.alias("bytes"))  # at most a conversation's turns
+
+
+def dealt_json(m: Column, deal: Column) -> Column:
+    """The turns as a JSON record of one of the layouts that their roles allow, by the number deal: below a wrapper or not,
+    texts as strings or as parts."""
+    by_name = {x.name: x for x in PLAIN}
+
+    def part(text: Column, parts: bool) -> Column:
+        return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))) if parts else text
+
+    def json(x: Layout, below: str, parts: bool) -> Column:
+        if x.array:
+            def row(t: Column) -> Column:
+                role = t["role"]
+                for source, name in x.roles:
+                    role = F.when(t["role"] == name, source).otherwise(role)
+                return F.struct(role.alias(x.role), part(t["content"], parts).alias(x.text))
+
+            inner = F.struct(F.transform(m, row).alias(x.array))
+        else:
+            inner = F.struct(*[part(m[i]["content"], parts).alias(f) for i, f in enumerate(x.names())])
+        return F.to_json(F.struct(inner.alias(below)) if below else inner)
+
+    def pick(names: tuple[str, ...]) -> Column:
+        ways = [(by_name[n], w, p) for n in names for w in WRAPPERS[:2] for p in (False, True)]
+        out = json(*ways[0])
+        for i, way in enumerate(ways[1:], 1):
+            out = F.when(F.pmod(deal, F.lit(len(ways))) == i, json(*way)).otherwise(out)
+        return out
+
+    roles = F.array_join(F.transform(m, lambda t: t["role"]), "\n")
+    odd = F.exists(m, lambda t: t["role"].isin(*[source for source, _ in SHAREGPT]))
+    out = F.when(odd, pick(("messages",))).otherwise(pick(("messages", "conversations")))
+    for shape, names in SHAPES.items():
+        out = F.when(roles == "\n".join(shape), pick(names)).otherwise(out)
+    return out
+
+
+def formatted(rows: DataFrame) -> DataFrame:
+    """(conv_id, _cf_layout, _cf_formatted, _cf_loss_spans) of all conversations: records of many layouts, each read by its fingerprint."""
+    every = conversations_of(rows)
+    record = F.struct(F.transform("m", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"))
+    short = F.col("bytes") <= JSON_BYTES
+    both = every.select("conv_id", F.when(short, dealt_json(F.col("m"), F.xxhash64("conv_id"))).alias("json"), F.when(~short, record).alias("record"))
+    both = canonical_turns(both, "json").select("conv_id", "record", F.col("_cf_layout").alias("l"), F.col("_cf_turns").alias("t"))
+    both = native_turns(both, "record")
+    long = F.col("record").isNotNull()
+    both = both.select("conv_id", F.when(long, F.col("_cf_layout")).otherwise(F.col("l")).alias("_cf_layout"), F.when(long, F.col("_cf_turns")).otherwise(F.col("t")).alias("_cf_turns"))
+    return format_turns(both).select("conv_id", "_cf_layout", "_cf_formatted", "_cf_loss_spans")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    out = format_turns(native_turns(records_of(rows.unionByName(more)), "record")).select("conv_id", "formatted", "loss_spans")
-    back = out.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("t"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    out = formatted(rows.unionByName(more))
+    back = out.select("conv_id", F.col("_cf_formatted").alias("formatted"), read_turns(F.col("_cf_formatted")).alias("t"), read_loss(F.col("_cf_formatted"), F.col("_cf_loss_spans")).alias("loss"))
     digest = F.sha2(F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), ""), 256)
     return back.select(
         "conv_id", F.size("t").cast("long").alias("n_turns"), digest.alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
