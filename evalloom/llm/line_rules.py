@@ -1,11 +1,14 @@
 """Line-first quality cleaning, in native expressions only.
 
-Each line is judged on its own: punctuation (symbol characters or repeated marks on many of its words, or all capitals),
-navigation (a chain of separated labels), boilerplate (web phrases). Failing lines are removed, and a document that
-loses more than `max_loss` of its words is rejected. The document statistics of the contract come from the same arrays.
+Each line is judged on its own and by its neighbours: punctuation (symbol characters or repeated marks on many of its words,
+all capitals, no letter at all), navigation (a chain of separated labels, or a run of `MENU_LINES` or more short lines
+without an end mark, as menus are), boilerplate (web phrases in English, German, French and Spanish). Failing lines are removed,
+and a document that loses more than `max_loss` of its words is rejected. The document statistics of the contract come from the
+same arrays. What only few texts hold is looked for in the whole text first, so that clean texts skip the line rules.
 
 Defined cases: null is a text without words (counts 0, base_failed true); repeated rows are judged alike, each on its own;
-nothing is shuffled, so a hot source or a long text only costs its own length.
+nothing is shuffled, so a hot source or a long text only costs its own length; an empty table gives no rows; blank lines are no
+part of a run and don't end one; input columns called `_lr` are replaced.
 """
 
 from __future__ import annotations
@@ -21,49 +24,89 @@ SPACES = r"[\x20\x09-\x0D]+"
 BOILERPLATE = (
     "accept all cookies", "all rights reserved", "click here", "cookie policy", "enable javascript", "lorem ipsum", "powered by wordpress",
     "privacy policy", "skip to content", "subscribe to our", "terms of service", "terms of use", "use of cookies",
+    "alle cookies akzeptieren", "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "bitte aktivieren sie javascript", "cookie-richtlinie", "datenschutzerklärung", "hier klicken", "newsletter abonnieren",
+    "accepter tous les cookies", "cliquez ici", "conditions d'utilisation", "inscrivez-vous à notre newsletter", "mentions légales", "politique de confidentialité", "politique de cookies", "tous droits réservés", "veuillez activer javascript",
+    "aceptar todas las cookies", "activar javascript", "aviso legal", "haga clic aquí", "política de cookies", "política de privacidad", "suscríbete a nuestro", "términos y condiciones", "todos los derechos reservados",
 )
+#: Marks that end a sentence, at a line's end.
+END_MARKS = r"[.!?:;…]['\"”’»)]*$"
 MAX_SYMBOLS_A_WORD, MAX_MARKED, MIN_LABELS, MAX_LOSS = 0.3, 0.3, 4, 0.5
+MENU_WORDS, MENU_LINES = 3, 4
 MIN_WORDS, MAX_REPEATED, WINDOW = 10, 20, 5
+SEPARATED, MARKED = r" [|»›·>] ", r"[!?]{2,}"
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES), "")
 
 
-def line_fails(line: Column, n_words: Column) -> Column:
-    """The verdict on one line with n_words > 0 words."""
-    symbols = F.length(line) - F.length(F.regexp_replace(line, SYMBOLS + "+", ""))
-    marked = F.regexp_count(line, F.lit(r"[!?]{2,}"))
-    labels = F.regexp_count(line, F.lit(r" [|»›·>] "))
-    shouted = (n_words >= 3) & (F.upper(line) == line) & (F.lower(line) != line)
-    low = F.lower(line)
-    phrase = low.rlike("|".join(BOILERPLATE))
-    return (symbols > F.lit(MAX_SYMBOLS_A_WORD) * n_words) | (marked > F.lit(MAX_MARKED) * n_words) | shouted | (labels + 1 >= MIN_LABELS) | phrase
+def holds_phrase(text: Column) -> Column:
+    """Whether a text holds a phrase of BOILERPLATE, by plain searches: an alternation would try each phrase at each place."""
+
+    def any_of(low: Column) -> Column:
+        out = F.lit(False)
+        for x in BOILERPLATE:
+            out |= F.contains(low, F.lit(x))
+        return out
+
+    return let(F.lower(text), any_of)
+
+
+def n_symbols(text: Column) -> Column:
+    return F.length(text) - F.length(F.regexp_replace(text, SYMBOLS + "+", ""))
+
+
+def line_fails(line: Column, n_words: Column, may: Column) -> Column:
+    """The verdict on one line with n_words > 0 words; may: what its text holds at all."""
+    symbols = may["symbols"] & (n_symbols(line) > F.lit(MAX_SYMBOLS_A_WORD) * n_words)
+    marked = may["marked"] & (F.regexp_count(line, F.lit(MARKED)) > F.lit(MAX_MARKED) * n_words)
+    labels = may["separated"] & (F.regexp_count(line, F.lit(SEPARATED)) + 1 >= MIN_LABELS)
+    lowered = F.lower(line)
+    upper = (n_words >= 3) & (F.upper(line) == line) & (lowered != line)
+    wordless = (F.upper(line) == line) & (lowered == line) & ~line.rlike(r"\p{L}")
+    return symbols | marked | labels | upper | wordless | (may["phrase"] & holds_phrase(line))
+
+
+def menu_lines(lines: Column) -> Column:
+    """For each of a text's worded lines (short: few words and no end mark) 1 if it is in a run of MENU_LINES short ones, else 0."""
+    flags = F.array_join(F.transform(lines, lambda x: F.when(x["short"], "1").otherwise("0")), "")
+    for n in range(1, MENU_LINES):
+        flags = F.regexp_replace(flags, f"(?<!1){'1' * n}(?!1)", "0" * n)
+    return F.split(flags, "")
 
 
 def repeated_words(words: Column) -> Column:
-    """Words in windows found twice or more. Hashes show whether any window repeats; if so, the windows themselves are
-    sorted with their places, and the places of equal neighbours are merged."""
+    """Words in windows found twice or more. Hashes show whether any window repeats; if so, hashes are sorted with their places, and
+    the places of equal neighbours are merged."""
 
     def count(w: Column) -> Column:
         last = F.size(w) - (WINDOW - 1)
 
-        def exact(w: Column) -> Column:
-            windows = F.sort_array(F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.array_join(F.slice(w, i, F.lit(WINDOW)), " ").alias("s"), i.alias("i"))))
+        def window(i: Column) -> Column:
+            return F.array_join(F.slice(w, i, F.lit(WINDOW)), " ")
+
+        def cover(p: Column) -> Column:
+            start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
+            step = lambda a, i: F.struct((a["n"] + i + WINDOW - F.greatest(i, a["to"])).alias("n"), (i + WINDOW).alias("to"))
+            return F.aggregate(p, start, step, lambda a: a["n"])
 
-            def places(s: Column) -> Column:
-                same = lambda a, b: F.coalesce(a["s"] == b["s"], F.lit(False))
-                return F.sort_array(F.transform(F.filter(s, lambda x, k: same(F.get(s, k - 1), x) | same(F.get(s, k + 1), x)), lambda x: x["i"]))
+        def places(s: Column, same) -> Column:
+            return F.sort_array(F.transform(F.filter(s, lambda x, k: F.coalesce(same(F.get(s, k - 1), x), F.lit(False)) | F.coalesce(same(F.get(s, k + 1), x), F.lit(False))), lambda x: x["i"]))
 
-            def cover(p: Column) -> Column:
-                start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
-                step = lambda a, i: F.struct((a["n"] + i + WINDOW - F.greatest(i, a["to"])).alias("n"), (i + WINDOW).alias("to"))
-                return F.aggregate(p, start, step, lambda a: a["n"])
+        def by_hash(h: Column) -> Column:
+            """Neighbours of equal hash in sorted order; if any of them differ as strings, the strings are sorted instead."""
+            pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("s"), (i + 1).alias("i"))))
 
-            return let(let(windows, places), cover)
+            def check(s: Column) -> Column:
+                collide = F.exists(F.sequence(F.lit(1), F.size(s) - 1), lambda k: (F.get(s, k)["s"] == F.get(s, k - 1)["s"]) & (window(F.get(s, k)["i"]) != window(F.get(s, k - 1)["i"])))
+                strings = F.sort_array(F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(window(i).alias("s"), i.alias("i"))))
+                found = places(s, lambda a, b: a["s"] == b["s"])
+                return F.when(collide, let(strings, lambda t: let(places(t, lambda a, b: a["s"] == b["s"]), cover))).otherwise(let(found, cover))
+
+            return let(pairs, check)
 
         def checked(h: Column) -> Column:
-            return F.when(F.size(F.array_distinct(h)) < F.size(h), exact(w)).otherwise(F.lit(0))
+            return F.when(F.size(F.array_distinct(h)) < F.size(h), by_hash(h)).otherwise(F.lit(0))
 
         hashes = let(F.transform(w, lambda x: F.xxhash64(x)), lambda g: F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.xxhash64(*(F.get(g, i + k) for k in range(WINDOW)))))
         return F.when(last >= 2, let(hashes, checked)).otherwise(F.lit(0))
@@ -76,26 +119,38 @@ def judge(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def of_line(line: Column) -> Column:
-        n = F.size(words_of(line))
-        return F.struct(line.alias("line"), n.alias("n"), ((n > 0) & line_fails(line, n)).alias("fails"))
-
-    rows = docs.withColumn("_lr_words", words_of(text)).withColumn("_lr_lines", F.transform(F.split(text, "\n"), of_line))
-    worded = F.transform(F.filter("_lr_lines", lambda x: x["n"] > 0), lambda x: x["line"])
+        def counted(w: Column) -> Column:
+            n = F.size(w)
+            short = (n <= MENU_WORDS) & ~line.rlike(END_MARKS)
+            return F.struct(line.alias("line"), w.alias("words"), n.alias("n"), ((n > 0) & line_fails(line, n, F.col("_lr_may"))).alias("fails"), short.alias("short"))
+
+        return let(words_of(line), counted)
+
+    may = F.struct((n_symbols(text) > 0).alias("symbols"), text.rlike(MARKED).alias("marked"), text.rlike(SEPARATED).alias("separated"), holds_phrase(text).alias("phrase"))
+    plain = [c for c in docs.columns if c != "_lr"]
+    rows = docs.select(*plain, may.alias("_lr_may"))
+    rows = rows.select("*", F.transform(F.split(text, "\n"), of_line).alias("_lr_every"))
+    rows = rows.withColumn("_lr_worded", F.filter("_lr_every", lambda x: x["n"] > 0)).withColumn("_lr_words", F.flatten(F.transform("_lr_worded", lambda x: x["words"])))
+    # a line's verdict with its run's; blank lines have no place in the runs and stay
+    judged = F.zip_with("_lr_worded", menu_lines(F.col("_lr_worded")), lambda x, m: F.struct(x["line"].alias("line"), x["n"].alias("n"), (x["fails"] | (m == "1")).alias("fails")))
+    rows = rows.withColumn("_lr_lines", F.filter(judged, lambda x: x["line"].isNotNull()))
+    worded = F.transform("_lr_worded", lambda x: x["line"])
     n_words = F.size("_lr_words").cast("long")
+    none = ~F.exists("_lr_lines", lambda x: x["fails"])
     rows = rows.select(
-        *docs.columns,
+        *plain,
         n_words.alias("_lr_n"),
         F.length(F.array_join("_lr_words", "")).cast("long").alias("_lr_chars"),
-        (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS + "+", ""))).cast("long").alias("_lr_symbols"),
+        n_symbols(text).cast("long").alias("_lr_symbols"),
         let(worded, lambda x: (F.size(x) - F.size(F.array_distinct(x)))).cast("long").alias("_lr_dups"),
         repeated_words(F.col("_lr_words")).cast("long").alias("_lr_repeated"),
         F.aggregate("_lr_lines", F.lit(0), lambda a, x: a + F.when(x["fails"], 0).otherwise(x["n"])).cast("long").alias("_lr_kept"),
-        F.array_join(F.transform(F.filter("_lr_lines", lambda x: ~x["fails"]), lambda x: x["line"]), "\n").alias("_lr_text"),
+        F.when(none, text).otherwise(F.array_join(F.transform(F.filter("_lr_lines", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")).alias("_lr_text"),
     )
     failed = (F.col("_lr_n") < MIN_WORDS) | (100 * F.col("_lr_repeated") > MAX_REPEATED * F.col("_lr_n"))
     kept = ~failed & (F.col("_lr_kept") >= (1 - max_loss) * F.col("_lr_n"))
     return rows.select(
-        *docs.columns,
+        *plain,
         F.struct(
             F.col("_lr_n").alias("n_words"), F.col("_lr_chars").alias("word_chars"), F.col("_lr_symbols").alias("n_symbols"), F.col("_lr_dups").alias("n_dup_lines"),
             F.col("_lr_repeated").alias("n_repeat_words"), F.col("_lr_kept").alias("kept_words"), F.col("_lr_text").alias("clean_text"), failed.alias("base_failed"), kept.alias("kept"),
@@ -118,16 +173,22 @@ cover AS (
   SELECT doc_id, CAST(sum(least(5, coalesce(nxt - i, 5))) AS BIGINT) AS n_repeat_words
   FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM often) GROUP BY doc_id),
 lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
 lined AS (
   SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines),
-judged AS (
+single AS (
   SELECT *, length(line) - length(regexp_replace(line, '[#*$%&|<>]+', '', 'g')) > 0.3 * n
      OR len(regexp_extract_all(line, '[!?]{2,}')) > 0.3 * n
      OR (n >= 3 AND upper(line) = line AND lower(line) <> line)
+     OR NOT regexp_matches(line, '\p{L}')
      OR len(regexp_extract_all(line, ' [|»›·>] ')) + 1 >= 4
-     OR regexp_matches(lower(line), 'accept all cookies|all rights reserved|click here|cookie policy|enable javascript|lorem ipsum|powered by wordpress|privacy policy|skip to content|subscribe to our|terms of service|terms of use|use of cookies') AS fails
+     OR PHRASES AS fails,
+     n <= 3 AND NOT regexp_matches(line, '[.!?:;…][''"”’»)]*$') AS short
   FROM lined WHERE n > 0),
+islands AS (
+  SELECT *, sum(CAST(NOT short AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM single),
+judged AS (
+  SELECT doc_id, line, n, fails OR (short AND count(*) FILTER (WHERE short) OVER (PARTITION BY doc_id, island) >= 4) AS fails FROM islands),
 per AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, CAST(coalesce(sum(n) FILTER (WHERE NOT fails), 0) AS BIGINT) AS kept_words
   FROM judged GROUP BY doc_id),
@@ -140,4 +201,4 @@ stats AS (
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND kept_words >= 0.5 * n_words AS kept
 FROM stats
-"""
+""".replace("PHRASES", " OR ".join("contains(lower(line), '{}')".format(x.replace("'", "''")) for x in BOILERPLATE))
