@@ -5,7 +5,8 @@ found in it as parts of sentences, also wrapped over lines and behind comment pr
 identifiers out, so a short notice inside a full text isn't reported twice.
 
 Defined cases: null, empty and licence-free texts have no sentences and an empty list; repeated sentences are in the
-sequence each time, licences are named once, in the rules' order; rows are independent of each other.
+sequence each time, licences are named once, in the rules' order; rows are independent of each other, so repeated rows come out
+alike; texts are whole, whatever their length; an empty table gives no rows; input columns called `_lic_*` are replaced.
 """
 
 from __future__ import annotations
@@ -36,6 +37,32 @@ SENTENCES = {
     "either version 3 of the license or at your option any later version": "gpl3.later",
     "either version 2 of the license or at your option any later version": "gpl2.later",
     "spdx license identifier gpl 3 0 or later": "gpl3.spdx",
+    "spdx license identifier gpl 3 0 only": "gpl3only.spdx",
+    "spdx license identifier gpl 2 0 or later": "gpl2.spdx",
+    "spdx license identifier gpl 2 0 only": "gpl2only.spdx",
+    "spdx license identifier gpl 2 0": "gpl2only.spdx",
+    "spdx license identifier lgpl 2 1 or later": "lgpl21.spdx",
+    "spdx license identifier lgpl 3 0 or later": "lgpl3.spdx",
+    "spdx license identifier agpl 3 0 or later": "agpl3.spdx",
+    "spdx license identifier agpl 3 0 only": "agpl3only.spdx",
+    "spdx license identifier bsd 3 clause": "bsd3.spdx",
+    "spdx license identifier bsd 2 clause": "bsd2.spdx",
+    "spdx license identifier isc": "isc.spdx",
+    "spdx license identifier mpl 2 0": "mpl2.spdx",
+    "spdx license identifier cc0 1 0": "cc0.spdx",
+    "spdx license identifier unlicense": "unlicense.spdx",
+    "spdx license identifier bsl 1 0": "bsl.spdx",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl.redistribute",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "agpl.redistribute",
+    "either version 2 1 of the license or at your option any later version": "lgpl21.later",
+    "this library is free software": "gpl.free",
+    "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law": "cc0.waive",
+    "creative commons legal code cc0 1 0 universal": "cc0.title",
+    "cc0 1 0 universal public domain dedication": "cc0.title",
+    "this is free and unencumbered software released into the public domain": "unlicense.free",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense.anyone",
+    "boost software license version 1 0": "bsl.title",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software": "bsl.grant",
     "licensed under cc by nc 4 0": "ccbync4.ref",
     "licensed under cc by 4 0": "ccby4.ref",
     "licensed under cc by sa 4 0": "ccbysa4.ref",
@@ -61,7 +88,29 @@ RULES = (
     ("Apache-2.0", ("apache.spdx",)),
     ("GPL-3.0-or-later", ("gpl.free", "gpl.redistribute", "gpl3.later")),
     ("GPL-2.0-or-later", ("gpl.free", "gpl.redistribute", "gpl2.later")),
+    ("LGPL-3.0-or-later", ("gpl.free", "lgpl.redistribute", "gpl3.later")),
+    ("LGPL-2.1-or-later", ("gpl.free", "lgpl.redistribute", "lgpl21.later")),
+    ("AGPL-3.0-or-later", ("gpl.free", "agpl.redistribute", "gpl3.later")),
     ("GPL-3.0-or-later", ("gpl3.spdx",)),
+    ("GPL-3.0-only", ("gpl3only.spdx",)),
+    ("GPL-2.0-or-later", ("gpl2.spdx",)),
+    ("GPL-2.0-only", ("gpl2only.spdx",)),
+    ("LGPL-2.1-or-later", ("lgpl21.spdx",)),
+    ("LGPL-3.0-or-later", ("lgpl3.spdx",)),
+    ("AGPL-3.0-or-later", ("agpl3.spdx",)),
+    ("AGPL-3.0-only", ("agpl3only.spdx",)),
+    ("BSD-3-Clause", ("bsd3.spdx",)),
+    ("BSD-2-Clause", ("bsd2.spdx",)),
+    ("ISC", ("isc.spdx",)),
+    ("MPL-2.0", ("mpl2.spdx",)),
+    ("CC0-1.0", ("cc0.spdx",)),
+    ("CC0-1.0", ("cc0.waive",)),
+    ("CC0-1.0", ("cc0.title",)),
+    ("Unlicense", ("unlicense.spdx",)),
+    ("Unlicense", ("unlicense.free", "unlicense.anyone")),
+    ("BSL-1.0", ("bsl.spdx",)),
+    ("BSL-1.0", ("bsl.grant",)),
+    ("BSL-1.0", ("bsl.title",)),
     ("GPL-3.0", ("gpl3.ref",)),
     ("CC-BY-NC-4.0", ("ccbync4.ref",)),
     ("CC-BY-SA-4.0", ("ccbysa4.ref",)),
@@ -71,7 +120,7 @@ RULES = (
     ("all-rights-reserved", ("reserved",)),
 )
 #: Each known sentence holds one of these, so a line without them holds no known sentence.
-HINTS = r"(?i)licen[cs]|copyright|reserved|redistribut|permission|warrant|software|version [23]|copy of"
+HINTS = r"(?i)licen[cs]|copyright|reserved|redistribut|permission|warrant|software|version [23]|copy of|cc0|public domain"
 
 
 #: Between two words of a clause: a blank, a line's end, or a stop inside a line; never an empty line.
@@ -143,7 +192,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """docs, all columns, with `_lic_found` (array of line and id) and `_lic_names` (array of licences)."""
     text = F.col("text")
     none = F.array().cast("array<struct<line: int, id: string>>")
-    out = docs.withColumn("_lic_found", F.when(text.rlike(HINTS), F.filter(found_in(text), lambda x: x["id"].isNotNull())).otherwise(none))
+    plain = [c for c in docs.columns if not c.startswith("_lic_")]
+    out = docs.select(*plain, F.when(text.rlike(HINTS), F.filter(found_in(text), lambda x: x["id"].isNotNull())).otherwise(none).alias("_lic_found"))
     out = out.withColumn("_lic_rest", F.concat(F.lit("|"), F.array_join(F.transform("_lic_found", lambda x: F.concat(x["id"], F.lit("|"))), "")))
     names = []
     for i, (name, ids) in enumerate(RULES):
@@ -153,7 +203,7 @@ def scan(docs: DataFrame) -> DataFrame:
             out = out.withColumn("_lic_rest", F.regexp_replace("_lic_rest", pattern, ""))
         names.append(F.col(f"_lic_{i}"))
     names = F.array_distinct(F.array_compact(F.array(*names)))
-    return out.select(*docs.columns, "_lic_found", names.alias("_lic_names"))
+    return out.select(*plain, "_lic_found", names.alias("_lic_names"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
