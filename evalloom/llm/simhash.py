@@ -8,7 +8,8 @@ fingerprints, so that tables stay sparse at any size.
 
 Rows that meet are dealt by segment value and worked off in sorted order; each task emits a spanning forest of the links it
 verifies, never all pairs of a group, and components follow by alternating large-star and small-star rounds on
-tables in the shared folder.
+tables in the shared folder. A value under which more than HOT_KEY fingerprints meet is dealt again, by max_bits + 1 parts
+of the bits outside its segment: two that link agree in one of these parts, so no link is lost and no task gets them all.
 
 Defined cases: a text without a word (null, empty, white space) has fingerprint zero and links like any other; fewer
 words than a shingle make one shingle; rows that share a doc_id are documents of their own; a null doc_id is ignored
@@ -26,11 +27,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm._shared import materialize, table
+from evalloom.llm._shared import discard, materialize, table
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Buckets up to this many rows are compared by shifted arrays; larger ones by growing components.
 SMALL_BUCKET = 48
+#: Fingerprints under one value up to which they are dealt by it alone.
+HOT_KEY = 50_000
+#: Hot values up to which they are broadcast.
+BROADCAST_HOT = 100_000
 #: Row keys (doc_id and hashes of the text, 20 bytes each) up to which keep_one broadcasts them; beyond, it shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -120,20 +125,26 @@ def forest(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray
         left.append(f[near])
         right.append(f[near + d])
     for s, n in zip(starts[big], sizes[big], strict=True):
-        rest = np.unique(fps[s : s + n])
-        while len(rest):
-            front, rest = [rest[0]], rest[1:]
-            while front and len(rest):
-                x = front.pop()
-                near = np.bitwise_count(rest ^ x) <= max_bits
-                found, rest = rest[near], rest[~near]
-                left.append(np.full(len(found), x))
-                right.append(found)
-                front.extend(found)
+        for a, b in grown(np.unique(fps[s : s + n]), max_bits):
+            left.append(a)
+            right.append(b)
     a, b = (np.concatenate(x) if x else np.empty(0, fps.dtype) for x in (left, right))
     return spanning(a, b)
 
 
+def grown(rest: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect what all links among rest connect, by growing components: quick where most of them link."""
+    while len(rest):
+        front, rest = [rest[0]], rest[1:]
+        while front and len(rest):
+            x = front.pop()
+            near = np.bitwise_count(rest ^ x) <= max_bits
+            if near.any():
+                found, rest = rest[near], rest[~near]
+                yield np.full(len(found), x), found
+                front.extend(found)
+
+
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Those of the links (a, b) that join what the earlier ones had not joined."""
     keep, up = [], {}
@@ -155,29 +166,62 @@ def links(fps: DataFrame, n: int, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b): links that connect what all links within max_bits of the n different fps connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.empty(0, np.int64), np.empty(0, np.uint64)
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                held_k = np.concatenate([held_k, batch.column(0).to_numpy()])
-                held_f = np.concatenate([held_f, batch.column(1).to_numpy().view(np.uint64)])
-                whole = np.searchsorted(held_k, held_k[-1]) if len(held_k) else 0  # the last key may go on
-            else:
-                whole = len(held_k)
-            if whole:
-                a, b = forest(held_k[:whole], held_f[:whole], max_bits)
-                held_k, held_f = held_k[whole:], held_f[whole:]
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the last key, which may go on in the next batch
+
+        def linked() -> Iterator[pa.RecordBatch]:
+            if held:
+                a, b = forest(*(np.concatenate(x) for x in zip(*held, strict=True)), max_bits)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    dealt = probes(fps, plan(n, max_bits)).repartition("key").sortWithinPartitions("key")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            last = int(np.searchsorted(k, k[-1]))
+            if last or held and held[-1][0][-1] != k[-1]:
+                held.append((k[:last], f[:last]))
+                yield from linked()
+                held.clear()
+            held.append((k[last:], f[last:]))
+        yield from linked()
+
+    segments = plan(n, max_bits)
+    keyed = probes(fps, segments)
+    hot = materialize(keyed.groupBy("key").count().where(F.col("count") > HOT_KEY).select("key"), "hot")
+    found = hot.count()  # at most the rows over HOT_KEY
+    if found:
+        few = F.broadcast(hot) if found <= BROADCAST_HOT else hot
+        keyed = keyed.join(few, "key", "left_anti").unionByName(dealt_again(keyed.join(few, "key", "left_semi"), segments, max_bits))
+    dealt = keyed.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def dealt_again(keyed: DataFrame, segments: list[tuple[int, int, int]], max_bits: int) -> DataFrame:
+    """(key, fp) of hot keys under keys of their own: the old one and one of max_bits + 1 parts of the bits outside its segment."""
+    turned, free = F.lit(None).cast("long"), F.lit(None).cast("int")
+    for i, (first, bits, _) in enumerate(segments):
+        at = (first + bits) % 64
+        here = F.shiftrightunsigned("key", 48) == i
+        around = F.shiftrightunsigned("fp", at).bitwiseOR(F.shiftleft("fp", 64 - at)) if at else F.col("fp")
+        turned, free = F.when(here, around).otherwise(turned), F.when(here, 64 - bits).otherwise(free)
+    rows = keyed.select("key", "fp", turned.alias("_turned"), free.alias("_free"))
+    parts = []
+    for j in range(max_bits + 1):
+        lo, hi = (F.floor(F.col("_free") * x / (max_bits + 1)).cast("int") for x in (j, j + 1))
+        value = F.call_function("shiftrightunsigned", F.col("_turned"), lo).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), hi - lo) - 1)
+        parts.append(F.xxhash64("key", F.lit(j), value))  # parts that share a hash only meet too often: links are verified
+    return rows.select(F.explode(F.array(*parts)).alias("key"), "fp")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b) that is not its component's least; large-star and small-star rounds."""
     star = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    seen = None
+    seen = last = None
+    spark = edges.sparkSession
     for i in itertools.count():
         star = materialize(star, f"star{i}")
+        if last:
+            discard(spark, *last)
         now = tuple(star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen or not now[0]:
             return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -186,6 +230,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = materialize(large.distinct(), f"large{i}")
+        last = star, large
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = small.union(low).where("u <> v").distinct()
@@ -195,11 +240,13 @@ def placed(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS, seed
     """fingerprints() of the rows, with root (of the component, also where all its ids are null) and component_id."""
     own = materialize(fingerprints(docs, width, seed), "fingerprints")
     different = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "different")
-    found = components(materialize(links(different.select("fp"), different.count(), max_bits), "links"))
+    edges = materialize(links(different.select("fp"), different.count(), max_bits), "links")
+    found = components(edges)
     rooted = different.join(found, different.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     reach = materialize(rooted.join(ids, "root").select("fp", "root", "component_id"), "reach")
+    discard(docs.sparkSession, different, edges, rooted)
     return own.join(reach, "fp")
 
 
