@@ -117,3 +117,22 @@ def test_query_matches_brute_force(spark):
     comp = brute_components(fps)
     want = {r.doc_id: (f"{fps[i]:016x}", min(docs[j].doc_id for j in comp[i])) for i, r in enumerate(docs)}
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.query(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+@pytest.mark.parametrize("planned", [500, 5_000_000])
+def test_hot_keys_lose_no_link(spark, monkeypatch, planned):
+    monkeypatch.setattr(simhash, "HOT_KEY", 5)
+    rng = random.Random(planned + 1)
+    base, fps = rng.getrandbits(64), clustered(rng, 300)
+    for _ in range(250):
+        x = base
+        for b in rng.sample(range(40, 64), rng.randint(0, 9)):
+            x ^= 1 << b
+        fps.append(x)
+    fps = sorted(set(fps))
+    signed = {f: int(np.uint64(f).view(np.int64)) for f in fps}
+    found = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame([(x,) for x in signed.values()], "fp long"), planned)).collect()}
+    groups = {}
+    for f, x in signed.items():
+        groups.setdefault(found.get(x, x), set()).add(f)
+    assert {frozenset(g) for g in groups.values()} == {frozenset(fps[i] for i in g) for g in brute_components(fps)}
