@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Replicates that are drawn at once.
+CHUNK = 500
+
+
 def mcnemar_exact(worse: Column, better: Column) -> Column:
     """min(1, 2 sum C(n, i) / 2^n) for i up to the smaller count, with terms in log space: no underflow at any n."""
     n, k = (worse + better).cast("double"), F.least(worse, better)
@@ -36,20 +41,32 @@ def bootstrap_md5(df: DataFrame, keys: list[str], order: str, diff: str, reps: i
     return picked.groupBy(*keys, "rep").agg((F.sum("d") / F.count("*")).alias("mean_diff"))
 
 
-def bootstrap_counts(df: DataFrame, keys: list[str], reps: int = 10_000, seed: int = 249) -> DataFrame:
-    """Intervals of binary paired differences from their three counts: a multinomial draw a replicate, O(reps) a group
-    whatever its size. df: keys, worse, better, n."""
+def stream_of(seed: int, values: list) -> np.random.Generator:
+    """A random stream of its own for each cell: the same in every process and order. Whole numbers seed as they are, all else by CRC-32."""
+    return np.random.default_rng([seed, *(int(v) if str(v).isdigit() else zlib.crc32(str(v).encode()) for v in values)])
+
+
+def bootstrap_counts(df: DataFrame, keys: list[str], reps: int = 10_000, seed: int = 249, order_statistics: bool = False) -> DataFrame:
+    """Intervals of the mean paired difference, in points. df: keys, diff, n (how many pairs differ by diff). Resampling pairs
+    is a multinomial draw over the different values, of which scores have few: O(values x reps) a cell whatever its size. All differences
+    zero give (0, 0) and draw nothing. order_statistics: the bounds are sorted replicates, not interpolated ones."""
 
     def interval(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        rng = np.random.default_rng([seed, *(abs(hash(str(r[k]))) % 2**31 if not str(r[k]).isdigit() else int(r[k]) for k in keys)])
-        if not r["worse"] and not r["better"]:
-            lo = hi = 0.0
-        else:
-            p = np.array([r["worse"], r["better"], r["n"] - r["worse"] - r["better"]], float) / r["n"]
-            draw = rng.multinomial(int(r["n"]), p, size=reps)
-            lo, hi = np.percentile(100 * (draw[:, 1] - draw[:, 0]) / r["n"], [2.5, 97.5])
-        return pdf.assign(ci_lo=float(lo), ci_hi=float(hi))[[*keys, "ci_lo", "ci_hi"]]
+        pdf = pdf.sort_values("diff")
+        d, n = pdf["diff"].to_numpy(float), pdf["n"].to_numpy(float)
+        lo = hi = 0.0
+        if np.abs(d).max() > 1e-8:
+            rng = stream_of(seed, [pdf.iloc[0][k] for k in keys])
+            draws = [rng.multinomial(int(n.sum()), n / n.sum(), size=min(CHUNK, reps - s)) @ d for s in range(0, reps, CHUNK)]
+            means = 100 * np.sort(np.concatenate(draws)) / n.sum()
+            lo, hi = (means[int(0.025 * reps)], means[int(0.975 * reps)]) if order_statistics else np.percentile(means, [2.5, 97.5])
+        return pdf.iloc[:1].assign(ci_lo=float(lo), ci_hi=float(hi))[[*keys, "ci_lo", "ci_hi"]]
 
     kinds = dict(df.dtypes)
     return df.groupBy(*keys).applyInPandas(interval, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "ci_lo double", "ci_hi double"]))
+
+
+def bootstrap_pairs(pairs: DataFrame, keys: list[str], **how) -> DataFrame:
+    """bootstrap_counts() of pairs (keys, score, base_score)."""
+    counted = pairs.groupBy(*keys, F.round(F.col("score") - F.col("base_score"), 9).alias("diff")).agg(F.count("*").alias("n"))
+    return bootstrap_counts(counted, keys, **how)

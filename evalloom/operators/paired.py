@@ -33,21 +33,43 @@ def run_metrics(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def pair_with_base(valid: DataFrame, base: int) -> DataFrame:
-    """Every other config's valid rows beside the baseline's, on (dataset, idx)."""
-    b = valid.where(F.col("config") == base).select("dataset", "idx", F.col("score").alias("base_score"), F.col("predicted").alias("base_predicted"))
-    return valid.where(F.col("config") != base).join(b, ["dataset", "idx"])
+    """Every other config's valid rows beside the baseline's, on (dataset, idx): the few rows of a record meet in one aggregate, so the
+    log is read and shuffled once."""
+    rest = [c for c in valid.columns if c not in ("dataset", "idx")]
+    first = F.col("config") == base
+    met = valid.groupBy("dataset", "idx").agg(F.max(F.when(first, F.struct("score", "predicted"))).alias("_b"), F.collect_list(F.when(~first, F.struct(*rest))).alias("_o"))
+    pairs = met.where(F.col("_b").isNotNull()).select("dataset", "idx", F.col("_b.score").alias("base_score"), F.col("_b.predicted").alias("base_predicted"), F.explode("_o").alias("_r"))
+    return pairs.select("dataset", "idx", *[F.col(f"_r.{c}").alias(c) for c in rest], "base_score", "base_predicted")
 
 
 def paired_delta(pairs: DataFrame, *keys: str) -> DataFrame:
-    worse, better = F.count_if((F.col("base_score") == 1) & (F.col("score") == 0)), F.count_if((F.col("base_score") == 0) & (F.col("score") == 1))
-    out = pairs.groupBy(*keys).agg(F.count("*").alias("n_paired"), pct(F.col("base_score")).alias("base_acc_pct"), pct(F.col("score")).alias("acc_pct"), worse.alias("worse"), better.alias("better"))
-    delta = F.round(100.0 * (F.col("better") - F.col("worse")) / F.col("n_paired"), 6)
-    return out.select(*keys, "n_paired", "base_acc_pct", "acc_pct", delta.alias("delta_pts"), "worse", "better", F.round(mcnemar_exact(F.col("worse"), F.col("better")), 6).alias("p_mcnemar"))
+    """Mean difference in points; worse, better and the exact p only where all scores are 0 or 1."""
+    s, b = F.col("score"), F.col("base_score")
+    binary = F.bool_and(s.isin(0, 1) & b.isin(0, 1))
+    out = pairs.groupBy(*keys).agg(
+        F.count("*").alias("n_paired"), pct(b).alias("base_acc_pct"), pct(s).alias("acc_pct"), F.round(100.0 * F.sum(s - b) / F.count("*"), 6).alias("delta_pts"), binary.alias("_binary"),
+        F.count_if((b == 1) & (s == 0)).alias("_worse"), F.count_if((b == 0) & (s == 1)).alias("_better"),
+    )
+    only = lambda x: F.when(F.col("_binary"), x)
+    return out.select(*keys, "n_paired", "base_acc_pct", "acc_pct", "delta_pts", only(F.col("_worse")).alias("worse"), only(F.col("_better")).alias("better"), only(F.round(mcnemar_exact(F.col("_worse"), F.col("_better")), 6)).alias("p_mcnemar"))
+
+
+def no_placeholders(rows: DataFrame) -> DataFrame:
+    """rows; one of a record that was never tried raises, as the run is not complete."""
+    stop = F.raise_error(F.concat(F.lit("never tried: record "), F.col("idx").cast("string"))).cast("string")
+    return rows.withColumn("error_type", F.when(F.col("error_type") == "ServerUnavailable", stop).otherwise(F.col("error_type")))
+
+
+def excluded_ids(rows: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """(dataset, idx) of records with an error in any config, and of those that error files (dataset, idx) name."""
+    bad = rows.where(failed()).select("dataset", "idx")
+    return (bad if errors is None else bad.unionByName(errors.select("dataset", "idx"))).distinct()
 
 
-def excluded_ids(rows: DataFrame) -> DataFrame:
-    """(dataset, idx) of records with an error in any config."""
-    return rows.where(failed()).select("dataset", "idx").distinct()
+def set_differences(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """Keys that only one of two sets holds, and in which it is: one aggregate, no sides of a join."""
+    both = a.select(*keys, F.lit(1).alias("_s")).union(b.select(*keys, F.lit(2).alias("_s")))
+    return both.groupBy(*keys).agg(F.bit_or("_s").alias("_s")).where("_s < 3").select(*keys, F.when(F.col("_s") == 1, "first").otherwise("second").alias("only_in"))
 
 
 def matched(rows: DataFrame) -> DataFrame:

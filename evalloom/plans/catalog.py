@@ -224,8 +224,7 @@ def bootstrap_md5(spark, d):
 @register()
 def bootstrap_interval(spark, d):
     """Rows only: 10,000 multinomial replicates a cell; whether the interval excludes 0."""
-    cells = paired.paired_delta(pairs_of(spark, d), "config", "dataset").select("config", "dataset", "worse", "better", F.col("n_paired").alias("n"))
-    return stats.bootstrap_counts(cells, ["config", "dataset"]).withColumn("significant", (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0))
+    return stats.bootstrap_pairs(pairs_of(spark, d), ["config", "dataset"]).withColumn("significant", (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0))
 
 
 # latency
