@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def summary(rows: DataFrame, *keys: str) -> DataFrame:
-    """Exact, linearly interpolated percentiles of the valid timed requests."""
+    """Exact, linearly interpolated percentiles of the valid timed requests; where the log tells them, requests that were sent again
+    count as invalid, and the medians of the prompt's and the answer's times and of its tokens are given too."""
     ok = F.col("valid")
+    if "retried" in rows.columns:
+        ok &= ~F.coalesce("retried", F.lit(False))
     ms = F.when(ok, F.col("wall_ms"))
     names = ("p25", "median", "p75", "p95")
-    agg = rows.groupBy(*keys).agg(F.count_if(ok).alias("n_valid"), F.count_if(~ok).alias("n_invalid"), F.percentile(ms, F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95)))).alias("p"))
-    return agg.select(*keys, "n_valid", "n_invalid", *(F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(names)))
+    more = [F.round(F.median(F.when(ok, F.col(c))), 6).alias(n) for c, n in (("prompt_ms", "prompt_ms_med"), ("predicted_ms", "gen_ms_med"), ("predicted_n", "gen_tokens_med")) if c in rows.columns]
+    agg = rows.groupBy(*keys).agg(F.count_if(ok).alias("n_valid"), F.count_if(~ok).alias("n_invalid"), F.percentile(ms, F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95)))).alias("p"), *more)
+    return agg.select(*keys, "n_valid", "n_invalid", *(F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(names)), *agg.columns[len(keys) + 3 :])
+
+
+def valid_request(http: str = "http", error: str = "error", reply: str = "reply") -> Column:
+    """Answered with 200, without an error, with a text."""
+    return F.coalesce((F.col(http) == 200) & (F.coalesce(error, F.lit("")) == "") & F.col(reply).isNotNull(), F.lit(False))
 
 
 def samples_in_intervals(intervals: DataFrame, samples: DataFrame, bin_us: int, inset_us: int = 0) -> DataFrame:
@@ -34,13 +43,13 @@ def first_bad(rows: DataFrame) -> DataFrame:
     return n.groupBy("server_id").agg(F.count("*").alias("n"), F.max("bad").alias("first_bad"), before.alias("valid_timed_before"), after.cast("long").alias("valid_after"))
 
 
-def drift(rows: DataFrame, value: str, ends: int = 10, least: int = 20) -> DataFrame:
-    """Per server: half-even rounded median of the last `ends` values minus that of the first ones."""
+def drift(rows: DataFrame, value: str, ends: int = 10, least: int = 20, places: int = 0) -> DataFrame:
+    """Per server: the median of the last `ends` values minus that of the first ones, rounded half-even."""
     part = W.partitionBy("server_id")
     n = rows.where(F.col(value).isNotNull()).withColumns({"a": F.row_number().over(part.orderBy("us", "event_id")), "z": F.row_number().over(part.orderBy(F.desc("us"), F.desc("event_id"))), "n": F.count("*").over(part)})
     x = F.col(value)
     change = F.median(F.when(F.col("z") <= ends, x)) - F.median(F.when(F.col("a") <= ends, x))
-    return n.where(F.col("n") >= least).groupBy("server_id").agg(F.max("n").alias("n"), F.round(change, 6).alias("drift"))
+    return n.where(F.col("n") >= least).groupBy("server_id").agg(F.max("n").alias("n"), F.bround(change, places).alias("drift"))
 
 
 def error_runs(rows: DataFrame) -> DataFrame:

@@ -263,7 +263,7 @@ def first_bad_request(spark, d):
 @register(f"""WITH {REQUESTS}, n AS (SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY us, event_id) AS a, row_number() OVER (PARTITION BY server_id ORDER BY us DESC, event_id DESC) AS z, count(*) OVER (PARTITION BY server_id) AS n FROM r WHERE wall_ms IS NOT NULL)
 SELECT server_id, max(n) AS n, round((median(wall_ms) FILTER (WHERE z <= 10)) - (median(wall_ms) FILTER (WHERE a <= 10)), 6) AS drift FROM n WHERE n >= 20 GROUP BY server_id""")
 def memory_drift(spark, d):
-    return latency.drift(requests(spark, d), "wall_ms")
+    return latency.drift(requests(spark, d), "wall_ms", places=6)
 
 
 @register(f"""WITH {REQUESTS}, i AS (SELECT event_id, config, us AS t0, us + 3600000000 AS t1 FROM r WHERE event_type = 'signup'), s AS (SELECT us, wall_ms FROM r WHERE event_type <> 'signup'),
@@ -378,16 +378,6 @@ def mcq_prompt(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", text.mcq_prompt(F.lit("Which word?"), c).alias("prompt"))
 
 
-@register(rf"""WITH a AS (SELECT doc_id, list_transform(range(1, 11), lambda i: substr(md5(CAST(doc_id % 13 AS VARCHAR) || '|' || CAST(CASE WHEN i <= doc_id % 7 THEN 0 ELSE i END AS VARCHAR)), 1, 6)) AS answers, substr(md5(CAST(doc_id % 13 AS VARCHAR) || '|0'), 1, 6) AS p FROM documents),
-m AS (SELECT doc_id, CAST(len(list_filter(answers, lambda x: x = p)) AS DOUBLE) AS m FROM a)
-SELECT doc_id, round((m * least(1.0, (m - 1) / 3) + (10 - m) * least(1.0, m / 3)) / 10, 6) AS score FROM m""")
-def soft_vqa_score(spark, d):
-    part = lambda i: F.substring(F.md5(F.concat((F.col("doc_id") % 13).cast("string"), F.lit("|"), i.cast("string"))), 1, 6)
-    answers = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: text.normalize_answer(part(F.when(i <= F.col("doc_id") % 7, 0).otherwise(i))))
-    q = table(spark, d, "documents").select("doc_id", answers.alias("a"), text.normalize_answer(part(F.lit(0))).alias("p"))
-    return q.select("doc_id", F.round(text.soft_score(F.size(F.filter("a", lambda x: x == F.col("p")))), 6).alias("score"))
-
-
 @register(r"""SELECT page_id, CASE WHEN url IS NULL THEN 'missing url' WHEN length(html) = 0 THEN 'empty html' WHEN NOT starts_with(url, 'http') THEN 'relative url' END AS problem, length(html) AS size, CASE WHEN length(html) <= 3 THEN '1-3' WHEN length(html) <= 8 THEN '4-8' WHEN length(html) <= 15 THEN '9-15' ELSE '16+' END AS bucket FROM pages""")
 def validate_records(spark, d):
     problem = F.when(F.col("url").isNull(), "missing url").when(F.length("html") == 0, "empty html").when(~F.startswith("url", F.lit("http")), "relative url")

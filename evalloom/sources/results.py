@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evalloom.functions.scoring import record_key, record_score
+from evalloom.operators.paired import keep_last, no_placeholders
+
 RESULT = """idx string, rec_no long, dataset string, config string, format string, task string, question string, choices array<string>, context string,
 answers array<string>, predicted string, prediction_raw string, prediction_normalized string, parser string, score double, correct boolean, gt_answer string, tok_s double,
 finish_reason string, retried boolean, error string, error_type string, mem_avail_mb long, image_paths array<string>, protocol_version string, pred_parser_v1 string,
 pred_parser_v2 string, runtime string, latency_ms double, n_output_tokens long, wall_s double, prompt_tokens long"""
-NAME = r"config(\d+)_([^/]+)__([a-z0-9_]+)\.jsonl$"
+#: Fixed value: how a run's file is called.
+NAME = r"/config(\d+)_([^/]+?)__([^/]+)\.jsonl$"
+POISON = "_poison"
 
 
 def read_strict(spark: SparkSession, path: str, schema: str = RESULT, key: str = "rec_no") -> DataFrame:
-    """JSON lines; a bad line or a repeated key raises when the rows are used."""
+    """JSON lines; a bad line raises when the rows are used, a key that is there twice at once. Rows without a key, of older
+    files, are left alone."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    if rows.groupBy(key).count().where("count > 1").limit(1).count():
+    if rows.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count():
         raise ValueError(f"{path}: a {key} is there twice")
     return rows
 
@@ -37,12 +44,38 @@ def read_resumable(spark: SparkSession, path: str, schema: str = RESULT) -> Data
     return checked.where("ok").select("row.*").drop("_corrupt")
 
 
-def discover(spark: SparkSession, path: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+def resume_state(spark: SparkSession, path: str, schema: str = RESULT, retry_errors: bool = False) -> tuple[DataFrame, DataFrame, bool]:
+    """(rows to keep, rows to do again, whether the file must be rewritten first). Never-tried rows are done again, other errors
+    only with retry_errors; a row without a key, or one whose key is there twice, raises."""
+    rows = read_resumable(spark, path, schema)
+    odd = rows.groupBy("rec_no").count().where("rec_no is null or count > 1").limit(1).collect()
+    if odd:
+        raise ValueError(f"{path}: a record without or with a repeated rec_no: {odd[0].rec_no}")
+    again = F.coalesce("error", F.lit("")) != ""
+    if not retry_errors:
+        again &= F.coalesce(F.col("error_type") == "ServerUnavailable", F.lit(False))
+    whole = spark.read.text(path, wholetext=True)
+    lines = whole.select(F.size(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("n"), (F.col("value").endswith("\n") | (F.col("value") == "")).alias("ended")).first()
+    dropped = rows.where(again)
+    torn = lines is not None and (not lines.ended or lines.n != rows.count())
+    return rows.where(~again), dropped, torn or dropped.limit(1).count() > 0
+
+
+def todo(records: DataFrame, kept: DataFrame) -> DataFrame:
+    """Records (rec_no, idx) that kept rows don't cover yet; a kept row whose idx isn't its record's raises when used."""
+    k = kept.select(F.col("rec_no").alias("_no"), F.col("idx").cast("string").alias("_idx"))
+    other = F.raise_error(F.concat(F.lit("the log isn't of these records: record "), F.col("_no").cast("string"))).cast("boolean")
+    met = k.join(records.select("rec_no", F.col("idx").cast("string").alias("_own")), F.col("_no") == F.col("rec_no"), "left")
+    done = met.where(F.when(F.col("_idx").eqNullSafe(F.col("_own")), True).otherwise(other)).select(F.col("_no").alias("rec_no"))
+    return records.join(done, "rec_no", "left_anti")
+
+
+def discover(spark: SparkSession, path: str | list[str], exclude: tuple[str, ...] = ()) -> DataFrame:
     """(file, config, short, dataset) of the result files below path; error lists and files below folders named in exclude
-    are left out. Two files for one config and dataset raise when the rows are used."""
+    are left out, as are files that aren't called like a run's. Two files for one config and dataset raise when the rows are used."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "config*.jsonl").load(path).select(F.col("path").alias("file"))
     part = lambda i: F.regexp_extract("file", NAME, i)
-    found = files.select("file", part(1).alias("config"), part(2).alias("short"), part(3).alias("dataset")).where("config <> '' and dataset not like '%\\_poison'")
+    found = files.select("file", part(1).alias("config"), part(2).alias("short"), part(3).alias("dataset")).where((F.col("config") != "") & ~F.col("dataset").endswith(POISON))
     if exclude:
         found = found.where(~F.arrays_overlap(F.split("file", "/"), F.array(*map(F.lit, exclude))))
     one = found.groupBy("config", "dataset").agg(F.min(F.struct("file", "short")).alias("f"), F.max("file").alias("other"))
@@ -50,8 +83,89 @@ def discover(spark: SparkSession, path: str, exclude: tuple[str, ...] = ()) -> D
     return one.select(F.when(F.col("other") != F.col("f.file"), clash).otherwise(F.col("f.file")).alias("file"), "config", "f.short", "dataset")
 
 
+def load_results(spark: SparkSession, path: str | list[str], exclude: tuple[str, ...] = (), schema: str = RESULT) -> DataFrame:
+    """All runs below path as one table: config (number), dataset, idx, score, predicted, gt, question, key, error, tok_s, mem_avail_mb.
+    Older rows have `correct` in place of a score. A bad line, a never-tried record, a row with neither score nor correct, and an idx that
+    a file holds twice raise."""
+    files = [r.file for r in discover(spark, path, exclude).select("file").collect()]  # one row a run
+    if not files:
+        raise FileNotFoundError(f"no result files below {path}")
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(files).withColumn("_file", F.col("_metadata.file_path"))
+    if twice := rows.groupBy("_file", "idx").count().where("count > 1").limit(1).collect():
+        raise ValueError(f"{twice[0]['_file']}: idx {twice[0].idx} is there twice")
+    part = lambda i: F.regexp_extract("_file", NAME, i)
+    bad = F.coalesce("error", F.lit("")) != ""
+    rows = no_placeholders(rows.withColumns({"config": part(1).cast("int"), "dataset": part(3)}))
+    return rows.select("config", "dataset", "idx", "task", F.when(~bad, record_score()).alias("score"), "predicted", F.col("gt_answer").alias("gt"), "question", record_key().alias("key"), F.when(bad, F.col("error")).alias("error"), "error_type", "tok_s", "mem_avail_mb")
+
+
+def only_file(spark: SparkSession, path: str, glob: str) -> str:
+    """The one file below path with a name like glob; none or several raise."""
+    found = [r.path for r in spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path").limit(3).collect()]
+    if len(found) != 1:
+        raise ValueError(f"exactly one file like {glob} is wanted, not {found}")
+    return found[0]
+
+
+def keyed(spark: SparkSession, path: str, key: str = "rec_no", schema: str = RESULT) -> DataFrame:
+    """One log's rows without an error, the last one of a key. Filters and columns of what uses it reach the scan."""
+    rows = spark.read.schema(schema).json(path).where(F.coalesce("error", F.lit("")) == "").withColumn("_at", F.col("_metadata.file_block_start"))
+    return keep_last(rows.withColumn("_at", F.struct("_at", F.monotonically_increasing_id())), [key], "_at").drop("_at")
+
+
+def tasks(spark: SparkSession, path: str, schema: str = RESULT) -> DataFrame:
+    """(idx, task, predicted, gt) of all rows, those with an error too; no other column is read."""
+    return spark.read.schema(schema).json(path).select("idx", "task", "predicted", F.col("gt_answer").alias("gt"))
+
+
+REQUEST = """round int, slot int, config string, block string, server_id int, valid boolean, retried boolean, restarts_in_block int, timings_complete boolean, dataset string, phase string, k int,
+pos long, t double, wall_ms double, http int, error string, prompt_n long, prompt_ms double, cache_n long, predicted_n long, predicted_ms double, predicted_per_second double, completion_tokens long,
+finish_reason string, mem_avail_mb long, swap_free_mb long, temp_c double, reply string"""
+EVENT = """event string, phase string, t double, t0 double, t1 double, iso0 string, round int, slot int, config string, block string, dataset string, n int, load_s double, ok boolean, temp_end_c double,
+timed_out boolean, mem_avail_mb long, swap_free_mb long, `order` array<string>, k int, server_id int, pid long, returncode int, note string"""
+
+
+def request_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(REQUEST).option("mode", "FAILFAST").json(path)
+
+
+def event_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(EVENT).option("mode", "FAILFAST").json(path)
+
+
+def numbered(df: DataFrame, order: str, name: str = "idx", parts: int = 200) -> DataFrame:
+    """df with numbers from 0 in the order of a numeric column that tells all rows apart. Rows are cut into value ranges, numbered inside
+    each and moved on by the ranges' sizes, so no task holds all of them."""
+    cuts = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    cut = df.withColumn("_part", part)
+    sizes = cut.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a range
+    place = F.row_number().over(W.partitionBy("_part").orderBy(order)) - 1
+    return cut.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + place).drop("_part", "_before")
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"))
+    """(file, sha256) of files of any size: executors hash those that fit one row, larger ones (Spark's reader takes 2 GB at
+    most) are streamed one after another."""
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") < LARGE).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"))
+    large = [r.path for r in files.where(F.col("length") >= LARGE).select("path").collect()]  # names of files over 1 GB
+    return small.unionByName(spark.createDataFrame([(x, hash_of(spark, x)) for x in large], "file string, sha256 string")) if large else small
+
+
+LARGE = 1 << 30
+
+
+def hash_of(spark: SparkSession, path: str) -> str:
+    """A single file's SHA-256, streamed through the driver's JVM."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
 
 
 def write_csv(df: DataFrame, path: str, decimals: int = 4) -> None:

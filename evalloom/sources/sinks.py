@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MODES = ("refuse", "overwrite", "resume")
+MODES = ("refuse", "overwrite", "resume", "smoke")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -17,7 +17,8 @@ def _fs(spark: SparkSession, path: str):
 
 
 def replace(df: DataFrame, path: str, backup: bool = False) -> str | None:
-    """Write JSON lines beside path, then rename over it. df may read path itself. Returns the backup's path if one is kept."""
+    """Write JSON lines beside path, then put them in its place. df may read path itself. A crash between the two renames leaves
+    the new rows, whole, beside it: recover() puts them in place. Returns the backup's path if one is kept."""
     spark, tag = df.sparkSession, uuid.uuid4().hex[:8]
     new, old = f"{path}.new-{tag}", f"{path}.bak-{tag}"
     df.write.json(new)
@@ -34,12 +35,29 @@ def replace(df: DataFrame, path: str, backup: bool = False) -> str | None:
     return old if there and backup else None
 
 
+def recover(spark: SparkSession, path: str) -> bool:
+    """After a crash inside replace(): if path is missing, what was whole beside it (the new rows, else the old ones) takes its place."""
+    fs, target = _fs(spark, path)
+    if fs.exists(target):
+        return False
+    for kind in ("new", "bak"):
+        for x in fs.globStatus(_fs(spark, f"{path}.{kind}-*")[1]) or []:
+            if fs.exists(_fs(spark, f"{x.getPath()}/_SUCCESS")[1]):
+                return bool(fs.rename(x.getPath(), target))
+    return False
+
+
 def write_run(df: DataFrame, path: str, mode: str = "refuse", key: str = "rec_no") -> None:
-    """refuse: an earlier run raises; overwrite: it is kept as a backup; resume: only records it lacks are added."""
+    """refuse: an earlier run raises; overwrite: it is kept as a backup; resume: only records it lacks are added (a row without a
+    key can't be told from the old ones and raises); smoke: below the folder smoke beside path, over what was there."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
+    recover(df.sparkSession, path)
     fs, target = _fs(df.sparkSession, path)
-    if not fs.exists(target):
+    if mode == "smoke":
+        folder, _, name = path.rstrip("/").rpartition("/")
+        df.write.mode("overwrite").json(f"{folder}/smoke/{name}")
+    elif not fs.exists(target):
         df.write.json(path)
     elif mode == "refuse":
         raise FileExistsError(path)
@@ -47,10 +65,30 @@ def write_run(df: DataFrame, path: str, mode: str = "refuse", key: str = "rec_no
         replace(df, path, backup=True)
     else:
         done = df.sparkSession.read.schema(df.schema).json(path).select(key)
-        df.join(done, key, "left_anti").select(*df.columns).write.mode("append").json(path)
+        keyless = F.raise_error(F.lit(f"a row without {key} can't be resumed")).cast(df.schema[key].dataType)
+        df.withColumn(key, F.coalesce(key, keyless)).join(done, key, "left_anti").select(*df.columns).write.mode("append").json(path)
 
 
 def write_provenance(spark: SparkSession, path: str, settings: dict, hashes: DataFrame) -> None:
     """One JSON document: the settings and the input files with their hashes, by name."""
     inputs = hashes.agg(F.array_sort(F.collect_list(F.struct("file", "sha256"))).alias("inputs"))
     inputs.select(F.lit(json.dumps(settings, sort_keys=True)).alias("settings"), "inputs").coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_summary(spark: SparkSession, path: str, run: dict, figures: DataFrame) -> None:
+    """One JSON document of a run: its settings, and each dataset's figures under its name."""
+    cols = [c for c in figures.columns if c != "dataset"]
+    by_name = figures.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dataset", F.struct(*cols))))).alias("datasets"))  # one row a dataset
+    by_name.select(*[F.lit(v).alias(k) for k, v in run.items()], "datasets").coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_dataset(df: DataFrame, path: str, manifest: dict) -> None:
+    """A frozen folder: data, and a manifest with the number of records. An earlier folder raises."""
+    df.write.json(f"{path}/data")
+    n = df.sparkSession.read.text(f"{path}/data").count()
+    df.sparkSession.range(1).select(F.lit(json.dumps(manifest | {"records": n}, sort_keys=True)).alias("value")).coalesce(1).write.text(f"{path}/manifest")
+
+
+def log_stream(rows: DataFrame, path: str, checkpoint: str):
+    """Rows of a stream as JSON lines, once each: what a batch wrote counts from when the checkpoint has it."""
+    return rows.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")

@@ -6,10 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def resumed(spark: SparkSession, path: str, schema: str, key: str = "rec_no") -> DataFrame:
-    """Each record of a growing folder of JSON lines once; the checkpoint of the query that writes it holds what was done."""
-    rows = spark.readStream.schema(schema).json(path)
-    return rows.where(F.coalesce("error_type", F.lit("")) != "ServerUnavailable").dropDuplicates([key])
+def resumed(spark: SparkSession, path: str, schema: str, key: str = "rec_no", time: str = "t", late: str = "1 day", retry_errors: bool = False) -> DataFrame:
+    """Each record of a growing folder of JSON lines once; the checkpoint of the query that writes it holds what was done. Rows that were
+    never tried don't count, nor other errors with retry_errors. time: epoch seconds of a row. What came longer ago than `late` is
+    forgotten, so the state stays bounded; a repeat of it would count again."""
+    fields = spark.createDataFrame([], schema).columns
+    rows = spark.readStream.schema(schema if time in fields else f"{schema}, {time} double").json(path)
+    again = F.coalesce("error_type", F.lit("")) == "ServerUnavailable"
+    if retry_errors:
+        again |= F.coalesce("error", F.lit("")) != ""
+    stamped = rows.where(~again).withColumn("_at", F.coalesce(F.timestamp_seconds(time), F.col("_metadata.file_modification_time"))).withWatermark("_at", late)
+    return stamped.dropDuplicatesWithinWatermark([key])
+
+
+def may_resume(old: dict, new: dict) -> None:
+    """The gate before a log goes on: settings that differ from those it began with raise, by name."""
+    if odd := [f"{k}: {old.get(k)!r} -> {new.get(k)!r}" for k in sorted(old.keys() | new.keys()) if old.get(k) != new.get(k)]:
+        raise ValueError(f"the log was begun with other settings: {odd}")
 
 
 def request_windows(rows: DataFrame, time: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
-from evalloom.plans import catalog, records  # noqa: F401
+from evalloom.plans import catalog, records, scored  # noqa: F401
 from evalloom.sources import results
 from evalloom.streaming import logs
 from pyspark.sql import functions as F
