@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm._shared import discard, materialize, table
+from evalloom.llm._shared import discard, materialize, small_side, table
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Buckets up to this many rows are compared by shifted arrays; larger ones by growing components.
@@ -262,8 +262,8 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     rows = materialize(rows, "placed")
     key = ["_sh_id", "_sh_a", "_sh_b"]
     first = F.min(F.struct(F.isnull("_sh_id").alias("last"), *key)).alias("first")
-    several = rows.groupBy("root").agg(first, F.count("*").alias("n")).where("n > 1").select("root", "first")
-    of_several = rows.join(several, "root")
+    several = materialize(rows.groupBy("root").agg(first, F.count("*").alias("n")).where("n > 1").select("root", "first"), "several")
+    of_several = rows.join(small_side(several, several.count()), "root")  # a table of its own, so that a shuffle join may split hot roots
     keeps = F.struct(F.isnull("_sh_id").alias("last"), *key).eqNullSafe(F.col("first"))
     # keys of rows that don't just stay: few beside the documents, so that texts need no shuffle while they are
     special = of_several.groupBy(*key).agg(F.max(keeps).alias("keeps"), F.count("*").alias("n")).where("NOT keeps OR n > 1")
