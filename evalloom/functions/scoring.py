@@ -25,8 +25,9 @@ def mcq_score(predicted: Column) -> Column:
 
 
 def soft_matches(predicted: Column, answers: Column) -> Column:
-    normal = text.normalize_answer(predicted)
-    return F.size(F.filter(F.transform(answers, text.normalize_answer), lambda a: a == normal))
+    """How many answers are the prediction, both normalised; the prediction is normalised once, outside the loop over the answers."""
+    normal = F.transform(answers, text.normalize_answer)
+    return F.get(F.transform(F.array(text.normalize_answer(predicted)), lambda p: F.size(F.filter(normal, lambda a: a == p))), F.lit(0))
 
 
 def vqa_score(predicted: Column) -> Column:

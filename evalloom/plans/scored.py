@@ -59,14 +59,15 @@ def soft_sql(k: str, name: str) -> str:
 
 
 def soft_scores(spark, d, k, name):
-    q = asked(spark, d).withColumn("p", dressed(F.col("word"), k))
-    return q.select("doc_id", "lang", text.normalize_answer(F.col("p")).alias("p"), scoring.vqa_score(F.col("p"))["score"].alias(name))
+    q = asked(spark, d).withColumn("said", dressed(F.col("word"), k))
+    # an alias called like an input column would be what lambdas see under that name
+    return q.select("doc_id", "lang", text.normalize_answer(F.col("said")).alias("normalized"), scoring.vqa_score(F.col("said"))["score"].alias(name))
 
 
 @register(f"WITH {ASKED}, {soft_sql('doc_id', 's')} SELECT doc_id, p AS normalized, round(score, 6) AS score FROM ss")
 def soft_vqa_score(spark, d):
     """A document's words as answers with articles, marks, number words and contractions: normalised, and scored against ten."""
-    return soft_scores(spark, d, F.col("doc_id"), "score").select("doc_id", F.col("p").alias("normalized"), F.round("score", 6).alias("score"))
+    return soft_scores(spark, d, F.col("doc_id"), "score").select("doc_id", "normalized", F.round("score", 6).alias("score"))
 
 
 @register(f"""WITH {ASKED}, {soft_sql('doc_id', 's')}, {soft_sql('doc_id * 3 + 1', 't')}
@@ -74,7 +75,7 @@ SELECT ss.lang AS dataset, count(*) AS n_paired, round(100.0 * sum(ss.score) / c
   NOT bool_and(ss.score IN (0, 1) AND ts.score IN (0, 1)) AS soft FROM ss JOIN ts USING (doc_id) GROUP BY ss.lang""")
 def soft_paired_delta(spark, d):
     """Two runs with soft scores: the mean difference, which no count of better and worse records gives."""
-    b = soft_scores(spark, d, F.col("doc_id"), "base_score").drop("p")
+    b = soft_scores(spark, d, F.col("doc_id"), "base_score").drop("normalized")
     o = soft_scores(spark, d, F.col("doc_id") * 3 + 1, "score").select("doc_id", "score")
     return paired.paired_delta(b.join(o, "doc_id").withColumnRenamed("lang", "dataset"), "dataset").select("dataset", "n_paired", "base_acc_pct", "acc_pct", "delta_pts", F.col("p_mcnemar").isNull().alias("soft"))
 
