@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalloom.operators.ranks import placed
+
 
 #: Replicates that are drawn at once.
 CHUNK = 500
@@ -31,13 +33,12 @@ def mcnemar_exact(worse: Column, better: Column) -> Column:
 def bootstrap_md5(df: DataFrame, keys: list[str], order: str, diff: str, reps: int = 100) -> DataFrame:
     """Replicate means with row indices from md5(rep|draw), the same in any engine. keys, rep, mean_diff.
 
-    The row for a draw is looked up by a join on its number, so replicates spread over the cluster."""
-    from pyspark.sql import Window as W
-
-    rows = df.select(*keys, F.col(diff).alias("d"), (F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1).alias("i"), F.count("*").over(W.partitionBy(*keys)).alias("n"))
+    The row for a draw is looked up by a join on its number, so replicates spread over the cluster; rows are numbered by ranges of
+    the numeric column order, so a cell's sort does too. order must tell a cell's rows apart."""
+    rows = placed(df.select(*keys, order, F.col(diff).alias("d")), keys, order).select(*keys, "d", F.col("_before").alias("i"), F.col("_total").alias("n"))
     draws = rows.select(*keys, "n", F.col("i").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     at = F.conv(F.substring(F.md5(F.concat_ws("|", "rep", "draw")), 1, 7), 16, 10).cast("long") % F.col("n")
-    picked = draws.withColumn("i", at.cast("int")).join(rows.select(*keys, "i", "d"), [*keys, "i"])
+    picked = draws.withColumn("i", at).join(rows.select(*keys, "i", "d"), [*keys, "i"])
     return picked.groupBy(*keys, "rep").agg((F.sum("d") / F.count("*")).alias("mean_diff"))
 
 

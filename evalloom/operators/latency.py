@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evalloom.operators import ranks
+
 
 def summary(rows: DataFrame, *keys: str) -> DataFrame:
     """Exact, linearly interpolated percentiles of the valid timed requests; where the log tells them, requests that were sent again
@@ -13,11 +15,15 @@ def summary(rows: DataFrame, *keys: str) -> DataFrame:
     ok = F.col("valid")
     if "retried" in rows.columns:
         ok &= ~F.coalesce("retried", F.lit(False))
-    ms = F.when(ok, F.col("wall_ms"))
-    names = ("p25", "median", "p75", "p95")
-    more = [F.round(F.median(F.when(ok, F.col(c))), 6).alias(n) for c, n in (("prompt_ms", "prompt_ms_med"), ("predicted_ms", "gen_ms_med"), ("predicted_n", "gen_tokens_med")) if c in rows.columns]
-    agg = rows.groupBy(*keys).agg(F.count_if(ok).alias("n_valid"), F.count_if(~ok).alias("n_invalid"), F.percentile(ms, F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95)))).alias("p"), *more)
-    return agg.select(*keys, "n_valid", "n_invalid", *(F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(names)), *agg.columns[len(keys) + 3 :])
+    counts = rows.groupBy(*keys).agg(F.count_if(ok).alias("n_valid"), F.count_if(~ok).alias("n_invalid"))
+    medians = {c: n for c, n in (("prompt_ms", "prompt_ms_med"), ("predicted_ms", "gen_ms_med"), ("predicted_n", "gen_tokens_med")) if c in rows.columns}
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("_measure"), F.col(c).cast("double").alias("_value")) for c in ("wall_ms", *medians)]))
+    long = rows.where(ok).select(*keys, each.alias("_m")).select(*keys, "_m.*")
+    points = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+    found = ranks.percentiles(long, [*keys, "_measure"], "_value", points)
+    of = lambda measure, point: F.round(F.max(F.when(F.col("_measure") == measure, F.col(point))), 6)
+    wide = found.groupBy(*keys).agg(*(of("wall_ms", p).alias(p) for p in points), *(of(c, "median").alias(n) for c, n in medians.items()))
+    return ranks.met(counts, wide, list(keys), "left")
 
 
 def valid_request(http: str = "http", error: str = "error", reply: str = "reply") -> Column:

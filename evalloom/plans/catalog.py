@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalloom.functions import stats, text
-from evalloom.operators import latency, paired
+from evalloom.operators import latency, paired, ranks
 from evalloom.plans.workload import BASE, EVAL, NOISE, REQUESTS, eval_long, requests, table, valid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,19 +237,19 @@ def latency_summary(spark, d):
 
 @register(f"WITH {REQUESTS} SELECT config, k // 25 AS round, round(median(wall_ms), 6) AS median_ms, count(*) AS n FROM r WHERE valid GROUP BY ALL")
 def per_round_medians(spark, d):
-    return requests(spark, d).where("valid").groupBy("config", F.floor(F.col("k") / 25).cast("int").alias("round")).agg(F.round(F.median("wall_ms"), 6).alias("median_ms"), F.count("*").alias("n"))
+    r = requests(spark, d).where("valid").withColumn("round", F.floor(F.col("k") / 25).cast("int"))
+    return ranks.with_median(r.groupBy("config", "round").agg(F.count("*").alias("n")), r, ["config", "round"], "wall_ms", "median_ms", 6)
 
 
 @register(f"WITH {REQUESTS} SELECT config, max(wall_ms) AS upper_median FROM (SELECT config, wall_ms, row_number() OVER (PARTITION BY config ORDER BY wall_ms) AS i, count(*) OVER (PARTITION BY config) AS n FROM r WHERE valid) WHERE i = n // 2 + 1 GROUP BY config")
 def upper_median(spark, d):
-    w = W.partitionBy("config")
-    n = requests(spark, d).where("valid").select("config", "wall_ms", F.row_number().over(w.orderBy("wall_ms")).alias("i"), F.count("*").over(w).alias("n"))
-    return n.where(F.col("i") == F.floor(F.col("n") / 2) + 1).select("config", F.col("wall_ms").alias("upper_median"))
+    found = ranks.ranked(requests(spark, d).where("valid"), ["config"], "wall_ms", lambda n: [F.floor(n / 2)])
+    return found.select("config", F.col("_v0").alias("upper_median"))
 
 
 @register(f"WITH {REQUESTS}, m AS (SELECT config, dataset, median(wall_ms) AS m FROM r WHERE valid GROUP BY ALL) SELECT o.config, o.dataset, round(b.m / o.m, 6) AS speedup FROM m o JOIN m b ON b.config = 2 AND b.dataset = o.dataset WHERE o.config <> 2")
 def speedup_vs_baseline(spark, d):
-    m = requests(spark, d).where("valid").groupBy("config", "dataset").agg(F.median("wall_ms").alias("m"))
+    m = ranks.percentiles(requests(spark, d).where("valid"), ["config", "dataset"], "wall_ms", {"m": 0.5})
     b = m.where("config = 2").select("dataset", F.col("m").alias("b"))
     return m.where("config <> 2").join(b, "dataset").select("config", "dataset", F.round(F.col("b") / F.col("m"), 6).alias("speedup"))
 
@@ -390,8 +390,10 @@ def token_ratio(spark, d):
     """Ratios of a looked-up count to a record's own, null where there is none."""
     l = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum("l_extendedprice"), 2).alias("q"))
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority").join(l, "o_orderkey", "left")
-    r = F.col("q") / F.col("o_totalprice")
-    return o.groupBy(F.col("o_orderpriority").alias("grp")).agg(F.count("*").alias("n"), F.round(F.median(r), 9).alias("med"), F.round(F.min(r), 9).alias("lo"), F.round(F.max(r), 9).alias("hi"), F.count_if(F.abs(r - 1) <= 0.1).alias("near"))
+    r = F.col("r")
+    o = o.select(F.col("o_orderpriority").alias("grp"), (F.col("q") / F.col("o_totalprice")).alias("r"))
+    g = o.groupBy("grp").agg(F.count("*").alias("n"), F.round(F.min(r), 9).alias("lo"), F.round(F.max(r), 9).alias("hi"), F.count_if(F.abs(r - 1) <= 0.1).alias("near"))
+    return ranks.with_median(g, o, ["grp"], "r", "med", 9)
 
 
 @register("""SELECT l_returnflag AS kind, count(*) FILTER (WHERE l_quantity > l_linenumber * 5) AS over, count(*) FILTER (WHERE l_quantity < l_linenumber * 5) AS under, count(*) FILTER (WHERE abs(l_quantity - l_linenumber * 5) = 1) AS off_by_one FROM lineitem GROUP BY 1""")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalloom.functions import text
-from evalloom.operators import paired
+from evalloom.operators import paired, ranks
 from evalloom.plans.catalog import register
 from evalloom.plans.workload import BASE, EVAL, NOISE, REQUESTS, eval_long, requests, table, valid
 
@@ -62,9 +62,9 @@ def fingerprint_diff(spark, d):
 def eval_log_line(spark, d):
     """A score over all lines (errors count 0) beside a median over the answered ones."""
     hit = F.when(~paired.failed() & (F.col("predicted") == F.col("gt")), 1).otherwise(0)
-    return eval_long(spark, d).groupBy("config").agg(
-        F.count("*").alias("n"), F.round(F.sum(hit) * 100.0 / F.count("*"), 6).alias("score_all_lines"), F.round(F.median(F.when(~paired.failed(), F.col("n_chars"))), 6).alias("median_ok"), F.count_if(F.col("n_chars") > 5000).alias("n_long"),
-    )
+    e = eval_long(spark, d)
+    g = e.groupBy("config").agg(F.count("*").alias("n"), F.round(F.sum(hit) * 100.0 / F.count("*"), 6).alias("score_all_lines"), F.count_if(F.col("n_chars") > 5000).alias("n_long"))
+    return ranks.with_median(g, e.where(~paired.failed()), ["config"], "n_chars", "median_ok", 6)
 
 
 @register(f"""WITH {EVAL}, a AS (SELECT config, round(100.0 * sum(score) / count(*), 2) AS acc FROM v GROUP BY config), {REQUESTS.strip()}, l AS (SELECT CAST(config AS INT) AS config, round(median(wall_ms), 6) AS ms FROM r WHERE valid GROUP BY ALL)
@@ -72,7 +72,7 @@ SELECT a.config, a.acc, coalesce(CAST(l.ms AS VARCHAR), 'pending') AS latency, C
 def report_join(spark, d):
     """Accuracy beside latency; a config without a latency run is pending. Listed in the order of reports."""
     a = valid(eval_long(spark, d)).groupBy("config").agg(F.round(F.sum("score") * 100.0 / F.count("*"), 2).alias("acc"))
-    l = requests(spark, d).where("valid").groupBy(F.col("config").cast("int").alias("config")).agg(F.round(F.median("wall_ms"), 6).alias("ms"))
+    l = ranks.percentiles(requests(spark, d).where("valid").withColumn("config", F.col("config").cast("int")), ["config"], "wall_ms", {"ms": 0.5}).withColumn("ms", F.round("ms", 6))
     at = F.array_position(F.array(*map(F.lit, REPORT_ORDER)), F.col("config"))
     return a.join(l, "config", "left").select("config", "acc", F.coalesce(F.col("ms").cast("string"), F.lit("pending")).alias("latency"), F.when(at > 0, at - 1).otherwise(99).cast("int").alias("place"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -181,3 +183,32 @@ def markdown(df: DataFrame, max_rows: int = 1000) -> str:
         raise ValueError("too many rows for a report")
     cell = lambda x: "-" if x is None else f"{x + 0.0:.2f}" if isinstance(x, float) else str(x)
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
+
+
+def pivoted(df: DataFrame, rows: list[str], column: str, labels: dict, cell: Callable[[Row], str], missing: str = "-", max_rows: int = 10_000) -> str:
+    """A long report table as Markdown, one line for each different `rows`, sorted, and one column for each of labels (value of `column`: heading).
+    cell writes a row's cell; where there is no row it is `missing`. Reports are small, more than max_rows raise."""
+    found = df.where(F.col(column).isin(*labels)).limit(max_rows + 1).collect()
+    if len(found) > max_rows:
+        raise ValueError("too many rows for a report")
+    cells: dict[tuple, dict] = {}
+    for r in found:
+        of_line = cells.setdefault(tuple(r[k] for k in rows), {})
+        if r[column] in of_line:
+            raise ValueError(f"two cells for {r[column]}")
+        of_line[r[column]] = cell(r)
+    lines = sorted(cells.items(), key=lambda x: [(v is None, v) for v in x[0]])
+    text = [[*rows, *labels.values()], *([*("-" if v is None else str(v) for v in line), *(of.get(c, missing) for c in labels)] for line, of in lines)]
+    head, *body = ["| " + " | ".join(x) + " |" for x in text]
+    return "\n".join([head, "|" + "---|" * len(text[0]), *body])
+
+
+def accuracy_cell(r: Row) -> str:
+    """An accuracy in percent, with the number of records where some were left out."""
+    return f"{r.accuracy_pct:.2f}" + (f" (n={r.n_valid})" if r.n_error else "")
+
+
+def delta_cell(r: Row) -> str:
+    """A signed change with its interval, marked where that excludes 0."""
+    mark = "*" if r.ci_lo > 0 or r.ci_hi < 0 else ""
+    return f"{r.delta_pts + 0.0:+.2f} [{r.ci_lo:+.2f}, {r.ci_hi:+.2f}]{mark}"
