@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalloom.llm import chat, fill_middle, gam, langid, licenses, line_dedup, line_rules, mixing, sentencepiece_viterbi, simhash, token_align, topk
+from evalloom.llm import chat, fill_middle, gam, langid, licenses, line_dedup, line_rules, mixing, sentencepiece_viterbi, simhash, substring_dedup, token_align, topk
 
 _QUERIES = {
     "op1_mix_sources": mixing,
@@ -15,6 +15,7 @@ _QUERIES = {
     "op8_chat_format": chat,
     "op9_quality_gam": gam,
     "op10_line_dedup": line_dedup,
+    "op11_substring_dedup": substring_dedup,
     "op12_token_align": token_align,
     "op13_fill_middle": fill_middle,
 }
