@@ -3,7 +3,8 @@
 A record's fingerprint is the hash of its nested field paths: the schema of the parsed JSON value, without leaf types. A
 registry maps fingerprints to declarative layouts: which paths hold roles and texts, at the top or below one of `WRAPPERS`
 (`{"data": {"prompt": ...}}`). A text may be a list of parts (`[{"type": "text", "text": ...}]`), whose texts are joined; parts
-without text count as empty. A record with further fields takes the first layout whose fields are all present. Everything
+without text count as empty. A record with further fields takes the first layout whose fields are all there in the shape that it
+reads, unless one of the further fields is known to hold turns too (`TURN_FIELDS`): then no layout fits, as a turn would be lost. Everything
 is native: parse_json, schema_of_variant, variant_get. Rows that are columns already can skip JSON: their layout follows from
 the fingerprint of the schema.
 
@@ -45,7 +46,7 @@ TURNS = "array<struct<role: string, text: string>>"
 
 @dataclass(frozen=True)
 class Layout:
-    """Turns come from fixed fields (role, field), or from an array of objects with a role and a text field; parts says that texts
+    """Turns come from fixed fields (role, field), then from an array of objects with a role and a text field; parts says that texts
     are lists of parts; below names the field that holds all of it."""
 
     name: str
@@ -58,20 +59,35 @@ class Layout:
     below: str = ""
 
     def names(self) -> list[str]:
-        return [f for _, f in self.fields] or [self.array]
+        return [f for _, f in self.fields] + [self.array] * bool(self.array)
 
     def structure(self) -> str:
         """What structure_of() gives for a record of exactly this layout."""
         part = ": ARRAY<OBJECT<text, type>>" if self.parts else ""
+        inner = {f: f + part for _, f in self.fields}
         if self.array:
-            inner = f"{self.array}: ARRAY<OBJECT<{', '.join(sorted((self.role, self.text + part)))}>>"
-        else:
-            inner = ", ".join(sorted(f + part for f in self.names()))
+            inner[self.array] = f"{self.array}: ARRAY<OBJECT<{', '.join(sorted((self.role, self.text + part)))}>>"
+        inner = ", ".join(inner[f] for f in sorted(inner))
         return f"OBJECT<{self.below}: OBJECT<{inner}>>" if self.below else f"OBJECT<{inner}>"
 
     def path(self, field: str) -> str:
         return f"$.{self.below}.{field}" if self.below else f"$.{field}"
 
+    def fits(self, record: Column) -> Column:
+        """Whether a variant has the fields in the shape that turns() reads, and no further one that holds turns."""
+        own = self.names()
+        shape = lambda name: structure_of(F.try_variant_get(record, self.path(name), "variant"))
+        inner = rf"{self.text}(: {PARTS_SHAPE})?"
+        objects = rf"ARRAY<OBJECT<(?=(.*, )?{self.role}[,>])(?=(.*, )?{inner}[,>]).*>>"
+        ok = F.lit(True)
+        for name in own:
+            ok &= F.coalesce(shape(name).rlike(f"^({objects if name == self.array else f'[A-Z0-9(), ]+|{PARTS_SHAPE}'})$"), F.lit(False))
+        for name in TURN_FIELDS:
+            if name not in own:
+                value = F.try_variant_get(record, self.path(name), "variant")
+                ok &= value.isNull() | F.is_variant_null(value)
+        return ok
+
     def turns(self, record: Column, native: bool = False) -> Column:
         """The turns of a variant, or of a struct column (native)."""
         inside = record[self.below] if native and self.below else record
@@ -83,26 +99,29 @@ class Layout:
                 text = variant_text(text)
             return F.coalesce(text, F.lit(""))
 
-        if self.array:
-            kind = f"array<struct<`{self.role}`: string, `{self.text}`: variant>>"
-            rows = inside[self.array] if native else F.try_variant_get(record, self.path(self.array), kind)
+        texts = [plain(inside[f] if native else F.try_variant_get(record, self.path(f), "variant")) for _, f in self.fields]
+        fixed = [F.struct(F.lit(role).alias("role"), text.alias("text")) for (role, _), text in zip(self.fields, texts, strict=True)]
+        if not self.array:
+            return F.array(*fixed)
+        kind = f"array<struct<`{self.role}`: string, `{self.text}`: variant>>"
+        rows = inside[self.array] if native else F.try_variant_get(record, self.path(self.array), kind)
 
-            def canonical(x: Column) -> Column:
-                role = F.coalesce(x[self.role], F.lit(""))
-                for source, name in self.roles:
-                    role = F.when(x[self.role] == source, name).otherwise(role)
-                return F.struct(role.alias("role"), plain(x[self.text]).alias("text"))
+        def canonical(x: Column) -> Column:
+            role = F.coalesce(x[self.role], F.lit(""))
+            for source, name in self.roles:
+                role = F.when(x[self.role] == source, name).otherwise(role)
+            return F.struct(role.alias("role"), plain(x[self.text]).alias("text"))
 
-            return F.transform(rows, canonical)
-        texts = [plain(inside[f] if native else F.try_variant_get(record, self.path(f), "variant")) for f in self.names()]
-        return F.array(*[F.struct(F.lit(role).alias("role"), text.alias("text")) for (role, _), text in zip(self.fields, texts, strict=True)])
+        rows = F.transform(rows, canonical)
+        return F.concat(F.array(*fixed), rows) if fixed else rows
 
 
 def variant_text(value: Column) -> Column:
-    """A variant's text: the texts of its parts if it is an array, else its value as a string."""
+    """A variant's text: the texts of its parts if it is an array, its own text if it is one part, else its value as a string."""
     parts = F.try_variant_get(value, "$", "array<struct<text: string>>")
     joined = F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "")
-    return F.when(F.schema_of_variant(value).startswith("ARRAY<OBJECT<"), joined).otherwise(F.try_variant_get(value, "$", "string"))
+    kind = F.schema_of_variant(value)
+    return F.when(kind.startswith("ARRAY<OBJECT<"), joined).when(kind.startswith("OBJECT<"), F.try_variant_get(value, "$.text", "string")).otherwise(F.try_variant_get(value, "$", "string"))
 
 
 SHAREGPT = (("human", "user"), ("gpt", "assistant"))
@@ -115,7 +134,16 @@ PLAIN = (
     Layout("prompt_response", (("user", "prompt"), ("assistant", "response"))),
     Layout("prompt_completion", (("user", "prompt"), ("assistant", "completion"))),
     Layout("question_answer", (("user", "question"), ("assistant", "answer"))),
+    Layout("query_answer", (("user", "query"), ("assistant", "answer"))),
+    Layout("query_response", (("user", "query"), ("assistant", "response"))),
+    Layout("inputs_targets", (("user", "inputs"), ("assistant", "targets"))),
+    Layout("system_messages", (("system", "system"),), "messages", "role", "content"),
+    Layout("system_conversations", (("system", "system"),), "conversations", "from", "value", SHAREGPT),
 )
+#: Fields that hold turns, or parts of them, in some layout; a near match may not pass over one.
+TURN_FIELDS = tuple(sorted({f for x in PLAIN for f in x.names()} | {"chosen", "context", "dialog", "dialogue", "history", "rejected", "system_prompt", "turns"}))
+#: What structure_of() gives for a list of parts, as a pattern.
+PARTS_SHAPE = "ARRAY<OBJECT<(?:[^<>]*, )?text(?:, [^<>]*)?>>"
 #: Each plain layout, below each wrapper, with plain texts and with parts.
 LAYOUTS = tuple(replace(x, below=w, parts=p, name=x.name + ("_parts" if p else "") + (f"_in_{w}" if w else "")) for w in WRAPPERS for p in (False, True) for x in PLAIN)
 
@@ -126,14 +154,11 @@ def structure_of(record: Column) -> Column:
 
 
 def layout_of(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    """The name of the layout with the record's fingerprint, else of the first whose fields are all present."""
+    """The name of the layout with the record's fingerprint, else of the first that fits."""
     exact = F.create_map(*[F.lit(v) for x in layouts for v in (hash_of(x.structure()), x.name)])
     near = F.lit(None).cast("string")
     for x in reversed([x for x in layouts if not x.parts]):
-        present = F.lit(True)
-        for name in x.names():
-            present &= F.try_variant_get(record, x.path(name), "variant").isNotNull()
-        near = F.when(present, x.name).otherwise(near)
+        near = F.when(x.fits(record), x.name).otherwise(near)
     return F.coalesce(F.try_element_at(exact, F.md5(structure_of(record))), near)
 
 
@@ -164,11 +189,19 @@ def replaced(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in columns], *[c.alias(n) for n, c in columns.items()])
 
 
+def reads(layout: Layout, field: str, kind: T.DataType) -> bool:
+    """Whether a column of this type has the shape that a layout without parts reads."""
+    if field != layout.array:
+        return isinstance(kind, T.AtomicType)
+    inner = kind.elementType if isinstance(kind, T.ArrayType) else None
+    return isinstance(inner, T.StructType) and all(f in inner.names and isinstance(inner[f].dataType, T.AtomicType) for f in (layout.role, layout.text))
+
+
 def native_turns(df: DataFrame, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """canonical_turns() for a struct column: the layout follows from the schema, no text is parsed."""
     kind = df.schema[record].dataType
     exact = [x for x in layouts if x.structure() == structure_of_type(kind)]
-    near = [x for x in layouts if not x.below and not x.parts and set(x.names()) <= set(kind.names)]
+    near = [x for x in layouts if not x.below and not x.parts and not set(TURN_FIELDS) & set(kind.names) - set(x.names()) and all(f in kind.names and reads(x, f, kind[f].dataType) for f in x.names())]
     none = F.array().cast(TURNS)
     if not exact + near:
         return replaced(df, _cf_layout=F.lit(None).cast("string"), _cf_turns=none)
@@ -236,7 +269,11 @@ def read_loss(formatted: Column, spans: Column) -> Column:
 #: Bytes of text up to which the query makes a conversation a JSON record; a longer one stays a struct of columns.
 JSON_BYTES = 4 << 20
 #: The roles, in order, that let a conversation take a layout of fixed fields; all others take one of the two arrays.
-SHAPES = {("user", "assistant"): ("instruction_output", "prompt_response", "prompt_completion", "question_answer"), ("system", "user", "assistant"): ("system_prompt_response",), ("user", "user", "assistant"): ("instruction_input_output",)}
+SHAPES = {
+    ("user", "assistant"): ("instruction_output", "prompt_response", "prompt_completion", "question_answer", "query_answer", "query_response", "inputs_targets"),
+    ("system", "user", "assistant"): ("system_prompt_response", "system_messages", "system_conversations"),
+    ("user", "user", "assistant"): ("instruction_input_output",),
+}
 
 
 def conversations_of(rows: DataFrame) -> DataFrame:
@@ -255,16 +292,16 @@ def dealt_json(m: Column, deal: Column) -> Column:
         return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))) if parts else text
 
     def json(x: Layout, below: str, parts: bool) -> Column:
-        if x.array:
-            def row(t: Column) -> Column:
-                role = t["role"]
-                for source, name in x.roles:
-                    role = F.when(t["role"] == name, source).otherwise(role)
-                return F.struct(role.alias(x.role), part(t["content"], parts).alias(x.text))
-
-            inner = F.struct(F.transform(m, row).alias(x.array))
-        else:
-            inner = F.struct(*[part(m[i]["content"], parts).alias(f) for i, f in enumerate(x.names())])
+        fields = [part(F.get(m, F.lit(i))["content"], parts).alias(f) for i, (_, f) in enumerate(x.fields)]
+
+        def row(t: Column) -> Column:
+            role = t["role"]
+            for source, name in x.roles:
+                role = F.when(t["role"] == name, source).otherwise(role)
+            return F.struct(role.alias(x.role), part(t["content"], parts).alias(x.text))
+
+        rest = F.slice(m, len(fields) + 1, F.size(m)) if fields else m
+        inner = F.struct(*fields, *([F.transform(rest, row).alias(x.array)] if x.array else []))
         return F.to_json(F.struct(inner.alias(below)) if below else inner)
 
     def pick(names: tuple[str, ...]) -> Column:
@@ -274,11 +311,11 @@ def dealt_json(m: Column, deal: Column) -> Column:
             out = F.when(F.pmod(deal, F.lit(len(ways))) == i, json(*way)).otherwise(out)
         return out
 
-    roles = F.array_join(F.transform(m, lambda t: t["role"]), "\n")
+    roles = F.transform(m, lambda t: t["role"])
     odd = F.exists(m, lambda t: t["role"].isin(*[source for source, _ in SHAREGPT]))
     out = F.when(odd, pick(("messages",))).otherwise(pick(("messages", "conversations")))
     for shape, names in SHAPES.items():
-        out = F.when(roles == "\n".join(shape), pick(names)).otherwise(out)
+        out = F.when(roles == F.array(*map(F.lit, shape)), pick(names)).otherwise(out)
     return out
 
 

@@ -162,8 +162,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Gam:
     chosen = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("_gam_id"), F.col("quality").cast("int").alias("_gam_y"))
     chosen = chosen.orderBy(F.xxhash64("_gam_id"), "_gam_id", "_gam_y").limit(max_rows)
     vector = over_texts(lambda t: pa.array(list(matrix(t)), pa.list_(pa.float64())), "array<double>")
-    rows = docs.join(F.broadcast(chosen), docs.doc_id == chosen["_gam_id"]).select("_gam_id", "_gam_y", vector(F.col("text")).alias("x"))
-    got = rows.toPandas().sort_values(["_gam_id", "_gam_y"], kind="stable")
+    rows = docs.join(F.broadcast(chosen), docs.doc_id == chosen["_gam_id"])
+    rows = rows.select("_gam_id", "_gam_y", F.xxhash64("_gam_id", "text").alias("k"), vector(F.col("text")).alias("x"))
+    got = rows.orderBy("k", "_gam_id", "_gam_y").limit(max_rows).toPandas()  # an id may have many rows
+    got = got.sort_values(["_gam_id", "_gam_y", "k"], kind="stable")
     return fit(np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES)), got["_gam_y"].to_numpy(float))
 
 

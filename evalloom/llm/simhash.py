@@ -257,7 +257,8 @@ def near_components(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_B
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """One row of each component: of the smallest doc_id (null last), of rows that share it of the least hash of the text,
-    of rows that share both any one."""
+    of rows that share both any one. Columns of docs called `_sh_*` stay."""
+    names, docs = docs.columns, docs.withColumnsRenamed({c: f"_kept{c}" for c in docs.columns if c.startswith("_sh_")})
     rows = placed(docs, **how).select("root", F.col("doc_id").alias("_sh_id"), "_sh_a", "_sh_b")
     rows = materialize(rows, "placed")
     key = ["_sh_id", "_sh_a", "_sh_b"]
@@ -282,7 +283,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     out = keyed.join(special, meets(special), "left_anti")
     if again:
         out = out.unionByName(keyed.join(many, meets(many), "left_semi").dropDuplicates(key))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"_kept{c}").alias(c) if c.startswith("_sh_") else F.col(c) for c in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -367,7 +367,7 @@ def contributions(stream: DataFrame, wide: int) -> DataFrame:
                 links, n = numbers(counts.as_py(), np.uint32).astype(np.int64), numbers(sizes.as_py(), np.uint32).astype(np.int64)
                 start = np.cumsum(n) - n
                 best, summed = np.add.reduceat(links * known[2][at], start), np.add.reduceat(links * known[1][at], start)
-                out.append({"chunk": chunk, "docs": docs.as_py(), "best": best.tobytes(), "sums": summed.tobytes()})
+                out.append({"chunk": chunk, "docs": docs.as_py(), "best": best.astype(np.uint32).tobytes(), "sums": summed.tobytes()})
             if out:
                 yield pa.RecordBatch.from_pylist(out, kind)
         trim()
@@ -387,9 +387,9 @@ def by_document(given: DataFrame) -> DataFrame:
         own = np.unique(docs)
         at = np.searchsorted(own, docs)
         out = []
-        for name in ("best", "sums"):
+        for name, size in (("best", np.uint32), ("sums", np.int64)):
             total = np.zeros(len(own), np.int64)
-            np.add.at(total, at, np.concatenate([numbers(x.as_py(), np.int64) for x in rows[name]]))
+            np.add.at(total, at, np.concatenate([numbers(x.as_py(), size) for x in rows[name]]))
             out.append(total)
         return pa.table([np.full(len(own), rows["chunk"][0].as_py(), np.int64), own.astype(np.int32), *out], schema=kind)
 
@@ -406,7 +406,7 @@ def salts_of(blocks: DataFrame, least: int = SALT_POSTINGS) -> dict[int, int]:
 def align(docs: DataFrame, path_a: str = PATH_A, path_b: str = PATH_B, cells: int | None = None, salt_postings: int = SALT_POSTINGS) -> DataFrame:
     """For each row of docs: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     spark = docs.sparkSession
-    cells = cells or min(MAX_CELLS, max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    cells = cells or min(MAX_CELLS, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     files = read_files(path_a, path_b)
     wide = Pair(*files).wide
     made = encoded(docs, cells, files)
