@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalloom.operators import ranks
+from evalloom.operators import ordered, ranks
 
 
 def summary(rows: DataFrame, *keys: str) -> DataFrame:
@@ -39,28 +38,38 @@ def samples_in_intervals(intervals: DataFrame, samples: DataFrame, bin_us: int,
     return i.join(s, "bin").where((F.col("us") >= F.col("t0") + inset_us) & (F.col("us") <= F.col("t1") - inset_us)).drop("bin")
 
 
+ORDER = ["us", "event_id"]
+
+
 def first_bad(rows: DataFrame) -> DataFrame:
     """Per server, by time: valid timed requests before the first invalid one, and valid ones after it (-1: none bad)."""
-    w = W.partitionBy("server_id").orderBy("us", "event_id")
-    n = rows.withColumn("rn", F.row_number().over(w))
-    n = n.withColumn("bad", F.min(F.when(~F.col("valid"), F.col("rn"))).over(W.partitionBy("server_id")))
-    before = F.count_if(F.col("valid") & (F.col("phase") == "timed") & (F.col("bad").isNull() | (F.col("rn") < F.col("bad"))))
-    after = F.when(F.max("bad").isNull(), -1).otherwise(F.count_if(F.col("valid") & (F.col("rn") > F.col("bad"))))
-    return n.groupBy("server_id").agg(F.count("*").alias("n"), F.max("bad").alias("first_bad"), before.alias("valid_timed_before"), after.cast("long").alias("valid_after"))
+    bad = F.coalesce(~F.col("valid"), F.lit(False))
+    n = ordered.folded(rows, ["server_id"], ORDER, {"rn": ordered.running(F.lit(1)), "bad": ordered.running(bad.cast("int"))})
+    before = F.count_if(F.col("valid") & (F.col("phase") == "timed") & (F.col("bad") == 0))
+    first = F.min(F.when(bad, F.col("rn")))
+    after = F.when(first.isNull(), -1).otherwise(F.count_if(F.col("valid") & (F.col("bad") > 0)))
+    return n.groupBy("server_id").agg(F.count("*").alias("n"), first.cast("int").alias("first_bad"), before.alias("valid_timed_before"), after.cast("long").alias("valid_after"))
 
 
 def drift(rows: DataFrame, value: str, ends: int = 10, least: int = 20, places: int = 0) -> DataFrame:
     """Per server: the median of the last `ends` values minus that of the first ones, rounded half-even."""
-    part = W.partitionBy("server_id")
-    n = rows.where(F.col(value).isNotNull()).withColumns({"a": F.row_number().over(part.orderBy("us", "event_id")), "z": F.row_number().over(part.orderBy(F.desc("us"), F.desc("event_id"))), "n": F.count("*").over(part)})
-    x = F.col(value)
-    change = F.median(F.when(F.col("z") <= ends, x)) - F.median(F.when(F.col("a") <= ends, x))
-    return n.where(F.col("n") >= least).groupBy("server_id").agg(F.max("n").alias("n"), F.bround(change, places).alias("drift"))
+    told = rows.where(F.col(value).isNotNull()).select("server_id", *ORDER, value)
+    n = told.groupBy("server_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    mid = lambda end: F.median(F.when(F.col("_end") == end, F.col(value)))
+    change = ordered.ends(told, ["server_id"], ORDER, ends).groupBy("server_id").agg(F.bround(mid("last") - mid("first"), places).alias("drift"))
+    return ranks.met(n, change, ["server_id"]).select("server_id", "n", "drift")
 
 
 def error_runs(rows: DataFrame) -> DataFrame:
     """Per server: the longest run of invalid requests in a row."""
-    w = W.partitionBy("server_id").orderBy("us", "event_id")
-    island = F.sum(F.col("valid").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))
-    runs = rows.withColumn("island", island).where(~F.col("valid")).groupBy("server_id", "island").agg(F.count("*").alias("n"))
+    islands = ordered.folded(rows.select("server_id", *ORDER, "valid"), ["server_id"], ORDER, {"island": ordered.running(F.col("valid").cast("int"))})
+    runs = islands.where(~F.col("valid")).groupBy("server_id", "island").agg(F.count("*").alias("n"))
     return runs.groupBy("server_id").agg(F.max("n").alias("longest_error_run"), F.count("*").alias("error_runs"))
+
+
+def progress(rows: DataFrame, every: int = 25) -> DataFrame:
+    """Per server after each `every` requests and after the last one: how many there were, and how many were valid."""
+    told = rows.select("server_id", *ORDER, "valid")
+    n = ordered.folded(told, ["server_id"], ORDER, {"n": ordered.running(F.lit(1)), "ok": ordered.running(F.col("valid").cast("int"))})
+    total = told.groupBy("server_id").agg(F.count("*").alias("total"))
+    return ranks.met(n, total, ["server_id"]).where((F.col("n") % every == 0) | (F.col("n") == F.col("total"))).select("server_id", F.col("n").cast("int").alias("n"), "ok")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,17 +20,23 @@ def pct(x: Column) -> Column:
     return F.round(100.0 * F.sum(x) / F.count(x), 6)
 
 
+def points(rows: DataFrame) -> Column:
+    """A row's score, null for a failed one; rows without a column of scores are right where predicted equals gt."""
+    score = F.col("score").cast("double") if "score" in rows.columns else (F.col("predicted") == F.col("gt")).cast("int")
+    return F.when(~failed(), score)
+
+
 def accuracy(rows: DataFrame, *keys: str) -> DataFrame:
-    hit = F.when(~failed(), (F.col("predicted") == F.col("gt")).cast("int"))
+    hit = points(rows)
     return rows.groupBy(*keys).agg(pct(hit).alias("accuracy_pct"), F.count(hit).alias("n_valid"), F.count_if(failed()).alias("n_error"))
 
 
 def run_metrics(rows: DataFrame, *keys: str) -> DataFrame:
-    hit = F.when(~failed(), (F.col("predicted") == F.col("gt")).cast("int"))
-    total = F.count("*")
+    hit = points(rows)
+    total, summed = F.count("*"), F.coalesce(F.sum(hit), F.lit(0))
     return rows.groupBy(*keys).agg(
-        total.alias("attempted"), F.count(hit).alias("answered"), F.count_if(failed()).alias("errors"), F.coalesce(F.sum(hit), F.lit(0)).alias("score_sum"),
-        F.round(F.coalesce(F.sum(hit), F.lit(0)) / total, 6).alias("score_raw"), F.round(F.try_divide(F.sum(hit), F.count(hit)), 6).alias("score_answered"),
+        total.alias("attempted"), F.count(hit).alias("answered"), F.count_if(failed()).alias("errors"), (F.round(summed, 6) if "score" in rows.columns else summed).alias("score_sum"),
+        F.round(summed / total, 6).alias("score_raw"), F.round(F.try_divide(F.sum(hit), F.count(hit)), 6).alias("score_answered"),
     )
 
 
@@ -42,6 +50,20 @@ def pair_with_base(valid: DataFrame, base: int) -> DataFrame:
     return pairs.select("dataset", "idx", *[F.col(f"_r.{c}").alias(c) for c in rest], "base_score", "base_predicted")
 
 
+def pairs_of_runs(valid: DataFrame, wanted: Sequence[tuple[int, int]]) -> DataFrame:
+    """A row for each record and each wanted (baseline, other) whose runs both have it: baseline, other, the record's columns as in the
+    baseline's run, base_score and score, base_predicted and predicted. The few rows of a record meet in one aggregate, whatever the
+    number of baselines, and pairs are made inside it."""
+    own = [c for c in valid.columns if c not in ("dataset", "idx", "config", "score", "predicted")]
+    runs = F.map_from_entries(F.collect_list(F.struct("config", F.struct("score", "predicted", *own))))  # one a config
+    met = valid.groupBy("dataset", "idx").agg(runs.alias("_runs"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in wanted])).alias("_p")
+    x, y = (F.try_element_at("_runs", F.col(f"_p.{k}")) for k in "ab")
+    out = met.select("dataset", "idx", "_runs", pairs).select("dataset", "idx", "_p", x.alias("_x"), y.alias("_y")).where("_x is not null and _y is not null")
+    each = {"baseline": "_p.a", "other": "_p.b"} | {c: f"_x.{c}" for c in own} | {"base_score": "_x.score", "score": "_y.score", "base_predicted": "_x.predicted", "predicted": "_y.predicted"}
+    return out.select("dataset", "idx", *[F.col(x).alias(c) for c, x in each.items()])
+
+
 def paired_delta(pairs: DataFrame, *keys: str) -> DataFrame:
     """Mean difference in points; worse, better and the exact p only where all scores are 0 or 1."""
     s, b = F.col("score"), F.col("base_score")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalloom.functions import stats, text
-from evalloom.operators import latency, paired, ranks
+from evalloom.operators import latency, ordered, paired, ranks
 from evalloom.plans.workload import BASE, EVAL, NOISE, REQUESTS, eval_long, requests, table, valid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,14 +51,23 @@ def subgroup_delta(spark, d):
     return paired.paired_delta(both, "config", "task")
 
 
-@register(f"WITH {EVAL} SELECT config, dataset, round(100.0 * sum(score) / count(score), 6) AS accuracy_pct, count(score) AS n_valid, count(*) FILTER (WHERE error IS NOT NULL) AS n_error FROM (SELECT *, CASE WHEN error IS NULL THEN CAST(predicted = gt AS INT) END AS score FROM e) GROUP BY ALL")
+SOFT = "CASE WHEN dataset = 'es' THEN least(1.0, idx % 5 * 0.3) ELSE CAST(predicted = gt AS INT) END"
+
+
+def soft_scored(rows: DataFrame) -> DataFrame:
+    """The rows with scores, as loaded files have them: one dataset has partial credit."""
+    return rows.withColumn("score", F.when(F.col("dataset") == "es", F.least(F.lit(1.0), F.col("idx") % 5 * 0.3)).otherwise((F.col("predicted") == F.col("gt")).cast("double")))
+
+
+@register(f"WITH {EVAL} SELECT config, dataset, round(100.0 * sum(score) / count(score), 6) AS accuracy_pct, count(score) AS n_valid, count(*) FILTER (WHERE error IS NOT NULL) AS n_error FROM (SELECT *, CASE WHEN error IS NULL THEN {SOFT} END AS score FROM e) GROUP BY ALL")
 def accuracy_table(spark, d):
-    return paired.accuracy(eval_long(spark, d), "config", "dataset")
+    """One dataset has soft scores, which its predictions and ground truths don't tell."""
+    return paired.accuracy(soft_scored(eval_long(spark, d)), "config", "dataset")
 
 
-@register(f"WITH {EVAL} SELECT config, dataset, count(*) AS attempted, count(s) AS answered, count(*) FILTER (WHERE error IS NOT NULL) AS errors, CAST(coalesce(sum(s), 0) AS BIGINT) AS score_sum, round(coalesce(sum(s), 0) / count(*), 6) AS score_raw, round(sum(s) / nullif(count(s), 0), 6) AS score_answered FROM (SELECT *, CASE WHEN error IS NULL THEN CAST(predicted = gt AS INT) END AS s FROM e) GROUP BY ALL")
+@register(f"WITH {EVAL} SELECT config, dataset, count(*) AS attempted, count(s) AS answered, count(*) FILTER (WHERE error IS NOT NULL) AS errors, round(coalesce(sum(s), 0), 6) AS score_sum, round(coalesce(sum(s), 0) / count(*), 6) AS score_raw, round(sum(s) / nullif(count(s), 0), 6) AS score_answered FROM (SELECT *, CASE WHEN error IS NULL THEN {SOFT} END AS s FROM e) GROUP BY ALL")
 def run_metrics(spark, d):
-    return paired.run_metrics(eval_long(spark, d), "config", "dataset")
+    return paired.run_metrics(soft_scored(eval_long(spark, d)), "config", "dataset")
 
 
 @register(f"WITH {EVAL} SELECT config, round(avg(score_answered), 6) AS macro, CAST(count(*) AS BIGINT) AS n_datasets FROM (SELECT config, dataset, round(sum(score) / count(*), 6) AS score_answered FROM v GROUP BY ALL) GROUP BY config HAVING count(*) > 1")
@@ -148,10 +157,13 @@ def net_over_noise_floor(spark, d):
 b AS (SELECT x.config AS a, y.config AS b, count(*) AS both_lost FROM l x JOIN l y ON x.dataset = y.dataset AND x.idx = y.idx AND x.config < y.config GROUP BY ALL)
 SELECT a, b, both_lost, round(both_lost / (x.n + y.n - both_lost), 6) AS jaccard FROM b JOIN n x ON x.config = a JOIN n y ON y.config = b""")
 def lost_overlap_jaccard(spark, d):
-    lost = flips(spark, d).where("direction = 'lost'").select("config", "dataset", "idx").distinct()
-    n = lost.groupBy("config").agg(F.count("*").alias("n"))
-    both = lost.withColumnRenamed("config", "a").join(lost.withColumnRenamed("config", "b"), ["dataset", "idx"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("both_lost"))
-    both = both.join(n.select(F.col("config").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("config").alias("b"), F.col("n").alias("nb")), "b")
+    """From one aggregate by record: the configs that lost it, and each two of them."""
+    lost = flips(spark, d).where("direction = 'lost'").groupBy("dataset", "idx").agg(F.array_sort(F.collect_set("config")).alias("c"))  # at most all configs
+    two = F.flatten(F.transform("c", lambda a: F.transform(F.filter("c", lambda b: b >= a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    met = lost.select(F.explode(two).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("both_lost"))  # one row for two configs; a config with itself has its own
+    own = F.broadcast(met.where("a = b").select(F.col("a").alias("c"), F.col("both_lost").alias("n")))
+    x, y = (own.withColumnsRenamed({"c": c, "n": f"n{c}"}) for c in "ab")
+    both = met.where("a < b").join(x, "a").join(y, "b")
     return both.select("a", "b", "both_lost", F.round(F.col("both_lost") / (F.col("na") + F.col("nb") - F.col("both_lost")), 6).alias("jaccard"))
 
 
@@ -172,16 +184,25 @@ def win_loss(spark, d):
 SELECT a, b, count(ys) AS n_paired, CASE WHEN count(ys) = 0 THEN 'pending' ELSE 'ok' END AS status, round(100.0 * sum(CASE WHEN ys IS NOT NULL THEN ys - xs END) / nullif(count(ys), 0), 6) AS delta_pts FROM j GROUP BY a, b""")
 def pair_list(spark, d):
     """Explicit ordered pairs of configs; a pair with a missing side stays as pending."""
-    v = valid(eval_long(spark, d)).select("config", "dataset", "idx", "score")
-    wanted = spark.createDataFrame([(2, 5), (2, 9), (2, 8), (5, 9), (2, 77)], "a int, b int")
-    x = v.select(F.col("config").alias("a"), "dataset", "idx", F.col("score").alias("xs"))
-    y = v.select(F.col("config").alias("b"), "dataset", "idx", F.col("score").alias("ys"))
-    j = x.join(F.broadcast(wanted), "a").join(y, ["b", "dataset", "idx"])
-    got = j.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum(F.col("ys") - F.col("xs")).alias("s"))
-    out = wanted.join(got, ["a", "b"], "left").withColumn("n_paired", F.coalesce("n", F.lit(0)))
+    wanted = [(2, 5), (2, 9), (2, 8), (5, 9), (2, 77)]
+    p = paired.pairs_of_runs(valid(eval_long(spark, d)), wanted)
+    got = p.groupBy(F.col("baseline").alias("a"), F.col("other").alias("b")).agg(F.count("*").alias("n"), F.sum(F.col("score") - F.col("base_score")).alias("s"))
+    out = spark.createDataFrame(wanted, "a int, b int").join(got, ["a", "b"], "left").withColumn("n_paired", F.coalesce("n", F.lit(0)))
     return out.select("a", "b", "n_paired", F.when(F.col("n_paired") == 0, "pending").otherwise("ok").alias("status"), F.round(F.try_divide(100.0 * F.col("s"), F.col("n_paired")), 6).alias("delta_pts"))
 
 
+COMPARISONS = ((2, 5), (2, 9), (2, 8), (5, 9), (5, 8), (9, 8), (8, 2), (9, 5), (2, 77))
+
+
+@register(f"""WITH {EVAL}, w(a, b) AS (VALUES {', '.join(map(str, COMPARISONS))}), p AS (SELECT w.a AS baseline, w.b AS other, unnest([x.task, 'all']) AS task, x.score AS base_score, y.score AS score
+  FROM w JOIN v x ON x.config = w.a JOIN v y ON y.config = w.b AND y.dataset = x.dataset AND y.idx = x.idx)
+{DELTA.format(keys='baseline, other, task', group='baseline, other, task')}""")
+def several_baselines(spark, d):
+    """Nine comparisons by four baselines, each by task and over all tasks, from one shuffle of the log; a run that isn't there has no rows."""
+    p = paired.pairs_of_runs(valid(eval_long(spark, d)), COMPARISONS)
+    return paired.paired_delta(p.withColumn("task", F.explode(F.array("task", F.lit("all")))), "baseline", "other", "task")
+
+
 @register(f"WITH {EVAL} SELECT dataset, count(*) AS n FROM (SELECT dataset, idx FROM v GROUP BY ALL HAVING count(DISTINCT config) = 4) GROUP BY dataset")
 def common_to_all(spark, d):
     g = valid(eval_long(spark, d)).groupBy("dataset", "idx").agg(F.count("config").alias("c")).where("c = 4")  # a config has an idx once
@@ -287,10 +308,7 @@ def error_runs(spark, d):
 @register(f"""WITH {REQUESTS}, a AS (SELECT server_id, us, event_id, valid, row_number() OVER w AS n, sum(CAST(valid AS INT)) OVER w AS ok, count(*) OVER (PARTITION BY server_id) AS total FROM r WINDOW w AS (PARTITION BY server_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING))
 SELECT server_id, CAST(n AS INT) AS n, CAST(ok AS BIGINT) AS ok FROM a WHERE n % 25 = 0 OR n = total""")
 def running_progress(spark, d):
-    w = W.partitionBy("server_id")
-    run = w.orderBy("us", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    a = requests(spark, d).select("server_id", F.row_number().over(w.orderBy("us", "event_id")).alias("n"), F.sum(F.col("valid").cast("int")).over(run).alias("ok"), F.count("*").over(w).alias("total"))
-    return a.where("n % 25 = 0 or n = total").select("server_id", "n", "ok")
+    return latency.progress(requests(spark, d))
 
 
 @register(f"WITH {REQUESTS} SELECT event_id, round(us // 3600000000 + (row_number() OVER w - 1) / count(*) OVER (PARTITION BY us // 3600000000), 6) AS t FROM r WINDOW w AS (PARTITION BY us // 3600000000 ORDER BY event_id)")
@@ -331,8 +349,31 @@ def inflight_died(spark, d):
 
 @register(f"WITH {REQUESTS} SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY server_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS section FROM r")
 def carry_forward(spark, d):
-    w = W.partitionBy("server_id").orderBy("us", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return requests(spark, d).select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).alias("section"))
+    section = ordered.latest(F.when(F.col("event_type") == "signup", F.col("event_id")))
+    return ordered.folded(requests(spark, d), ["server_id"], latency.ORDER, {"section": section}).select("event_id", "section")
+
+
+RESTART_EVERY = 50
+
+
+@register(f"""WITH {REQUESTS}, n AS (SELECT *, row_number() OVER w AS n FROM r WINDOW w AS (PARTITION BY server_id ORDER BY us, event_id)),
+f AS (SELECT *, (n - coalesce(last_value(CASE WHEN k = 7 THEN n END IGNORE NULLS) OVER (PARTITION BY server_id ORDER BY n ROWS UNBOUNDED PRECEDING), 1)) % {RESTART_EVERY} + 1 AS since_restart FROM n),
+b AS (SELECT *, sum(CAST(since_restart = 1 AND n > 1 AS INT)) OVER (PARTITION BY server_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS block FROM f)
+SELECT event_id, CAST(since_restart AS BIGINT) AS since_restart, CAST(block AS BIGINT) AS block, CAST(sum(CAST(NOT valid AS INT)) OVER (PARTITION BY server_id, block ORDER BY n ROWS UNBOUNDED PRECEDING) AS BIGINT) AS restarts_in_block FROM b""")
+def restart_counter(spark, d):
+    """Requests since the server's last restart, which comes after fifty of them or where one is sent again (here those with k = 7), and
+    the deaths in the block between two restarts."""
+    r = requests(spark, d).select("event_id", "us", "server_id", "k", "valid")
+    return ordered.restart_counter(r, ["server_id"], latency.ORDER, F.col("k") == 7, ~F.col("valid"), RESTART_EVERY).select("event_id", "since_restart", "block", "restarts_in_block")
+
+
+@register(f"""WITH {REQUESTS}, q AS (SELECT * EXCLUDE server_id, event_type AS server_id FROM r), a AS (SELECT *, row_number() OVER w AS rn, sum(CAST(valid AS INT)) OVER w AS ok, last_value(CASE WHEN k = 7 THEN event_id END IGNORE NULLS) OVER w AS section FROM q WINDOW w AS (PARTITION BY server_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, CAST(rn AS BIGINT) AS rn, CAST(ok AS BIGINT) AS ok, section FROM a""")
+def hot_server_folds(spark, d):
+    """Running figures where one of five groups has most of the rows: cut into segments of a few thousand."""
+    q = requests(spark, d).withColumn("server_id", F.col("event_type"))
+    folds = {"rn": ordered.running(F.lit(1)), "ok": ordered.running(F.col("valid").cast("int")), "section": ordered.latest(F.when(F.col("k") == 7, F.col("event_id")))}
+    return ordered.folded(q, ["server_id"], latency.ORDER, folds, per=2000).select("event_id", "rn", "ok", "section")
 
 
 # selection

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalloom.functions import text
-from evalloom.operators import paired, ranks
-from evalloom.plans.catalog import register
+from evalloom.operators import latency, ordered, paired, ranks
+from evalloom.plans.catalog import RESTART_EVERY, register
 from evalloom.plans.workload import BASE, EVAL, NOISE, REQUESTS, eval_long, requests, table, valid
 
 #: Configs in the order that reports list them; others come last, by number.
 REPORT_ORDER = (2, 5, 9, 10, 8, 11)
-ROUNDS, RESTART_EVERY = 4, 50
+ROUNDS = 4
 
 
 @register(f"WITH {REQUESTS} SELECT server_id, k, count(*) AS n, min(event_id) AS first_id FROM r GROUP BY ALL HAVING count(*) > 1")
@@ -80,7 +79,7 @@ def report_join(spark, d):
 @register(f"WITH {REQUESTS}, n AS (SELECT server_id, valid, row_number() OVER (PARTITION BY server_id ORDER BY us, event_id) - 1 AS pos FROM r) SELECT server_id, pos // 50 AS block, count(*) AS n, count(*) FILTER (WHERE NOT valid) AS deaths, max(pos) AS last_pos FROM n GROUP BY ALL")
 def restart_blocks(spark, d):
     """Requests of a server in blocks between restarts."""
-    n = requests(spark, d).select("server_id", "valid", (F.row_number().over(W.partitionBy("server_id").orderBy("us", "event_id")) - 1).alias("pos"))
+    n = ordered.folded(requests(spark, d).select("server_id", "us", "event_id", "valid"), ["server_id"], latency.ORDER, {"n": ordered.running(F.lit(1))}).withColumn("pos", F.col("n") - 1)
     return n.groupBy("server_id", F.floor(F.col("pos") / RESTART_EVERY).alias("block")).agg(F.count("*").alias("n"), F.count_if(~F.col("valid")).alias("deaths"), F.max("pos").alias("last_pos"))
 
 
