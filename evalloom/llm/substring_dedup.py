@@ -24,6 +24,7 @@ called `_sd_*` are replaced. docs is read three times, so write down what is cos
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm._shared import discard, materialize, table, trim
+from evalloom.llm._shared import materialize, table, trim
 
 WINDOW, PREFIXES = 50, (10, 25)
 #: Suffixes that a group of equal prefixes holds at most (but for equal windows); each takes about 60 bytes where its tree is built.
@@ -74,10 +75,13 @@ def word_hashes(text: bytes, known: Words) -> np.ndarray:
     return np.concatenate([np.fromiter(map(known.__getitem__, words := part.split()), np.uint64, len(words)) for part in pieces(text)])
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+def powers(base: np.uint64, n: int, kept: dict = {}) -> np.ndarray:  # noqa: B006
+    """base ** 0, 1, ... n - 1; those of the longest chunk so far are kept."""
+    if len(kept.get(int(base), ())) < n:
+        out = np.full(max(n, 1 << 16), base, np.uint64)
+        out[:1] = 1
+        kept[int(base)] = np.cumprod(out, dtype=np.uint64)
+    return kept[int(base)][:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -166,14 +170,13 @@ def read(docs: DataFrame) -> DataFrame:
 
 
 def counted(docs: DataFrame, cells: Cells, level: int, window: int) -> DataFrame:
-    """(cell, n): how many suffixes of all chunks a cell holds; from the second level on only of cells split so far."""
+    """(cell, n): how many suffixes of all documents a cell holds; from the second level on only of cells split so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
-        for ids, texts in chunks(batches):
+        for _, texts in chunks(batches):
             windows = Windows(texts, known, window)
-            at = smallest(windows, ids, window)[0]
-            cell = cells.of(windows, at, level)
+            cell = cells.of(windows, None, level)
             if level:
                 cell = cell[cell >= 1 << (cells.bits + 18 * (level - 1))]
             found, n = np.unique(cell, return_counts=True)
@@ -186,7 +189,7 @@ def cells_of(docs: DataFrame, group: int = GROUP, window: int = WINDOW, prefixes
     """Prefixes long enough that none of their groups holds more than `group` suffixes, unless they are one window's. The driver sees
     large cells only."""
     spark = docs.sparkSession
-    least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     wanted = max(least, 2 * words // 6 // group, 1)
     cells = Cells(min(MAX_CELLS, 1 << (wanted - 1).bit_length()).bit_length() - 1, prefixes, window)
@@ -198,22 +201,37 @@ def cells_of(docs: DataFrame, group: int = GROUP, window: int = WINDOW, prefixes
     return cells
 
 
+#: Hashes of windows by document: docs, how many each of them has, and the hashes one document after the other.
+PACKED = (("docs", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary()))
 SUFFIXES = "cell long, docs binary, sizes binary, hashes binary"
+ANSWERS = "bucket long, docs binary, sizes binary, hashes binary"
 TOLD = "doc_id long, hashes binary"
 
 
+def packed(part: np.ndarray, owner: np.ndarray, h: np.ndarray) -> Iterator[tuple]:
+    """(part, docs, sizes, hashes) for each part."""
+    order = np.lexsort((owner, part))
+    part, owner, h = part[order], owner[order], h[order]
+    edge = np.flatnonzero(np.diff(part, prepend=part[:1] - 1))
+    for start, stop in pairwise([*edge, len(part)]):
+        first = start + np.flatnonzero(np.concatenate([[True], np.diff(owner[start:stop]) != 0]))
+        yield int(part[start]), owner[first].tobytes(), np.diff([*first, stop]).astype(np.uint32).tobytes(), h[start:stop].tobytes()
+
+
+def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, hashes) of packed rows."""
+    docs, sizes, hashes = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in rows[name]]) for name, kind in (("docs", np.int64), ("sizes", np.uint32), ("hashes", np.uint64)))
+    return np.repeat(docs, sizes), hashes
+
+
+def as_batch(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), kind, strict=True)] if rows else [pa.array([], f.type) for f in kind], schema=kind)
+
+
 def suffixes(docs: DataFrame, cells: Cells, window: int) -> DataFrame:
     """SUFFIXES: a row for each chunk and cell, with the window hashes of its documents; what a chunk has decided alone comes with
     a negative cell, its own."""
-    kind = pa.schema([("cell", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary())])
-
-    def packed(cell: np.ndarray, owner: np.ndarray, h: np.ndarray) -> Iterator[tuple]:
-        order = np.lexsort((owner, cell))
-        cell, owner, h = cell[order], owner[order], h[order]
-        edge = np.flatnonzero(np.diff(cell, prepend=cell[:1] - 1))
-        for start, stop in zip(edge, [*edge[1:], len(cell)], strict=True):
-            first = start + np.flatnonzero(np.concatenate([[True], np.diff(owner[start:stop]) != 0]))
-            yield int(cell[start]), owner[first].tobytes(), np.diff([*first, stop]).astype(np.uint32).tobytes(), h[start:stop].tobytes()
+    kind = pa.schema([("cell", pa.int64()), *PACKED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
@@ -226,7 +244,7 @@ def suffixes(docs: DataFrame, cells: Cells, window: int) -> DataFrame:
                 told = windows.prefix(window, again)
                 rows += packed(np.full(len(again), -1 - int(told[0] >> np.uint64(8)), np.int64), ids[windows.doc[again]], told)
             del windows
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), kind, strict=True)] if rows else [pa.array([], f.type) for f in kind], schema=kind)
+            yield as_batch(rows, kind)
             trim()
 
     return read(docs).mapInArrow(run, SUFFIXES)
@@ -243,37 +261,55 @@ def deep_nodes(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return out
 
 
-def told(rows: DataFrame) -> DataFrame:
-    """TOLD: for documents the hashes of windows that a smaller document holds too, by one tree for each group."""
-    kind = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
-    numbers = lambda column, dtype: np.concatenate([np.frombuffer(x.as_py(), dtype) for x in column])
+def answers(rows: DataFrame, bits: int) -> DataFrame:
+    """ANSWERS: for documents, dealt to 2 ** bits buckets, the hashes of windows that a smaller document holds too, by one tree for each group."""
+    kind = pa.schema([("bucket", pa.int64()), *PACKED])
 
     def run(group: pa.Table) -> pa.Table:
-        owner, h = np.repeat(numbers(group["docs"], np.int64), numbers(group["sizes"], np.uint32)), numbers(group["hashes"], np.uint64)
+        owner, h = unpacked(group)
         if group["cell"][0].as_py() >= 0:
             below = deep_nodes(h, owner)
             owner, h = owner[below], h[below]
+        known = owner != NO_ID  # nothing is smaller than no id
+        owner, h = owner[known], h[known]
+        bucket = (mixed(owner.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+        out = pa.Table.from_batches([as_batch(list(packed(bucket, owner, h)), kind)])
+        del owner, h
+        trim()
+        return out
+
+    return rows.groupBy("cell").applyInArrow(run, ANSWERS)
+
+
+def told(rows: DataFrame) -> DataFrame:
+    """TOLD: a row for each document that something was told, from the rows of its bucket."""
+    kind = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
+
+    def run(group: pa.Table) -> pa.Table:
+        owner, h = unpacked(group)
         order = np.argsort(owner, kind="stable")
         owner, h = owner[order], h[order]
-        start = np.flatnonzero(np.concatenate([[True], np.diff(owner) != 0])) if len(owner) else np.zeros(0, np.int64)
-        out = pa.table([pa.array(owner[start]), pa.array([x.tobytes() for x in np.split(h, start[1:])] if len(h) else [], pa.binary())], schema=kind)
+        start = np.flatnonzero(np.concatenate([[True], np.diff(owner) != 0]))
+        out = pa.table([pa.array(owner[start]), pa.array([x.tobytes() for x in np.split(h, start[1:])], pa.binary())], schema=kind)
         del owner, h
         trim()
         return out
 
-    return rows.groupBy("cell").applyInArrow(run, TOLD)
+    return rows.groupBy("bucket").applyInArrow(run, TOLD)
 
 
 def removed(text: bytes, repeated: np.ndarray, known: Words, window: int) -> tuple[str, int, int]:
     """(kept words, words, removed words)."""
+    if not len(repeated):
+        words = [w for part in pieces(text) for w in part.split()]
+        return b" ".join(words).decode("utf-8", "replace"), len(words), 0
     windows = Windows([text], known, window)
     gone = np.zeros(int(windows.n[0]), bool)
-    if len(repeated):
-        hit = np.isin(windows.prefix(window), repeated)
-        edge = np.zeros(len(gone) + 1, np.int64)
-        edge[: len(hit)] += hit
-        edge[window : window + len(hit)] -= hit
-        gone = np.cumsum(edge[:-1]) > 0
+    hit = np.isin(windows.prefix(window), repeated)
+    edge = np.zeros(len(gone) + 1, np.int64)
+    edge[: len(hit)] += hit
+    edge[window : window + len(hit)] -= hit
+    gone = np.cumsum(edge[:-1]) > 0
     kept, at = [], 0
     for part in pieces(text):
         words = part.split()
@@ -287,8 +323,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, prefixes: tuple[int,
     if not prefixes or [*prefixes, window] != sorted({*prefixes, window}):
         raise ValueError("prefixes have to grow, and be shorter than the window")
     cells = cells_of(docs, group, window, prefixes)
-    answers = materialize(told(suffixes(docs, cells, window)), "substring-told")
-    per = answers.where(F.col("doc_id") != NO_ID).groupBy(F.col("doc_id").alias("_sd_doc")).agg(F.collect_list("hashes").alias("_sd_told"))  # no more than a document has words
+    given = materialize(answers(suffixes(docs, cells, window), cells.bits), "substring-answers")
+    per = told(given).select(F.col("doc_id").alias("_sd_doc"), F.col("hashes").alias("_sd_told"))
     docs = docs.select(*[c for c in docs.columns if not c.startswith("_sd_")])
     met = docs.join(per, docs["doc_id"].cast("long") == per["_sd_doc"], "left").drop("_sd_doc")
     kind = pa.struct([("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
@@ -296,10 +332,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, prefixes: tuple[int,
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         pa.set_memory_pool(pa.system_memory_pool())
         known = Words()
-        for texts, answers in batches:
+        for texts, every in batches:
             out = []
-            for text, told_ in zip(texts, answers, strict=True):
-                repeated = np.concatenate([np.frombuffer(x, np.uint64) for x in told_.as_py()]) if told_.is_valid else np.zeros(0, np.uint64)
+            for text, own in zip(texts, every, strict=True):
+                repeated = np.frombuffer(own.as_py() or b"", np.uint64)
                 out.append(dict(zip(kind.names, removed(text.as_py() or b"", repeated, known, window), strict=True)))
             yield pa.array(out, kind)
             del out
