@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalloom.streaming import stateful
 
-def resumed(spark: SparkSession, path: str, schema: str, key: str = "rec_no", time: str = "t", late: str = "1 day", retry_errors: bool = False) -> DataFrame:
+
+def resumed(spark: SparkSession, path: str, schema: str, keys: tuple[str, ...] = ("dataset", "config", "rec_no"), time: str = "t", keep_days: float | None = None, retry_errors: bool = False) -> DataFrame:
     """Each record of a growing folder of JSON lines once; the checkpoint of the query that writes it holds what was done. Rows that were
-    never tried don't count, nor other errors with retry_errors. time: epoch seconds of a row. What came longer ago than `late` is
-    forgotten, so the state stays bounded; a repeat of it would count again."""
-    fields = spark.createDataFrame([], schema).columns
-    rows = spark.readStream.schema(schema if time in fields else f"{schema}, {time} double").json(path)
-    again = F.coalesce("error_type", F.lit("")) == "ServerUnavailable"
+    never tried don't count, nor other errors with retry_errors. A record is known by keys; where a row or the schema lacks one but
+    the last, its file stands for it. Rows without a number are all let through, and a record's first row however late it comes. What was done is remembered for
+    keep_days, without it for good. Needs the state store of stateful.ROCKS."""
+    rows = spark.readStream.schema(schema).json(path)
+    here = set(rows.columns)
+    again = F.lit(False)
+    if "error_type" in rows.columns:
+        again |= F.coalesce("error_type", F.lit("")) == "ServerUnavailable"
     if retry_errors:
         again |= F.coalesce("error", F.lit("")) != ""
-    stamped = rows.where(~again).withColumn("_at", F.coalesce(F.timestamp_seconds(time), F.col("_metadata.file_modification_time"))).withWatermark("_at", late)
-    return stamped.dropDuplicatesWithinWatermark([key])
+    names, number = rows.columns, keys[-1]
+    file = F.col("_metadata.file_path")
+    rows = rows.where(~again).withColumns({f"_key_{k}": F.coalesce(F.col(k).cast("string"), file) if k in here else file for k in keys if k != number})
+    own = [c for c in rows.columns if c.startswith("_key_")]
+    return stateful.first_seen(rows, [*own, number], time if time in names else None, keep_days).select(*names)
 
 
 def may_resume(old: dict, new: dict) -> None:
