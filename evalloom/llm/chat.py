@@ -23,12 +23,13 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass, replace
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalloom.llm._shared import table
+from evalloom.llm._shared import let, table
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Jackson's limits, lifted: strings are 20,000,000 characters at most in try_parse_json.
@@ -73,20 +74,11 @@ class Layout:
     def path(self, field: str) -> str:
         return f"$.{self.below}.{field}" if self.below else f"$.{field}"
 
-    def fits(self, record: Column) -> Column:
-        """Whether a variant has the fields in the shape that turns() reads, and no further one that holds turns."""
-        own = self.names()
-        shape = lambda name: structure_of(F.try_variant_get(record, self.path(name), "variant"))
-        inner = rf"{self.text}(: {PARTS_SHAPE})?"
-        objects = rf"ARRAY<OBJECT<(?=(.*, )?{self.role}[,>])(?=(.*, )?{inner}[,>]).*>>"
-        ok = F.lit(True)
-        for name in own:
-            ok &= F.coalesce(shape(name).rlike(f"^({objects if name == self.array else f'[A-Z0-9(), ]+|{PARTS_SHAPE}'})$"), F.lit(False))
-        for name in TURN_FIELDS:
-            if name not in own:
-                value = F.try_variant_get(record, self.path(name), "variant")
-                ok &= value.isNull() | F.is_variant_null(value)
-        return ok
+    def shapes(self) -> list[tuple[str, str]]:
+        """(field, a pattern of the structure that turns() reads)."""
+        text = rf"{self.text}(: {PARTS_SHAPE})?"
+        objects = rf"^ARRAY<OBJECT<(?=(.*, )?{self.role}[,>])(?=(.*, )?{text}[,>]).*>>$"
+        return [(f, objects if f == self.array else f"^([A-Z0-9(), ]+|{PARTS_SHAPE})$") for f in self.names()]
 
     def turns(self, record: Column, native: bool = False) -> Column:
         """The turns of a variant, or of a struct column (native)."""
@@ -153,13 +145,36 @@ def structure_of(record: Column) -> Column:
     return F.regexp_replace(F.schema_of_variant(record), r": (?!OBJECT<|ARRAY<)[A-Z ]+(\([^)]*\))?", "")
 
 
+def fields_of(record: Column) -> Column:
+    """The fields of a variant with the structure of each; null if it is no object."""
+    return F.transform_values(F.try_variant_get(record, "$", "map<string, variant>"), lambda _, v: structure_of(v))
+
+
+def near_layout(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """The first layout whose fields a record has, among others, in the shape that is read, if none of the others holds turns."""
+
+    def turns_left_out(fields: Column, named) -> Column:
+        return F.exists(F.array(*map(F.lit, TURN_FIELDS)), lambda t: (F.coalesce(F.try_element_at(fields, t), F.lit("VOID")) != "VOID") & ~named(t))
+
+    def fitting(below: str, fields: Column) -> Column:
+        known = F.array(*[F.struct(F.lit(x.name).alias("name"), F.array(*[F.struct(F.lit(f).alias("field"), F.lit(p).alias("shape")) for f, p in x.shapes()]).alias("fields")) for x in layouts if x.below == below and not x.parts])
+        has = lambda x: F.forall(x["fields"], lambda f: F.coalesce(F.rlike(F.try_element_at(fields, f["field"]), f["shape"]), F.lit(False)))
+        return F.get(F.filter(known, lambda x: has(x) & ~turns_left_out(fields, lambda t: F.exists(x["fields"], lambda f: f["field"] == t))), F.lit(0))["name"]
+
+    def of(top: Column) -> Column:
+        out = fitting("", top)
+        for w in [w for w in WRAPPERS if w and any(x.below == w for x in layouts)]:
+            inside = let(fields_of(F.try_variant_get(record, f"$.{w}", "variant")), partial(fitting, w))
+            out = F.coalesce(out, F.when(F.map_contains_key(top, F.lit(w)) & ~turns_left_out(top, lambda _: F.lit(False)), inside))
+        return out
+
+    return let(fields_of(record), of)
+
+
 def layout_of(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
     """The name of the layout with the record's fingerprint, else of the first that fits."""
     exact = F.create_map(*[F.lit(v) for x in layouts for v in (hash_of(x.structure()), x.name)])
-    near = F.lit(None).cast("string")
-    for x in reversed([x for x in layouts if not x.parts]):
-        near = F.when(x.fits(record), x.name).otherwise(near)
-    return F.coalesce(F.try_element_at(exact, F.md5(structure_of(record))), near)
+    return F.coalesce(F.try_element_at(exact, F.md5(structure_of(record))), near_layout(record, layouts))
 
 
 def hash_of(structure: str) -> str:
