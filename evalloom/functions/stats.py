@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.operators.ranks import placed
+from evalloom.operators.ranks import met, placed
 
 
 #: Replicates that are drawn at once.
@@ -47,10 +47,21 @@ def stream_of(seed: int, values: list) -> np.random.Generator:
     return np.random.default_rng([seed, *(int(v) if str(v).isdigit() else zlib.crc32(str(v).encode()) for v in values)])
 
 
-def bootstrap_counts(df: DataFrame, keys: list[str], reps: int = 10_000, seed: int = 249, order_statistics: bool = False) -> DataFrame:
+#: Different values that one task draws from; cells with more are spread over several.
+VALUES = 20_000
+
+
+def interval_of(means: np.ndarray, order_statistics: bool) -> tuple[float, float]:
+    means = np.sort(means)
+    lo, hi = (means[int(0.025 * len(means))], means[int(0.975 * len(means))]) if order_statistics else np.percentile(means, [2.5, 97.5])
+    return float(lo), float(hi)
+
+
+def bootstrap_counts(df: DataFrame, keys: list[str], reps: int = 10_000, seed: int = 249, order_statistics: bool = False, most: int = VALUES) -> DataFrame:
     """Intervals of the mean paired difference, in points. df: keys, diff, n (how many pairs differ by diff). Resampling pairs
-    is a multinomial draw over the different values, of which scores have few: O(values x reps) a cell whatever its size. All differences
-    zero give (0, 0) and draw nothing. order_statistics: the bounds are sorted replicates, not interpolated ones."""
+    is a multinomial draw over the different values: O(values x reps) a cell whatever its size. All differences zero give (0, 0) and draw
+    nothing. order_statistics: the bounds are sorted replicates, not interpolated ones. A cell with more than `most` values is spread over tasks
+    (spread_replicates), others are drawn in one; cells that share a key of nulls count as one."""
 
     def interval(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("diff")
@@ -59,12 +70,54 @@ def bootstrap_counts(df: DataFrame, keys: list[str], reps: int = 10_000, seed: i
         if np.abs(d).max() > 1e-8:
             rng = stream_of(seed, [pdf.iloc[0][k] for k in keys])
             draws = [rng.multinomial(int(n.sum()), n / n.sum(), size=min(CHUNK, reps - s)) @ d for s in range(0, reps, CHUNK)]
-            means = 100 * np.sort(np.concatenate(draws)) / n.sum()
-            lo, hi = (means[int(0.025 * reps)], means[int(0.975 * reps)]) if order_statistics else np.percentile(means, [2.5, 97.5])
-        return pdf.iloc[:1].assign(ci_lo=float(lo), ci_hi=float(hi))[[*keys, "ci_lo", "ci_hi"]]
+            lo, hi = interval_of(100 * np.concatenate(draws) / n.sum(), order_statistics)
+        return pdf.iloc[:1].assign(ci_lo=lo, ci_hi=hi)[[*keys, "ci_lo", "ci_hi"]]
+
+    kinds = dict(df.dtypes)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_values")).where(F.col("_values") > most)
+    result = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "ci_lo double", "ci_hi double"])
+    if not sizes.limit(1).count():
+        return df.groupBy(*keys).applyInPandas(interval, result)
+    means = spread_replicates(met(df, sizes, keys), keys, reps, seed, most)
+
+    def from_means(pdf: pd.DataFrame) -> pd.DataFrame:  # reps rows of a cell
+        lo, hi = interval_of(pdf["mean"].to_numpy(float), order_statistics)
+        return pdf.iloc[:1].assign(ci_lo=lo, ci_hi=hi)[[*keys, "ci_lo", "ci_hi"]]
+
+    small = met(df, df.groupBy(*keys).agg(F.count("*").alias("_values")).where(F.col("_values") <= most), keys).drop("_values")
+    return small.groupBy(*keys).applyInPandas(interval, result).union(means.groupBy(*keys).applyInPandas(from_means, result))
+
 
+def spread_replicates(df: DataFrame, keys: list[str], reps: int, seed: int, most: int) -> DataFrame:
+    """(keys, rep, mean) of cells with many values. df: keys, diff, n, _values. Values are dealt to buckets by hash. A cell's draws are first dealt
+    to its buckets, by one multinomial over their sums, then to the values of each bucket where that stands; a replicate's bucket totals
+    add up to all its draws, as for a draw over all values at once. Each cell and bucket has a stream of its own, whatever task draws it."""
     kinds = dict(df.dtypes)
-    return df.groupBy(*keys).applyInPandas(interval, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "ci_lo double", "ci_hi double"]))
+    named = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    bucket = F.pmod(F.xxhash64("diff"), F.ceil(F.col("_values") / most)).cast("int")
+    dealt = df.withColumn("bucket", bucket)
+    totals = dealt.groupBy(*keys, "bucket").agg(F.sum("n").alias("total"))
+
+    def draws(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bucket")
+        n = pdf["total"].to_numpy(float)
+        rng = stream_of(seed, [pdf.iloc[0][k] for k in keys])
+        share = np.concatenate([rng.multinomial(int(n.sum()), n / n.sum(), size=min(CHUNK, reps - s)) for s in range(0, reps, CHUNK)])
+        return pdf.assign(all=int(n.sum()), draws=list(share.T))[[*keys, "bucket", "all", "draws"]]
+
+    share = totals.groupBy(*keys).applyInPandas(draws, f"{named}, bucket int, all long, draws array<long>")  # a row for each bucket
+
+    def sums(_key: tuple, values: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        values = values.sort_values("diff")
+        d, p = values["diff"].to_numpy(float), values["n"].to_numpy(float)
+        rng = stream_of(seed + 1, [*(own.iloc[0][k] for k in keys), own.iloc[0]["bucket"]])
+        p /= p.sum()
+        found = [float(rng.multinomial(k, p) @ d) for k in own.iloc[0]["draws"]]
+        return own[keys].assign(all=own["all"], sums=[found])
+
+    both = dealt.select(*keys, "bucket", "diff", "n").groupBy(*keys, "bucket").cogroup(share.groupBy(*keys, "bucket"))
+    parts = both.applyInPandas(sums, f"{named}, all long, sums array<double>").select(*keys, "all", F.posexplode("sums").alias("rep", "s"))
+    return parts.groupBy(*keys, "rep").agg((100 * F.sum("s") / F.first("all")).alias("mean"))
 
 
 def bootstrap_pairs(pairs: DataFrame, keys: list[str], **how) -> DataFrame:

@@ -397,7 +397,8 @@ def frozen_sample(spark, d):
 
 # texts: replies are built from the ids, so that each parser rule is met
 
-REPLY = "CASE doc_id % 7 WHEN 0 THEN chr(65 + CAST(doc_id % 5 AS INT)) WHEN 1 THEN '(' || chr(97 + CAST(doc_id % 5 AS INT)) || ') is it' WHEN 2 THEN '**' || chr(65 + CAST(doc_id % 5 AS INT)) || '.** yes' WHEN 3 THEN 'The answer is (' || chr(65 + CAST(doc_id % 5 AS INT)) || ')' WHEN 4 THEN 'Apple pie' WHEN 5 THEN '<think>maybe A</think>' || chr(65 + CAST(doc_id % 5 AS INT)) ELSE '  ' || chr(98) || ' ' END"
+SEPARATOR = chr(0x2028)
+REPLY = "CASE doc_id % 10 WHEN 0 THEN chr(65 + CAST(doc_id % 5 AS INT)) WHEN 1 THEN '(' || chr(97 + CAST(doc_id % 5 AS INT)) || ') is it' WHEN 2 THEN '**' || chr(65 + CAST(doc_id % 5 AS INT)) || '.** yes' WHEN 3 THEN 'The answer is (' || chr(65 + CAST(doc_id % 5 AS INT)) || ')' WHEN 4 THEN 'Apple pie' WHEN 5 THEN '<think>maybe A</think>' || chr(65 + CAST(doc_id % 5 AS INT)) WHEN 6 THEN chr(65 + CAST(doc_id % 5 AS INT)) || chr(13) || 'because' WHEN 7 THEN chr(65 + CAST(doc_id % 5 AS INT)) || ' ' || chr(11) || 'so' WHEN 8 THEN 'B" + SEPARATOR + "or C' ELSE '  ' || chr(98) || ' ' END"
 
 
 def replies(spark: SparkSession, d: str) -> DataFrame:
@@ -405,7 +406,7 @@ def replies(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(rf"""WITH q AS (SELECT doc_id, {REPLY} AS reply FROM documents), t AS (SELECT *, trim(regexp_replace(regexp_replace(reply, '<think>.*?</think>', '', 'gs'), '[*`]', '', 'g')) AS t FROM q),
-c AS (SELECT *, [upper(regexp_extract(t, '^([A-Za-z])$', 1)), upper(regexp_extract(t, '^\(([A-Za-z])\)', 1)), regexp_extract(t, '^([A-Z])[.):](?:\s|$)', 1), regexp_extract(t, '\b(?i:answer)(?:\s+(?i:is))?\s*[:\-]?\s*\(?([A-Z])\)?(?:[^A-Za-z]|$)', 1)] AS c FROM t)
+c AS (SELECT *, [upper(regexp_extract(trim(regexp_extract(t, '^[^\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]*')), '^([A-Za-z])$', 1)), upper(regexp_extract(t, '^\(([A-Za-z])\)', 1)), regexp_extract(t, '^([A-Z])[.):](?:\s|$)', 1), regexp_extract(t, '\b(?i:answer)(?:\s+(?i:is))?\s*[:\-]?\s*\(?([A-Z])\)?(?:[^A-Za-z]|$)', 1)] AS c FROM t)
 SELECT doc_id, upper(left(trim(reply), 1)) AS v1, coalesce(list_filter(c, lambda x: x <> '' AND ascii(x) - 65 < 4)[1], '') AS v2 FROM c""")
 def parse_letters(spark, d):
     q = replies(spark, d)

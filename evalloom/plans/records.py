@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalloom.functions import text
-from evalloom.operators import latency, ordered, paired, ranks
+from evalloom.operators import latency, ordered, paired, preflight, ranks
 from evalloom.plans.catalog import RESTART_EVERY, register
 from evalloom.plans.workload import BASE, EVAL, NOISE, REQUESTS, eval_long, requests, table, valid
 
@@ -100,13 +100,29 @@ def idle_minima(spark, d):
     return m.groupBy("config").agg(F.count("*").alias("windows"), F.round(F.median("least"), 6).alias("idle"))
 
 
-@register("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'New York City' WHEN 1 THEN '10 o''clock' WHEN 2 THEN 'Answers vary' ELSE '' END AS short, CASE doc_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'C' WHEN 2 THEN 'B' ELSE 'D' END AS gt,
+@register("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'New York City' WHEN 1 THEN '10 o''clock' WHEN 2 THEN 'Answers vary' WHEN 3 THEN '' WHEN 4 THEN 'cat' ELSE 'two' END AS short, CASE doc_id % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'C' WHEN 2 THEN 'B' WHEN 3 THEN 'D' ELSE 'Z' END AS gt,
 'What?' || chr(10) || chr(10) || 'Answer with a single word or short phrase. Do not explain.' AS prompt FROM documents""")
 def short_answers(spark, d):
-    """Short replies and ground truths in each accepted spelling."""
-    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.col("doc_id") % 4 + 1).cast("int"))
-    reply = pick("  New   York City \nextra line", "<think>noon?</think>Answer: 10 o'clock", "\n\nAnswers vary", "<THINK>x\ny</THINK> \n ")
-    return table(spark, d, "documents").select("doc_id", text.parse_short(reply).alias("short"), text.gt_letter(pick("0", "2", "(b)", " (D) ")).alias("gt"), text.short_prompt(F.lit("What?")).alias("prompt"))
+    """Short replies and ground truths in each accepted spelling, and with each kind of line end."""
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.col("doc_id") % 6 + 1).cast("int"))
+    reply = pick("  New   York City \nextra line", "<think>noon?</think>Answer: 10 o'clock", "\n\nAnswers vary", "<THINK>x\ny</THINK> \n ", "cat\rdog", f"\x0b {chr(0x2028)}Answer: two{chr(0x85)}x")
+    return table(spark, d, "documents").select("doc_id", text.parse_short(reply).alias("short"), text.gt_letter(pick("0", "2", "(b)", " (D) ", "25", "z")).alias("gt"), text.short_prompt(F.lit("What?")).alias("prompt"))
+
+
+@register("""WITH r AS (SELECT doc_id AS rec_no, CAST(CASE WHEN doc_id % 97 = 5 THEN 5 ELSE doc_id END AS VARCHAR) AS idx, CASE WHEN doc_id % 50 = 0 THEN [] WHEN doc_id % 3 = 0 THEN [(doc_id % 400) || '.png', '/data/' || (doc_id % 31) || '.png'] ELSE [(doc_id % 400) || '.png'] END AS p FROM documents),
+f AS (SELECT '/data/' || page_id || '.png' AS file, CASE WHEN page_id % 11 = 3 THEN 0 ELSE length(html) END AS n FROM pages),
+w AS (SELECT rec_no, idx, CASE WHEN starts_with(u, '/') THEN u ELSE '/data/' || u END AS path FROM (SELECT rec_no, idx, unnest(p) AS u FROM r))
+SELECT 'error' AS severity, CASE WHEN n IS NULL THEN 'missing image' ELSE 'empty image' END AS problem, rec_no, idx, path FROM w LEFT JOIN f ON f.file = w.path WHERE coalesce(n, 0) = 0
+UNION ALL SELECT 'warning', 'repeated idx', rec_no, idx, NULL FROM r WHERE idx IN (SELECT idx FROM r GROUP BY idx HAVING count(*) > 1)
+UNION ALL SELECT 'error', 'no images', rec_no, idx, NULL FROM r WHERE len(p) = 0""")
+def image_problems(spark, d):
+    """Records against a listing of files: images that are missing or empty, records without any, repeated ids."""
+    n, png = F.col("doc_id"), lambda x, m: F.concat((x % m).cast("string"), F.lit(".png"))
+    paths = F.when(n % 50 == 0, F.array().cast("array<string>")).when(n % 3 == 0, F.array(png(n, 400), F.concat(F.lit("/data/"), png(n, 31)))).otherwise(F.array(png(n, 400)))
+    r = table(spark, d, "documents").select(n.alias("rec_no"), F.when(n % 97 == 5, 5).otherwise(n).cast("string").alias("idx"), paths.alias("image_paths"))
+    size = F.when(F.col("page_id") % 11 == 3, 0).otherwise(F.length("html"))
+    files = table(spark, d, "pages").select(F.concat(F.lit("file:/data/"), F.col("page_id").cast("string"), F.lit(".png")).alias("file"), size.alias("length"))
+    return preflight.image_problems(r, files, "/data", strict=False, need_images=True)
 
 
 @register(f"""WITH {EVAL}, old AS (SELECT config, idx, predicted FROM e WHERE config = 2), new AS (SELECT config, idx, predicted, error FROM e WHERE config = 9)

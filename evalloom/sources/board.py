@@ -6,21 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evalloom.operators import ordered
+from evalloom.sources.ranges import SPLIT, placed_lines
+
 # Fixed formats: a telemetry line, a row of the telemetry section of a text summary, that section's title.
 STAMP, RAM, SWAP = r"^(\d\d-\d\d-\d{4} \d\d:\d\d:\d\d)", r"RAM (\d+)/\d+MB", r"SWAP (\d+)/\d+MB"
 PEAKS, SECTION = r"^\s*(\S+)\s+timed\s+(\d+)\s+(\d+)\s+(\d+)", "== tegrastats"
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, line), at by position. A file is split inside one row, so single files must fit one; folders may be large."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
-
-
-def board_samples(spark: SparkSession, path: str, zone: str = "UTC") -> DataFrame:
+def board_samples(spark: SparkSession, path: str, zone: str = "UTC", split: int = SPLIT) -> DataFrame:
     """(file, t, ram_mb, swap_mb): samples of one second are spread evenly over it; other lines are skipped."""
     stamp = F.regexp_extract("line", STAMP, 1)
-    lines = numbered_lines(spark, path).where((stamp != "") & F.col("line").rlike(RAM))
+    lines = placed_lines(spark, path, split).where((stamp != "") & F.col("line").rlike(RAM))
     local = F.to_timestamp_ntz(stamp, F.lit("MM-dd-yyyy HH:mm:ss"))
     second = F.unix_micros(F.convert_timezone(F.lit(zone), F.lit("UTC"), local).cast("string").cast("timestamp"))
     swap = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("line", SWAP, 1), F.lit("")), F.lit("999999999")).cast("int"), F.lit(0))
@@ -29,10 +26,10 @@ def board_samples(spark: SparkSession, path: str, zone: str = "UTC") -> DataFram
     return s.select("file", (F.col("second") + (F.row_number().over(w.orderBy("at")) - 1) / F.count("*").over(w)).alias("t"), "ram_mb", "swap_mb")
 
 
-def strict_peaks(spark: SparkSession, path: str) -> DataFrame:
-    """(file, config, ram_peak) from the telemetry section of text summaries."""
-    w = W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    lines = numbered_lines(spark, path).withColumn("title", F.last(F.when(F.col("line").startswith("=="), F.col("line")), ignorenulls=True).over(w))
+def strict_peaks(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """(file, config, ram_peak) from the telemetry section of text summaries. A section's title is carried on over its lines."""
+    title = ordered.latest(F.when(F.col("line").startswith("=="), F.col("line")))
+    lines = ordered.folded(placed_lines(spark, path, split), ["file"], ["at"], {"title": title})
     part = lambda i: F.regexp_extract("line", PEAKS, i)
     return lines.where(F.col("title").startswith(SECTION) & F.col("line").rlike(PEAKS)).select("file", part(1).alias("config"), part(3).cast("long").alias("ram_peak"))
 

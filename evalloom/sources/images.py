@@ -8,12 +8,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from evalloom.functions.text import mime_of
+from evalloom.sources import ranges
 
 #: First bytes of the formats, and the JPEG markers whose segment tells the size (C4, C8 and CC mean other things).
 PNG, JPEG, GIF = b"\x89PNG\r\n\x1a\n", b"\xff\xd8", b"GIF8"
+#: Bytes of a JPEG that are searched for its size at most.
+MOST_HEADER = 16 << 20
 SIZE_MARKERS = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
 
 
@@ -37,15 +39,24 @@ def size_of(data: bytes | None) -> tuple[int | None, int | None]:
     return None, None
 
 
-@F.pandas_udf(StructType([StructField("width", IntegerType()), StructField("height", IntegerType())]))
-def image_size(content: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in content:
-        sizes = pd.DataFrame([size_of(x) for x in batch], columns=["width", "height"], index=batch.index)
-        yield sizes.astype("Int32")
+def header_of(path: str) -> tuple[str, int | None, int | None]:
+    """(first bytes as hex, width, height): reads on only where a JPEG's size stands further behind."""
+    size = ranges.HEADER
+    while True:
+        data = ranges.read_head(path, size)
+        found = size_of(data)
+        if found[0] is not None or len(data) < size or not data.startswith(JPEG) or size >= MOST_HEADER:
+            return data[:16].hex().upper(), *found
+        size *= 16
 
 
 def image_headers(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(file, mime, width, height, length) of the images below path, each once."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    sized = files.select("path", "length", F.hex(F.substring("content", 1, 16)).alias("_head"), image_size("content").alias("_size"))
-    return sized.select(F.col("path").alias("file"), mime_of(F.col("_head")).alias("mime"), "_size.width", "_size.height", "length")
+    """(file, mime, width, height, length) of the images below path, each once; of a file the first KB is read, of some JPEGs more."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = pd.DataFrame([header_of(x) for x in batch["file"]], columns=["head", "width", "height"], index=batch.index)
+            yield batch.join(found.astype({"head": "string", "width": "Int32", "height": "Int32"}))
+
+    sized = ranges.spread(ranges.listing(spark, path, glob).select("file", "length")).mapInPandas(read, "file string, length long, head string, width int, height int")
+    return sized.select("file", mime_of(F.col("head")).alias("mime"), "width", "height", "length")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evalloom.functions.scoring import record_key, record_score
 from evalloom.operators.paired import keep_last, no_placeholders
+from evalloom.sources.ranges import SPLIT, file_hashes, placed_lines
 
 RESULT = """idx string, rec_no long, dataset string, config string, format string, task string, question string, choices array<string>, context string,
 answers array<string>, predicted string, prediction_raw string, prediction_normalized string, parser string, score double, correct boolean, gt_answer string, tok_s double,
@@ -34,33 +36,36 @@ def read_tolerant(spark: SparkSession, path: str, schema: str = RESULT) -> DataF
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def read_resumable(spark: SparkSession, path: str, schema: str = RESULT) -> DataFrame:
-    """One log whose last line may be torn: that line is dropped, a bad line before it raises. Lines keep their order by
-    position in the whole file, so the file must fit one row."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line")).where(F.trim("line") != "")
-    last = lines.agg(F.max("at").alias("end"))
-    parsed = lines.crossJoin(F.broadcast(last)).withColumn("row", F.from_json("line", schema + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
-    bad = F.col("row._corrupt").isNotNull()
-    ok = F.when(bad & (F.col("at") < F.col("end")), F.raise_error(F.concat(F.lit("bad line "), F.col("at")))).otherwise(~bad)
-    checked = parsed.withColumn("ok", ok.cast("boolean"))  # one expression: a filter of its own could run before the other
+def parsed_lines(spark: SparkSession, path: str, schema: str, split: int) -> DataFrame:
+    """(file, at, ended, row, bad) of the lines that aren't blank."""
+    lines = placed_lines(spark, path, split).where(F.trim("line") != "")
+    parsed = lines.withColumn("row", F.from_json("line", schema + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    return parsed.select("file", "at", "ended", "row", F.col("row._corrupt").isNotNull().alias("bad"))
+
+
+def read_resumable(spark: SparkSession, path: str, schema: str = RESULT, split: int = SPLIT) -> DataFrame:
+    """Logs whose last line may be torn: that line is dropped, a bad line before it raises. Files of any size: lines are told apart by
+    the bytes that they begin at."""
+    parsed = parsed_lines(spark, path, schema, split)
+    last = parsed.groupBy("file").agg(F.max("at").alias("end"))  # one row a file
+    ok = F.when(F.col("bad") & (F.col("at") < F.col("end")), F.raise_error(F.concat(F.lit("bad line at byte "), F.col("at"), F.lit(" of "), F.col("file")))).otherwise(~F.col("bad"))
+    checked = parsed.join(last, "file").withColumn("ok", ok.cast("boolean"))  # one expression: a filter of its own could run before the other
     return checked.where("ok").select("row.*").drop("_corrupt")
 
 
-def resume_state(spark: SparkSession, path: str, schema: str = RESULT, retry_errors: bool = False) -> tuple[DataFrame, DataFrame, bool]:
+def resume_state(spark: SparkSession, path: str, schema: str = RESULT, retry_errors: bool = False, split: int = SPLIT) -> tuple[DataFrame, DataFrame, bool]:
     """(rows to keep, rows to do again, whether the file must be rewritten first). Never-tried rows are done again, other errors
     only with retry_errors; a row without a key, or one whose key is there twice, raises."""
-    rows = read_resumable(spark, path, schema)
+    rows = read_resumable(spark, path, schema, split)
     odd = rows.groupBy("rec_no").count().where("rec_no is null or count > 1").limit(1).collect()
     if odd:
         raise ValueError(f"{path}: a record without or with a repeated rec_no: {odd[0].rec_no}")
     again = F.coalesce("error", F.lit("")) != ""
     if not retry_errors:
         again &= F.coalesce(F.col("error_type") == "ServerUnavailable", F.lit(False))
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.size(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("n"), (F.col("value").endswith("\n") | (F.col("value") == "")).alias("ended")).first()
+    torn = parsed_lines(spark, path, schema, split).where(F.col("bad") | ~F.col("ended"))  # a bad line is the last one, or rows has raised
     dropped = rows.where(again)
-    torn = lines is not None and (not lines.ended or lines.n != rows.count())
-    return rows.where(~again), dropped, torn or dropped.limit(1).count() > 0
+    return rows.where(~again), dropped, torn.limit(1).count() > 0 or dropped.limit(1).count() > 0
 
 
 def todo(records: DataFrame, kept: DataFrame) -> DataFrame:
@@ -109,10 +114,16 @@ def only_file(spark: SparkSession, path: str, glob: str) -> str:
     return found[0]
 
 
-def keyed(spark: SparkSession, path: str, key: str = "rec_no", schema: str = RESULT) -> DataFrame:
-    """One log's rows without an error, the last one of a key. Filters and columns of what uses it reach the scan."""
-    rows = spark.read.schema(schema).json(path).where(F.coalesce("error", F.lit("")) == "").withColumn("_at", F.col("_metadata.file_block_start"))
-    return keep_last(rows.withColumn("_at", F.struct("_at", F.monotonically_increasing_id())), [key], "_at").drop("_at")
+def keyed(spark: SparkSession, path: str, key: str = "rec_no", schema: str = RESULT, columns: Sequence[str] | None = None, where: Column | None = None) -> DataFrame:
+    """One log's rows without an error, the last one of a key. columns: those that are read, beside the key; where: a condition on them. Both
+    reach the scan here, as the last row is found behind them: where is asked of all rows, not only of last ones."""
+    fields = spark.createDataFrame([], schema).schema
+    wanted = fields if columns is None else StructType([f for f in fields if f.name in {key, "error", *columns}])
+    ok = F.col("error").isNull() | (F.col("error") == "")
+    rows = spark.read.schema(wanted).json(path).where(ok if where is None else ok & where)
+    rows = rows.withColumn("_at", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
+    out = keep_last(rows, [key], "_at").drop("_at")
+    return out if columns is None else out.select(key, *[c for c in columns if c != key])
 
 
 def tasks(spark: SparkSession, path: str, schema: str = RESULT) -> DataFrame:
@@ -147,27 +158,9 @@ def numbered(df: DataFrame, order: str, name: str = "idx", parts: int = 200) ->
     return cut.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + place).drop("_part", "_before")
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sha256) of files of any size: executors hash those that fit one row, larger ones (Spark's reader takes 2 GB at
-    most) are streamed one after another."""
-    files = spark.read.format("binaryFile").load(path)
-    small = files.where(F.col("length") < LARGE).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"))
-    large = [r.path for r in files.where(F.col("length") >= LARGE).select("path").collect()]  # names of files over 1 GB
-    return small.unionByName(spark.createDataFrame([(x, hash_of(spark, x)) for x in large], "file string, sha256 string")) if large else small
-
-
-LARGE = 1 << 30
-
-
 def hash_of(spark: SparkSession, path: str) -> str:
-    """A single file's SHA-256, streamed through the driver's JVM."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
-    try:
-        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
-    finally:
-        stream.close()
+    """A single file's SHA-256, streamed by a task."""
+    return file_hashes(spark, path).first().sha256
 
 
 def write_csv(df: DataFrame, path: str, decimals: int = 4) -> None:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,24 +71,85 @@ def write_run(df: DataFrame, path: str, mode: str = "refuse", key: str = "rec_no
         df.withColumn(key, F.coalesce(key, keyless)).join(done, key, "left_anti").select(*df.columns).write.mode("append").json(path)
 
 
+def publish(spark: SparkSession, path: str, write: Callable[[str], object]) -> str:
+    """What write(folder) puts into a new folder below path becomes the current version by one file, created exclusively, that names it. A writer that
+    is killed before leaves the version before, one that is killed after the new one; of two writers the later one counts. Gives the new folder."""
+    name = uuid.uuid4().hex
+    write(f"{path}/versions/{name}")
+    at = max([n for n, _ in _pointers(spark, path)], default=-1)
+    while True:
+        at += 1
+        fs, target = _fs(spark, f"{path}/current/{at:012d}")
+        try:
+            out = fs.create(target, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in str(e.java_exception):
+                raise
+            continue  # another writer was faster
+        out.writeBytes(name)
+        out.close()
+        return f"{path}/versions/{name}"
+
+
+def _pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, version) of all pointers; one whose writer was killed has an empty version."""
+    fs, target = _fs(spark, f"{path}/current")
+    if not fs.exists(target):
+        return []
+    found = []
+    for x in fs.listStatus(target):
+        stream = fs.open(x.getPath())
+        try:
+            found.append((int(x.getPath().getName()), spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        finally:
+            stream.close()
+    return sorted(found)
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder of the current version."""
+    whole = [name for _, name in _pointers(spark, path) if len(name) == 32]
+    if not whole:
+        raise FileNotFoundError(f"{path}: nothing was published")
+    return f"{path}/versions/{whole[-1]}"
+
+
+def prune(spark: SparkSession, path: str) -> None:
+    """Deletes the versions that aren't current, also those that a killed writer left; readers of an older one must be done."""
+    keep = current(spark, path).rpartition("/")[2]
+    fs, target = _fs(spark, f"{path}/versions")
+    for x in fs.listStatus(target):
+        if x.getPath().getName() != keep:
+            fs.delete(x.getPath(), True)
+
+
 def write_provenance(spark: SparkSession, path: str, settings: dict, hashes: DataFrame) -> None:
-    """One JSON document: the settings and the input files with their hashes, by name."""
+    """One JSON document as a version: the settings and the input files with their hashes, by name."""
     inputs = hashes.agg(F.array_sort(F.collect_list(F.struct("file", "sha256"))).alias("inputs"))
-    inputs.select(F.lit(json.dumps(settings, sort_keys=True)).alias("settings"), "inputs").coalesce(1).write.mode("overwrite").json(path)
+    document = inputs.select(F.lit(json.dumps(settings, sort_keys=True)).alias("settings"), "inputs").coalesce(1)
+    publish(spark, path, document.write.json)
 
 
 def write_summary(spark: SparkSession, path: str, run: dict, figures: DataFrame) -> None:
-    """One JSON document of a run: its settings, and each dataset's figures under its name."""
+    """One JSON document of a run as a version: its settings, and each dataset's figures under its name."""
     cols = [c for c in figures.columns if c != "dataset"]
     by_name = figures.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dataset", F.struct(*cols))))).alias("datasets"))  # one row a dataset
-    by_name.select(*[F.lit(v).alias(k) for k, v in run.items()], "datasets").coalesce(1).write.mode("overwrite").json(path)
+    publish(spark, path, by_name.select(*[F.lit(v).alias(k) for k, v in run.items()], "datasets").coalesce(1).write.json)
+
+
+def write_dataset(df: DataFrame, path: str, manifest: dict, first: int | None = None, order: str = "rec_no") -> None:
+    """A frozen dataset as a version: data, and a manifest with the number of records. An earlier one raises. first: only so many records, by
+    order; the manifest tells that it is a prefix."""
+    spark = df.sparkSession
+    if any(len(name) == 32 for _, name in _pointers(spark, path)):
+        raise FileExistsError(f"{path} exists already")
 
+    def write(folder: str) -> None:
+        (df if first is None else df.orderBy(order).limit(first)).write.json(f"{folder}/data")
+        about = manifest | {"records": spark.read.text(f"{folder}/data").count()} | ({} if first is None else {"prefix_of": df.count()})
+        spark.range(1).select(F.lit(json.dumps(about, sort_keys=True)).alias("value")).coalesce(1).write.text(f"{folder}/manifest")
 
-def write_dataset(df: DataFrame, path: str, manifest: dict) -> None:
-    """A frozen folder: data, and a manifest with the number of records. An earlier folder raises."""
-    df.write.json(f"{path}/data")
-    n = df.sparkSession.read.text(f"{path}/data").count()
-    df.sparkSession.range(1).select(F.lit(json.dumps(manifest | {"records": n}, sort_keys=True)).alias("value")).coalesce(1).write.text(f"{path}/manifest")
+    publish(spark, path, write)
 
 
 def log_stream(rows: DataFrame, path: str, checkpoint: str):

@@ -51,7 +51,7 @@ def test_sinks(spark, tmp_path):
     sinks.write_run(df, path, "overwrite")
     assert read() == [(1, "a"), (2, "b")] and len(list(tmp_path.glob("out.bak-*"))) == 1
     sinks.write_provenance(spark, str(tmp_path / "prov"), {"seed": 1}, results.file_hashes(spark, path + "/part-*"))
-    assert spark.read.json(str(tmp_path / "prov")).first().settings == '{"seed": 1}'
+    assert spark.read.json(sinks.current(spark, str(tmp_path / "prov"))).first().settings == '{"seed": 1}'
 
 
 def test_similarity(spark):
@@ -146,10 +146,10 @@ def test_recovery_and_other_sinks(spark, tmp_path):
     assert spark.read.schema(df.schema).json(str(tmp_path / "smoke/out")).collect() == [(1, "a")]
     figures = spark.createDataFrame([("b", 1, 0.5), ("a", 2, None)], "dataset string, n int, s double")
     sinks.write_summary(spark, str(tmp_path / "sum"), {"config": 2}, figures)
-    doc = spark.read.json(str(tmp_path / "sum")).first()
+    doc = spark.read.json(sinks.current(spark, str(tmp_path / "sum"))).first()
     assert doc.config == 2 and doc.datasets.b.s == 0.5 and doc.datasets.a.n == 2
     sinks.write_dataset(df, str(tmp_path / "set"), {"seed": 249})
-    assert spark.read.json(str(tmp_path / "set/manifest")).first().asDict() == {"records": 1, "seed": 249}
+    assert spark.read.json(sinks.current(spark, str(tmp_path / "set")) + "/manifest").first().asDict() == {"records": 1, "seed": 249}
     with pytest.raises(Exception, match="(?i)exists"):
         sinks.write_dataset(df, str(tmp_path / "set"), {})
 
@@ -158,10 +158,10 @@ def test_streams(spark, tmp_path):
     from evalloom.streaming import logs
 
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.jsonl").write_text('{"rec_no": 1, "t": 100.0}\n{"rec_no": 2, "error": "x", "t": 101}\n{"rec_no": 1, "t": 102}\n')
+    (tmp_path / "in/a.jsonl").write_text('{"rec_no": 1, "t": 100.0, "dataset": "d", "config": "2"}\n{"rec_no": 2, "error": "x", "t": 101, "dataset": "d", "config": "2"}\n{"rec_no": 1, "t": 102, "dataset": "d", "config": "2"}\n')
     run = lambda: sinks.log_stream(logs.resumed(spark, str(tmp_path / "in"), results.RESULT, retry_errors=True), str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
     run()
-    (tmp_path / "in/b.jsonl").write_text('{"rec_no": 1, "t": 103}\n{"rec_no": 2, "t": 104}\n')
+    (tmp_path / "in/b.jsonl").write_text('{"rec_no": 1, "t": 103, "dataset": "d", "config": "2"}\n{"rec_no": 2, "t": 104, "dataset": "d", "config": "2"}\n')
     run()
     assert sorted(r.rec_no for r in spark.read.json(str(tmp_path / "out")).collect()) == [1, 2]
     logs.may_resume({"a": 1, "b": None}, {"a": 1})
