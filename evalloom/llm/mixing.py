@@ -1,15 +1,16 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
-Every row has a 40-bit hash of its doc_id. A source whose target is T words out of S is taken floor(T / S) times
+Every row has a 40-bit hash of its doc_id and text; rows that agree in both are numbered, and the number is hashed too, so
+that the copies of a row are taken one by one like any other rows. A source whose target is T words out of S is taken floor(T / S) times
 as a whole, and once more for the rows whose hash lies below a threshold. The threshold is found without sorting rows:
 words are summed by source and hash bucket (10 bits), the bucket in which the running sum crosses the budget is
 found, and only the rows of that bucket are summed again by the next 10 bits, until the bucket is a single hash.
 
-Defined cases: null texts count 0 words; a null source is a source of its own, after all others; rows that share a
-doc_id (or a null one) share a hash and are taken or left together; an empty table gives an empty result; a source of
+Defined cases: null texts count 0 words, and hash as empty ones; a null source is a source of its own, after all others; rows that share a
+doc_id (or a null one) are taken or left by their texts, rows that share both by their numbers; an empty table gives an empty result; a source of
 size 0 has target 0 and its rows are taken once; other rows without words are taken as their hash says, at most `max_repeats`
 times. At the boundary the hash is taken if that brings the source nearer to its target. Texts are counted whole, whatever their
-length; columns of docs that are called like those of the plan (size, key) are not touched.
+length; columns of docs may have any other names, none is touched.
 """
 
 from __future__ import annotations
@@ -24,9 +25,36 @@ RATIO, WEIGHTS, MAX_REPEATS = 1.5, (5, 2, 1), 2
 BITS, LEVELS = 10, 4
 
 
-def hash_key(doc_id: Column) -> Column:
-    """40 bits of the MD5 of the id's decimal form, so that any SQL engine can recompute it."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 10), 16, 10).cast("long")
+def bits_of(text: Column) -> Column:
+    """40 bits of a text's MD5, so that any SQL engine can recompute it."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 10), 16, 10).cast("long")
+
+
+def hash_key(doc_id: Column, text: Column) -> Column:
+    return bits_of(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))))
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """(r_source, r_key) that several rows (source, key) share, written to the shared folder."""
+    several = rows.groupBy("source", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return materialize(several.select(F.col("source").alias("r_source"), F.col("key").alias("r_key")), "mix-repeated")
+
+
+def shares(rows: DataFrame, several: DataFrame) -> Column:
+    return rows["source"].eqNullSafe(several["r_source"]) & (rows["key"] == several["r_key"])
+
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """rows (source, key, part, ...) that share a key: the number of a row among its equals goes into its key. They are numbered inside each part that
+    they were written by, and moved on by the parts' counts, so no task holds all equals."""
+    by = W.partitionBy("source", "key")
+    counts = rows.groupBy("source", "key", "part").agg(F.count("*").alias("n"))
+    before = counts.select(F.col("source").alias("b_source"), F.col("key").alias("b_key"), F.col("part").alias("b_part"), (F.sum("n").over(by.orderBy("part")) - F.col("n")).alias("before"))
+    own = rows.withColumn("number", F.row_number().over(W.partitionBy("source", "key", "part").orderBy("part")) - 1)
+    met = own.join(before, own["source"].eqNullSafe(before["b_source"]) & (own["key"] == before["b_key"]) & (own["part"] == before["b_part"]))
+    number = F.col("before") + F.col("number")
+    key = F.when(number == 0, F.col("key")).otherwise(bits_of(F.concat_ws(":", F.col("key").cast("string"), number.cast("string"))))
+    return met.withColumn("key", key).select(*rows.columns)
 
 
 def targets(sizes: DataFrame, ratio: float = RATIO, weights: tuple[int, ...] = WEIGHTS, max_repeats: float = MAX_REPEATS) -> DataFrame:
@@ -81,29 +109,47 @@ def thresholds(sized: DataFrame, **plan) -> tuple[DataFrame, int]:
     return out, n
 
 
-def apply_mix(docs: DataFrame, cut: DataFrame, n: int, size: str, key: str) -> DataFrame:
-    """docs with _mix_copies (how often the row is taken), _mix_source_size and _mix_target."""
-    c = cut.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"), F.col("copies").alias("_mix_base"), F.col("below").alias("_mix_below"))
-    joined = docs.join(small_side(c, n), docs["source"].eqNullSafe(c["_mix_source"]))
-    return joined.withColumn("_mix_copies", F.col("_mix_base") + (F.col(key) < F.col("_mix_below")).cast("long")).drop("_mix_source", "_mix_base", "_mix_below")
+def apply_mix(rows: DataFrame, cut: DataFrame, n: int) -> DataFrame:
+    """rows (source, key, ...) with copies (how often the row is taken), source_size and target."""
+    c = cut.select(F.col("source").alias("c_source"), "source_size", "target", F.col("copies").alias("base"), "below")
+    joined = rows.join(small_side(c, n), rows["source"].eqNullSafe(c["c_source"]))
+    return joined.withColumn("copies", F.col("base") + (F.col("key") < F.col("below")).cast("long")).drop("c_source", "base", "below")
+
+
+def sized_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows (source, size, key, ...) written to the shared folder, with all keys told apart; the keys that had to be, None without any)."""
+    sized = materialize(rows.withColumn("part", F.spark_partition_id()), "mix-sized")
+    several = repeated(sized)
+    n = several.count()
+    if not n:
+        return sized, None
+    met = small_side(several, n)
+    apart = told_apart(sized.join(met, shares(sized, several), "left_semi"))
+    return materialize(sized.join(met, shares(sized, several), "left_anti").unionByName(apart), "mix-apart"), several
 
 
 def mix(docs: DataFrame, **plan) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row of docs (doc_id, source, text)."""
-    sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), hash_key(F.col("doc_id")).alias("key")), "mix-sized")
+    sized, _ = sized_rows(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), hash_key(F.col("doc_id"), F.col("text")).alias("key")))
     cut, n = thresholds(sized, **plan)
-    return apply_mix(sized, cut, n, "size", "key").select(
-        "doc_id", "source", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_mix_copies") * F.col("size")).alias("taken")
-    )
+    return apply_mix(sized, cut, n).select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **plan) -> DataFrame:
-    """The rows of docs, all their columns, each as often as the mix takes it."""
-    marked = docs.withColumn("_mix_size", n_words(F.col("text"))).withColumn("_mix_key", hash_key(F.col("doc_id")))
-    sized = materialize(marked.select("source", F.col("_mix_size").alias("size"), F.col("_mix_key").alias("key")), "mix-sized")
+    """The rows of docs, all their columns, each as often as the mix takes it. Rows that share id and text are written down to be numbered;
+    all others stay where they are read."""
+    names = docs.columns
+    held = docs.toDF(*[f"in{i}" for i in range(len(names))])
+    doc_id, source, text = (F.col(f"in{names.index(c)}") for c in ("doc_id", "source", "text"))
+    marked = held.withColumns({"source": source, "key": hash_key(doc_id, text)})
+    sized, several = sized_rows(marked.select("source", n_words(text).alias("size"), "key"))
     cut, n = thresholds(sized, **plan)
-    out = apply_mix(docs.withColumn("_mix_key", hash_key(F.col("doc_id"))), cut, n, "_mix_size", "_mix_key").where("_mix_copies > 0")
-    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*docs.columns)
+    if several is not None:
+        met = small_side(several, several.count())
+        equal = materialize(marked.join(met, shares(marked, several), "left_semi").withColumn("part", F.spark_partition_id()), "mix-equal")
+        marked = marked.join(met, shares(marked, several), "left_anti").unionByName(told_apart(equal).drop("part"))
+    out = apply_mix(marked, cut, n).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return out.select(*held.columns).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,10 +157,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH sized AS (
+WITH hashed AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 10) AS BIGINT) AS key
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 10) AS BIGINT) AS plain
   FROM documents),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source, plain) - 1 AS copy FROM hashed),
+sized AS (SELECT doc_id, source, size, CASE copy WHEN 0 THEN plain ELSE CAST('0x' || substr(md5(plain || ':' || copy), 1, 10) AS BIGINT) END AS key FROM numbered),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight FROM per),
 capped AS (SELECT *, 2.0::DOUBLE * source_size AS cap, (2.0::DOUBLE * source_size) / weight AS cap_per_weight FROM weighed),

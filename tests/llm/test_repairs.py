@@ -4,7 +4,7 @@ import json
 
 import numpy as np
 import pytest
-from evalloom.llm import chat, gam, simhash
+from evalloom.llm import chat, gam, mixing, simhash
 
 
 def test_roles_with_a_line_end(spark):
@@ -70,3 +70,29 @@ def test_clashing_columns(spark, extra):
     docs = spark.createDataFrame([(1, text, 5), (2, text, 6), (3, "another text of its own words here", 7)], f"doc_id long, text string, {extra} long")
     got = simhash.keep_one(docs)
     assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == [(1, text, 5), (3, "another text of its own words here", 7)]
+
+
+def test_mix_of_rows_that_share_an_id(spark):
+    """Each source's taken words come near its target, also where most rows are equal, or share only an id or none."""
+    words = " ".join(["w"] * 12)
+    equal = [(7, words, "a")] * 300 + [(i, words, "a") for i in range(1000, 1100)]
+    null = [(None, f"{words} {i}", "b") for i in range(400)]
+    docs = spark.createDataFrame(equal + null + [(i, "x " * 10, "c") for i in range(2000, 2200)], "doc_id long, text string, source string").repartition(6)
+    rows = mixing.mix(docs).collect()
+    for source in "abc":
+        own = [r for r in rows if r.source == source]
+        longest = max(r.size for r in own)
+        assert abs(sum(r.taken for r in own) - own[0].target) <= longest
+    taken = lambda x: sorted((r.source, r.doc_id is None, r.doc_id or 0, r.size, r.taken) for r in x)
+    assert taken(rows) == taken(mixing.mix(docs.repartition(3)).collect())
+    out = mixing.mixed_documents(docs)
+    times = out.groupBy("source").count().collect()
+    words_of = {r.source: r["count"] for r in times}
+    assert words_of["c"] * 10 == sum(r.taken for r in rows if r.source == "c") and words_of["a"] * 12 == sum(r.taken for r in rows if r.source == "a")
+
+
+def test_mix_touches_no_other_column(spark):
+    names = ["_mix_copies", "_mix_key", "copies", "key", "part", "in0", "target"]
+    docs = spark.createDataFrame([(i // 2, "some words here", "s", *[6] * 7) for i in range(40)], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and {tuple(r)[3:] for r in out.collect()} == {(6,) * 7}
