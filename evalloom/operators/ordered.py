@@ -13,11 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalloom.operators.ranks import range_of
-
-#: Rows that a segment should hold, over all groups together, and segments there are at most.
-SEGMENT, MOST = 500_000, 512
-
+from evalloom.operators.ranks import cuts_of, range_of
 
 @dataclass(frozen=True)
 class Fold:
@@ -43,17 +39,12 @@ def latest(value: Column) -> Fold:
     return Fold(value, lambda v, order: F.max_by(v, F.when(v.isNotNull(), order)), last, last, lambda e, o: F.coalesce(o, e))
 
 
-def segmented(rows: DataFrame, order: str, per: int = SEGMENT) -> DataFrame:
+def segmented(rows: DataFrame, order: str, per: int | None = None) -> DataFrame:
     """rows with `_segment`, by ranges of a numeric column; as many as the counted rows ask for. Nulls come first."""
-    points = [i / MOST for i in range(1, MOST)]
-    n, cuts = rows.agg(F.count("*"), F.percentile_approx(order, points, 20 * MOST)).first()  # at most MOST numbers
-    parts = min(MOST, -(-n // per))
-    step = MOST / max(1, parts)
-    chosen = sorted({cuts[round(i * step) - 1] for i in range(1, parts)}) if cuts else []
-    return rows.withColumn("_segment", F.when(F.col(order).isNull(), 0).otherwise(range_of(F.col(order), chosen)))
+    return rows.withColumn("_segment", F.when(F.col(order).isNull(), 0).otherwise(range_of(F.col(order), cuts_of(rows, order, per))))
 
 
-def folded(rows: DataFrame, keys: list[str], order: list[str], folds: dict[str, Fold], per: int = SEGMENT) -> DataFrame:
+def folded(rows: DataFrame, keys: list[str], order: list[str], folds: dict[str, Fold], per: int | None = None) -> DataFrame:
     """rows with a column for each fold. order: columns, the first one numeric, that tell a group's rows apart."""
     cut = rows if "_segment" in rows.columns else segmented(rows, order[0], per)
     at = F.struct(*order)
@@ -66,7 +57,7 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], folds: dict[str,
     return out.where("_is_row").select(*rows.columns, *folds)
 
 
-def restart_counter(rows: DataFrame, keys: list[str], order: list[str], reset: Column, dead: Column, every: int, per: int = SEGMENT) -> DataFrame:
+def restart_counter(rows: DataFrame, keys: list[str], order: list[str], reset: Column, dead: Column, every: int, per: int | None = None) -> DataFrame:
     """rows with since_restart (rows since the last restart, this one included), block (restarts before it) and restarts_in_block (the dead rows
     of its block so far). A row with `reset` comes right behind a restart; without one there is a restart after `every` rows."""
     cut = segmented(rows, order[0], per)

@@ -94,8 +94,59 @@ def set_differences(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     return both.groupBy(*keys).agg(F.bit_or("_s").alias("_s")).where("_s < 3").select(*keys, F.when(F.col("_s") == 1, "first").otherwise("second").alias("only_in"))
 
 
-def matched(rows: DataFrame) -> DataFrame:
-    return rows.join(excluded_ids(rows), ["dataset", "idx"], "left_anti")
+def matched(rows: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """Rows of records that have no error in any config, nor in the error files (dataset, idx)."""
+    return rows.join(excluded_ids(rows, errors), ["dataset", "idx"], "left_anti")
+
+
+def accounting(rows: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """Per dataset: n_total, n_excluded and n_matched records, how many of the excluded have an error of their own (from_error_field) or are named by
+    error files only (from_error_files_only), and errors_by_config (map of config to its failed records). Records that no run has don't count."""
+    bad = F.when(failed(), F.col("config"))
+    per = rows.groupBy("dataset", "idx").agg(F.collect_set("config").alias("_runs"), F.collect_set(bad).alias("_bad"))  # one config each
+    if errors is not None:
+        named = errors.select("dataset", "idx").distinct().withColumn("_named", F.lit(True))
+        per = per.join(named, ["dataset", "idx"], "left")
+    else:
+        per = per.withColumn("_named", F.lit(None).cast("boolean"))
+    own, named = F.size("_bad") > 0, F.coalesce("_named", F.lit(False))
+    n = per.groupBy("dataset").agg(
+        F.count("*").alias("n_total"), F.count_if(own | named).alias("n_excluded"), F.count_if(~own & ~named).alias("n_matched"), F.count_if(own).alias("from_error_field"), F.count_if(~own & named).alias("from_error_files_only"),
+    )
+    runs = rows.groupBy("dataset", "config").agg(F.count_if(failed()).alias("_n"))
+    by_config = runs.groupBy("dataset").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("config", "_n")))).alias("errors_by_config"))  # one row a config
+    return n.join(by_config, "dataset")
+
+
+def error_sets(rows: DataFrame, strict: Sequence[str] = (), allow: bool = False) -> DataFrame:
+    """Per dataset and config: whether its failed records are those of the dataset's first config: n_errors, only_here, only_first and status (ok,
+    warning). In a dataset of strict the runs are taken to fail alike: there a difference raises when the rows are used, unless allow."""
+    runs = rows.groupBy("dataset").agg(F.array_sort(F.collect_set("config")).alias("_runs"))  # the configs of a dataset
+    bad = rows.where(failed()).groupBy("dataset", "idx").agg(F.collect_set("config").alias("_bad"))
+    every = runs.join(bad, "dataset", "left").select("dataset", F.element_at("_runs", 1).alias("_first"), F.explode("_runs").alias("config"), F.coalesce("_bad", F.array().cast(runs.schema["_runs"].dataType)).alias("_bad"))
+    here, first = F.array_contains("_bad", F.col("config")), F.array_contains("_bad", F.col("_first"))
+    out = every.groupBy("dataset", "config").agg(F.count_if(here).alias("n_errors"), F.count_if(here & ~first).alias("only_here"), F.count_if(first & ~here).alias("only_first"))
+    stop = F.raise_error(F.concat_ws(" ", F.lit("the failed records differ between runs of"), "dataset", F.lit("in config"), F.col("config").cast("string"))).cast("string")
+    odd = F.when(F.lit(not allow) & F.col("dataset").isin(*strict), stop).otherwise("warning") if strict else F.lit("warning")
+    return out.withColumn("status", F.when(F.col("only_here") + F.col("only_first") > 0, odd).otherwise("ok"))
+
+
+def macro_average(figures: DataFrame, *keys: str) -> DataFrame:
+    """The mean of answered scores over the complete datasets of a run, where there are more than one. figures: a row a dataset with score_answered and complete."""
+    whole = figures.where(F.col("complete") & F.col("score_answered").isNotNull())
+    return whole.groupBy(*keys).agg(F.round(F.avg("score_answered"), 6).alias("macro"), F.count("*").alias("n_datasets")).where("n_datasets > 1")
+
+
+def count_direction(pairs: DataFrame, value: Column, base_value: Column, truth: Column, *keys: str) -> DataFrame:
+    """How counts go wrong where only one of two runs is right, by the sign of the other's error. pairs: score and base_score; value, base_value, truth: the
+    numbers behind both predictions and the ground truth, null where there is none. lost doesn't count the unparsed ones, gained does."""
+    lost, gained = F.col("base_score") > F.col("score"), F.col("base_score") < F.col("score")
+    gap, base_gap = value - truth, base_value - truth
+    n = lambda x: F.count_if(F.coalesce(x, F.lit(False)))
+    return pairs.groupBy(*keys).agg(
+        n(lost & gap.isNotNull()).alias("lost"), n(lost & gap.isNull()).alias("unparsed"), n(lost & (gap > 0)).alias("over"), n(lost & (gap <= 0)).alias("under"), n(lost & (F.abs(gap) == 1)).alias("off_by_one"),
+        n(gained).alias("gained"), n(gained & (base_gap > 0)).alias("base_over"), n(gained & (base_gap <= 0)).alias("base_under"),
+    )
 
 
 def keep_last(rows: DataFrame, keys: list[str], order: str, last: bool = True) -> DataFrame:

@@ -8,8 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Value ranges that rows are cut into. Ranges are about equal over all groups together, so a range of one group holds at most about this part of all rows.
-PARTS = 64
+#: Rows that a value range should hold, over all groups together, and ranges there are at most. A range of one group holds at most about what a range holds.
+ROWS, MOST = 500_000, 512
+
+
+def cuts_of(df: DataFrame, order: str, per: int | None = None) -> list:
+    """Cuts of a numeric column into about equal ranges, as many as the counted rows ask for: one pass gives the count and the cuts."""
+    n, cuts = df.agg(F.count("*"), F.percentile_approx(order, [i / MOST for i in range(1, MOST)], 20 * MOST)).first()  # at most MOST numbers
+    parts = min(MOST, -(-n // (per or ROWS)))
+    return sorted({cuts[round(i * MOST / parts) - 1] for i in range(1, parts)}) if cuts else []
 
 
 def met(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -35,11 +42,10 @@ def placed(df: DataFrame, keys: list[str], order: str, weight: str | None = None
     """df with `_before`, how many rows of its group precede a row by the numeric, non-null column order, and `_total`, the group's rows; a row
     stands for `weight` rows. Rows are cut into value ranges, numbered inside each and moved on by the ranges' sizes. Ranges
     without a position of wanted(total) are left out before anything is sorted. Ties are numbered in any order."""
-    cuts = sorted(set(df.approxQuantile(order, [i / PARTS for i in range(1, PARTS)], 0.25 / PARTS)))  # at most PARTS numbers
-    cut = df.withColumns({"_range": range_of(F.col(order), cuts), "_rows": F.col(weight) if weight else F.lit(1).cast("long")})
+    cut = df.withColumns({"_range": range_of(F.col(order), cuts_of(df, order)), "_rows": F.col(weight) if weight else F.lit(1).cast("long")})
     group = W.partitionBy(*keys)
     sizes = cut.groupBy(*keys, "_range").agg(F.sum("_rows").alias("_size"))
-    sizes = sizes.withColumns({"_start": F.sum("_size").over(group.orderBy("_range")) - F.col("_size"), "_total": F.sum("_size").over(group)})  # PARTS rows a group
+    sizes = sizes.withColumns({"_start": F.sum("_size").over(group.orderBy("_range")) - F.col("_size"), "_total": F.sum("_size").over(group)})  # MOST rows a group
     if wanted:
         sizes = sizes.where(F.exists(F.array(*wanted(F.col("_total"))), lambda p: (p >= F.col("_start")) & (p < F.col("_start") + F.col("_size"))))
     inside = W.partitionBy(*keys, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)

@@ -191,3 +191,69 @@ def delta_cells(spark, d):
     part = F.abs("m")
     digits = F.concat(F.floor(part / 1000).cast("string"), F.lit("."), F.lpad((part % 1000).cast("string"), 3, "0"))
     return q.select("config", "dataset", F.concat(F.when(F.col("m") >= 0, "+").otherwise("-"), digits, F.when(part > 5000, "*").otherwise("")).alias("cell"))
+
+
+ERROR_FILES = "SELECT lang AS dataset, doc_id AS idx FROM documents WHERE doc_id % 29 = 3"
+
+
+@register(f"""WITH {EVAL}, x AS ({ERROR_FILES}), g AS (SELECT dataset, idx, bool_or(error IS NOT NULL) AS own FROM e GROUP BY ALL), h AS (SELECT g.*, x.idx IS NOT NULL AS named FROM g LEFT JOIN x ON x.dataset = g.dataset AND x.idx = g.idx),
+c AS (SELECT dataset, string_agg(config || ':' || n, ',' ORDER BY config) AS errors_by_config FROM (SELECT dataset, config, count(error) AS n FROM e GROUP BY ALL) GROUP BY dataset)
+SELECT h.dataset, count(*) AS n_total, count(*) FILTER (WHERE own OR named) AS n_excluded, count(*) FILTER (WHERE NOT own AND NOT named) AS n_matched, count(*) FILTER (WHERE own) AS from_error_field, count(*) FILTER (WHERE named AND NOT own) AS from_error_files_only, any_value(c.errors_by_config) AS errors_by_config
+FROM h JOIN c ON c.dataset = h.dataset GROUP BY h.dataset""")
+def exclusion_with_error_files(spark, d):
+    """What the runs' own errors and the error files leave out, and how many errors each run has."""
+    named = table(spark, d, "documents").where("doc_id % 29 = 3").select(F.col("lang").alias("dataset"), F.col("doc_id").alias("idx"))
+    out = paired.accounting(eval_long(spark, d), named)
+    shown = F.array_join(F.transform(F.map_entries("errors_by_config"), lambda x: F.concat_ws(":", x["key"].cast("string"), x["value"].cast("string"))), ",")
+    return out.withColumn("errors_by_config", shown)
+
+
+@register(f"""WITH {EVAL}, x AS ({ERROR_FILES}) SELECT config, e.dataset, round(100.0 * sum(CAST(predicted = gt AS INT)) / count(*), 6) AS accuracy_pct, count(*) AS n_valid, CAST(0 AS BIGINT) AS n_error
+FROM e ANTI JOIN (SELECT dataset, idx FROM e WHERE error IS NOT NULL UNION SELECT * FROM x) u ON e.dataset = u.dataset AND e.idx = u.idx GROUP BY ALL""")
+def matched_with_error_files(spark, d):
+    named = table(spark, d, "documents").where("doc_id % 29 = 3").select(F.col("lang").alias("dataset"), F.col("doc_id").alias("idx"))
+    return paired.accuracy(paired.matched(eval_long(spark, d), named), "config", "dataset")
+
+
+@register(f"""WITH {EVAL}, k AS (SELECT dataset, min(config) AS f FROM e GROUP BY ALL), b AS (SELECT dataset, config, idx FROM e WHERE error IS NOT NULL),
+r AS (SELECT DISTINCT e.dataset, e.config, f FROM e JOIN k USING (dataset)), i AS (SELECT DISTINCT dataset, idx FROM b),
+p AS (SELECT r.dataset, r.config, h.idx IS NOT NULL AS here, g.idx IS NOT NULL AS first FROM r LEFT JOIN i ON i.dataset = r.dataset LEFT JOIN b h ON h.dataset = r.dataset AND h.config = r.config AND h.idx = i.idx LEFT JOIN b g ON g.dataset = r.dataset AND g.config = f AND g.idx = i.idx)
+SELECT dataset, config, count(*) FILTER (WHERE here) AS n_errors, count(*) FILTER (WHERE here AND NOT first) AS only_here, count(*) FILTER (WHERE first AND NOT here) AS only_first, CASE WHEN count(*) FILTER (WHERE here <> first) > 0 THEN 'warning' ELSE 'ok' END AS status FROM p GROUP BY ALL""")
+def error_sets(spark, d):
+    """Whether the runs of a dataset fail on the same records."""
+    return paired.error_sets(eval_long(spark, d))
+
+
+@register(f"""WITH {EVAL}, s AS (SELECT config, dataset, round(sum(CASE WHEN error IS NULL THEN CAST(predicted = gt AS INT) END) / count(*) FILTER (WHERE error IS NULL), 6) AS score_answered, count(*) FILTER (WHERE error IS NOT NULL AND idx % 2 = 0) = 0 AS complete FROM e GROUP BY ALL)
+SELECT config, round(avg(score_answered), 6) AS macro, count(*) AS n_datasets FROM s WHERE complete GROUP BY config HAVING count(*) > 1""")
+def macro_of_complete(spark, d):
+    """The macro average leaves out datasets with records that were never tried (here errors of even numbers)."""
+    e = eval_long(spark, d)
+    waits = paired.failed() & (F.col("idx") % 2 == 0)
+    whole = e.groupBy("config", "dataset").agg((F.count_if(waits) == 0).alias("complete"))
+    return paired.macro_average(paired.run_metrics(e, "config", "dataset").join(whole, ["config", "dataset"]), "config")
+
+
+COUNTED = "CASE WHEN idx % 7 = 0 THEN NULL ELSE n_chars % 9 + ({x}) * (idx % 3 - 1) END"
+
+
+@register(f"""WITH {EVAL}, p AS (SELECT o.config, o.idx, o.n_chars, o.score, b.score AS base_score FROM v o JOIN v b ON b.config = 2 AND o.config <> 2 AND b.dataset = o.dataset AND b.idx = o.idx),
+q AS (SELECT *, n_chars % 9 AS truth, {COUNTED.format(x='1 - score')} AS value, {COUNTED.format(x='2 * (1 - base_score)')} AS base_value FROM p)
+SELECT config, count(*) FILTER (WHERE base_score > score AND value IS NOT NULL) AS lost, count(*) FILTER (WHERE base_score > score AND value IS NULL) AS unparsed, count(*) FILTER (WHERE base_score > score AND value > truth) AS over, count(*) FILTER (WHERE base_score > score AND value <= truth) AS under,
+count(*) FILTER (WHERE base_score > score AND abs(value - truth) = 1) AS off_by_one, count(*) FILTER (WHERE base_score < score) AS gained, count(*) FILTER (WHERE base_score < score AND base_value > truth) AS base_over, count(*) FILTER (WHERE base_score < score AND base_value <= truth) AS base_under FROM q GROUP BY config""")
+def count_direction(spark, d):
+    """Counts that only one run gets right: over, under, off by one or unparsed in the other, and the baseline's errors where it is the other way round."""
+    pairs = paired.pair_with_base(valid(eval_long(spark, d)), BASE)
+    value = lambda x: F.expr(COUNTED.format(x=x))
+    return paired.count_direction(pairs, value("1 - score"), value("2 * (1 - base_score)"), F.col("n_chars") % 9, "config")
+
+
+@register(f"""WITH {REQUESTS}, g AS (SELECT dataset, k, config, count(DISTINCT server_id % 5) AS own FROM r GROUP BY ALL), u AS (SELECT dataset, k, count(DISTINCT server_id % 5) AS every FROM r GROUP BY ALL)
+SELECT dataset, count(*) AS records, count(*) FILTER (WHERE mixed) AS differ_in_a_config, count(*) FILTER (WHERE every > 1) AS differ_over_configs FROM (SELECT u.dataset, u.k, every, (SELECT max(own) FROM g WHERE g.dataset = u.dataset AND g.k IS NOT DISTINCT FROM u.k) > 1 AS mixed FROM u) GROUP BY dataset""")
+def prompt_sets(spark, d):
+    """Records whose prompt counts (here servers modulo 5) differ within a config, and over the union of all configs' counts: one aggregate of different
+    values, then sets by record."""
+    one = requests(spark, d).select("dataset", "k", "config", (F.col("server_id") % 5).alias("n")).distinct()
+    own = one.groupBy("dataset", "k", "config").agg(F.count("n").alias("own"), F.collect_set("n").alias("s"))
+    every = own.groupBy("dataset", "k").agg(F.max("own").alias("own"), F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"))  # few values a record
+    return every.groupBy("dataset").agg(F.count("*").alias("records"), F.count_if(F.col("own") > 1).alias("differ_in_a_config"), F.count_if(F.size("s") > 1).alias("differ_over_configs"))

@@ -45,6 +45,14 @@ def latency_tables(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def latency_points(spark: SparkSession, folder: str, dataset: str = "textvqa") -> DataFrame:
+    """(config, med, ram_peak) of one latency run, from its CSV and its text summary; a config whose peak is not there raises when it is used."""
+    med = latency_tables(spark, f"{folder}/latency_summary.csv").where(F.col("dataset") == dataset).select("config", "med")
+    peaks = strict_peaks(spark, f"{folder}/summary.txt").select("config", "ram_peak")
+    missing = F.raise_error(F.concat(F.lit("no memory peak of config "), F.col("config"))).cast("long")
+    return med.join(peaks, "config", "left").select("config", "med", F.coalesce("ram_peak", missing).alias("ram_peak"))
+
+
 def hash_listing(spark: SparkSession, path: str) -> DataFrame:
     """(name, expected) from lines of a hash and a path; other lines are skipped."""
     parts = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p")).where(F.size("p") == 2)

@@ -145,3 +145,35 @@ def test_folder_of_images(spark, tmp_path):
     assert sorted(got, key=str) == sorted(want, key=str)
     legacy = preflight.image_problems(records, files, str(tmp_path), strict=False, absolute=False)
     assert sorted((r.severity, r.problem, r.n, r.records, r.first) for r in preflight.summary(legacy).collect()) == [("error", "empty image", 1, 1, [1]), ("error", "missing image", 1, 1, [2]), ("warning", "ground truth outside the choices", 1, 1, [1]), ("warning", "repeated idx", 2, 2, [1, 2])]
+
+
+def test_exclusion_with_error_files(spark):
+    rows = [(c, "d", i, "x" if (c, i) in {(2, 1), (5, 1), (5, 2)} else None) for c in (2, 5) for i in range(6)] + [(2, "e", 1, None), (5, "e", 1, None)]
+    df = spark.createDataFrame(rows, "config int, dataset string, idx int, error string")
+    named = spark.createDataFrame([("d", 2), ("d", 4), ("d", 99)], "dataset string, idx int")
+    got = {r.dataset: r for r in paired.accounting(df, named).collect()}
+    assert tuple(got["d"])[1:] == (6, 3, 3, 2, 1, {2: 1, 5: 2}) and tuple(got["e"])[1:] == (1, 0, 1, 0, 0, {2: 0, 5: 0})
+    assert sorted({(r.dataset, r.idx) for r in paired.matched(df, named).collect()}) == [("d", 0), ("d", 3), ("d", 5), ("e", 1)]
+    status = {(r.dataset, r.config): (r.n_errors, r.only_here, r.only_first, r.status) for r in paired.error_sets(df, strict=("e",)).collect()}
+    assert status == {("d", 2): (1, 0, 0, "ok"), ("d", 5): (2, 1, 0, "warning"), ("e", 2): (0, 0, 0, "ok"), ("e", 5): (0, 0, 0, "ok")}
+    with pytest.raises(Exception, match="differ between runs of d in config 5"):
+        paired.error_sets(df, strict=("d",)).collect()
+    assert paired.error_sets(df, strict=("d",), allow=True).where("status = 'warning'").count() == 1
+
+
+def test_latency_points_and_settings(spark, tmp_path):
+    from evalloom.functions import scoring
+    from evalloom.sources import board
+
+    (tmp_path / "latency_summary.csv").write_text("config,dataset,wall_med,wall_p95,valid\nF16,textvqa,1.5,2.5,7\nF16,scienceqa,9,9,9\nQ4,textvqa,1.25,2,7\n")
+    (tmp_path / "summary.txt").write_text("== tegrastats\n F16 timed 5 6 7\n Q4 timed 5 8 7\n")
+    assert sorted(map(tuple, board.latency_points(spark, str(tmp_path)).collect())) == [("F16", 1.5, 6), ("Q4", 1.25, 8)]
+    (tmp_path / "summary.txt").write_text("== tegrastats\n F16 timed 5 6 7\n")
+    with pytest.raises(Exception, match="no memory peak of config Q4"):
+        board.latency_points(spark, str(tmp_path)).collect()
+    limits = {"protocol_version": "2", "temperature": 0, "ctx_size": 4096, "n_gpu_layers": 99}
+    config = {"num": 2, "short": "F16", "mmproj": "m", "model": "x"}
+    old = scoring.run_settings(config, "cv_bench", scoring.DATASETS["cv_bench"], "aa", None, {"m": "h"}, limits)
+    assert len(old) == 18 and (old["mmproj_sha256"], old["model_sha256"], old["max_tokens"]) == ("h", None, 16)
+    new = old | {"data_sha256": "bb", "model_sha256": "z"}
+    assert spark.range(1).select(scoring.fingerprint_diff(scoring.fingerprint(old), scoring.fingerprint(new)).alias("d")).first().d == ["data_sha256: aa -> bb", "model_sha256: null -> z"]
