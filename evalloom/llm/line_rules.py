@@ -2,7 +2,7 @@
 
 Each line is judged on its own and by its neighbours: punctuation (symbol characters or repeated marks on many of its words,
 all capitals, no letter at all), navigation (a chain of separated labels, or a run of `MENU_LINES` or more short lines
-without an end mark, as menus are), boilerplate (web phrases in English, German, French and Spanish). Failing lines are removed,
+without an end mark, as menus are), boilerplate (web phrases in five languages that make up `PHRASE_SHARE` of a line). Failing lines are removed,
 and a document that loses more than `max_loss` of its words is rejected. The document statistics of the contract come from the
 same arrays. What only few texts hold is looked for in the whole text first, so that clean texts skip the line rules.
 
@@ -26,12 +26,16 @@ BOILERPLATE = (
     "privacy policy", "skip to content", "subscribe to our", "terms of service", "terms of use", "use of cookies",
     "alle cookies akzeptieren", "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "bitte aktivieren sie javascript", "cookie-richtlinie", "datenschutzerklärung", "hier klicken", "newsletter abonnieren",
     "accepter tous les cookies", "cliquez ici", "conditions d'utilisation", "inscrivez-vous à notre newsletter", "mentions légales", "politique de confidentialité", "politique de cookies", "tous droits réservés", "veuillez activer javascript",
+    "accetta tutti i cookie", "informativa sulla privacy", "read more", "share on facebook", "tutti i diritti riservati",
     "aceptar todas las cookies", "activar javascript", "aviso legal", "haga clic aquí", "política de cookies", "política de privacidad", "suscríbete a nuestro", "términos y condiciones", "todos los derechos reservados",
 )
 #: Marks that end a sentence, at a line's end.
-END_MARKS = r"[.!?:;…]['\"”’»)]*$"
+END_MARKS = r"[.!?:;…。！？；：｡]['\"”’»)」』）]*$"
 MAX_SYMBOLS_A_WORD, MAX_MARKED, MIN_LABELS, MAX_LOSS = 0.3, 0.3, 4, 0.5
-MENU_WORDS, MENU_LINES = 3, 4
+#: A menu's lines have few words and characters, as some scripts write sentences without blanks.
+MENU_WORDS, MENU_CHARS, MENU_LINES = 3, 30, 4
+#: The least part of a line that phrases of boilerplate make up, so that prose may speak of them.
+PHRASE_SHARE = 0.4
 MIN_WORDS, MAX_REPEATED, WINDOW = 10, 20, 5
 SEPARATED, MARKED = r" [|»›·>] ", r"[!?]{2,}"
 
@@ -52,6 +56,11 @@ def holds_phrase(text: Column) -> Column:
     return let(F.lower(text), any_of)
 
 
+def phrase_chars(line: Column) -> Column:
+    """Characters of the different phrases of BOILERPLATE that a line holds."""
+    return let(F.lower(line), lambda low: sum((F.when(F.contains(low, F.lit(x)), len(x)).otherwise(0) for x in BOILERPLATE), F.lit(0)))
+
+
 def n_symbols(text: Column) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, SYMBOLS + "+", ""))
 
@@ -64,7 +73,7 @@ def line_fails(line: Column, n_words: Column, may: Column) -> Column:
     lowered = F.lower(line)
     upper = (n_words >= 3) & (F.upper(line) == line) & (lowered != line)
     wordless = (F.upper(line) == line) & (lowered == line) & ~line.rlike(r"\p{L}")
-    return symbols | marked | labels | upper | wordless | (may["phrase"] & holds_phrase(line))
+    return symbols | marked | labels | upper | wordless | (may["phrase"] & (phrase_chars(line) >= PHRASE_SHARE * F.length(line)))
 
 
 def menu_lines(lines: Column) -> Column:
@@ -121,7 +130,7 @@ def judge(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
     def of_line(line: Column) -> Column:
         def counted(w: Column) -> Column:
             n = F.size(w)
-            short = (n <= MENU_WORDS) & ~line.rlike(END_MARKS)
+            short = (n <= MENU_WORDS) & (F.length(line) <= MENU_CHARS) & ~line.rlike(END_MARKS)
             return F.struct(line.alias("line"), w.alias("words"), n.alias("n"), ((n > 0) & line_fails(line, n, F.col("_lr_may"))).alias("fails"), short.alias("short"))
 
         return let(words_of(line), counted)
@@ -182,8 +191,8 @@ single AS (
      OR (n >= 3 AND upper(line) = line AND lower(line) <> line)
      OR NOT regexp_matches(line, '\p{L}')
      OR len(regexp_extract_all(line, ' [|»›·>] ')) + 1 >= 4
-     OR PHRASES AS fails,
-     n <= 3 AND NOT regexp_matches(line, '[.!?:;…][''"”’»)]*$') AS short
+     OR PHRASES >= 0.4 * length(line) AS fails,
+     n <= 3 AND length(line) <= 30 AND NOT regexp_matches(line, '[.!?:;…。！？；：｡][''"”’»)」』）]*$') AS short
   FROM lined WHERE n > 0),
 islands AS (
   SELECT *, sum(CAST(NOT short AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM single),
@@ -201,4 +210,4 @@ stats AS (
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND kept_words >= 0.5 * n_words AS kept
 FROM stats
-""".replace("PHRASES", " OR ".join("contains(lower(line), '{}')".format(x.replace("'", "''")) for x in BOILERPLATE))
+""".replace("PHRASES", "(" + " + ".join("CASE WHEN contains(lower(line), '{}') THEN {} ELSE 0 END".format(x.replace("'", "''"), len(x)) for x in BOILERPLATE) + ")")

@@ -4,7 +4,7 @@ import json
 
 import numpy as np
 import pytest
-from evalloom.llm import chat, gam, mixing, simhash
+from evalloom.llm import chat, gam, line_rules, mixing, simhash
 
 
 def test_roles_with_a_line_end(spark):
@@ -96,3 +96,15 @@ def test_mix_touches_no_other_column(spark):
     docs = spark.createDataFrame([(i // 2, "some words here", "s", *[6] * 7) for i in range(40)], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and {tuple(r)[3:] for r in out.collect()} == {(6,) * 7}
+
+
+def test_prose_that_speaks_of_boilerplate_stays(spark):
+    """A phrase counts where it makes up much of a line; unspaced scripts are no menus; other languages' phrases."""
+    prose = "The old charter, with all rights reserved to the crown for as long as the river ran, was read aloud in the square on the first of May."
+    stays = [f"{prose}\nYou should click here only after you have read the whole of the manual and understood it.\n{prose}", "\n".join(["今日は天気がとてもいいです。", "公園で友達と一緒に遊びました。", "そのあと家に帰って本を読みました。", "夜は早く寝るつもりです。"]), "这是一个没有句号但是很长的句子它应该被当作普通的文字而不是菜单里面的一个短短的项目\n" * 4]
+    goes = ["Tutti i diritti riservati", "Read more", "Share on Facebook", "Click here to subscribe", "(c) 2019 Some Firm. All rights reserved.", "Privacy Policy | Terms of Use | Contact"]
+    plain = "A plain sentence with enough ordinary words in it to be kept by every rule."
+    rows = [(i, t) for i, t in enumerate(stays)] + [(10 + i, f"{plain}\n{x}\n{plain} More of it.") for i, x in enumerate(goes)]
+    out = {r.i: (r.text, r._lr.clean_text) for r in line_rules.judge(spark.createDataFrame(rows, "i int, text string")).collect()}
+    assert all(out[i][0] == out[i][1] for i in range(len(stays)))
+    assert all(out[10 + i][1] == f"{plain}\n{plain} More of it." for i in range(len(goes)))
