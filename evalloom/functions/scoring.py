@@ -179,17 +179,13 @@ def swapped(df: DataFrame) -> DataFrame:
     return df.withColumns({"answer": answer, "choices": F.reverse("choices"), "swapped": F.lit(True)})
 
 
-#: What a format's scorer is called in a run's settings.
-SCORERS = {"mcq": "mcq_exact_v1", "open_vqa": "textvqa_mmf_v1", "raw_only": "none"}
-
-
 def run_settings(config: dict, dataset: str, spec: Spec, data_sha256: str, manifest_sha256: str | None, hashes: dict[str, str | None], limits: dict[str, object]) -> dict[str, object]:
     """The settings that a run's rows depend on, all eighteen. config: num, short, mmproj, model; hashes: of mmproj and model, by these names; limits:
     protocol_version, temperature, ctx_size, n_gpu_layers."""
     return {
         "protocol_version": limits["protocol_version"], "config_num": config["num"], "config_short": config["short"], "mmproj": config["mmproj"], "model": config["model"],
         "mmproj_sha256": hashes.get(config["mmproj"]), "model_sha256": hashes.get(config["model"]), "dataset": dataset, "format": spec.format, "prompt": spec.prompt, "parser": spec.parser,
-        "scorer": SCORERS[spec.format], "max_tokens": spec.max_tokens, "temperature": limits["temperature"], "ctx_size": limits["ctx_size"], "n_gpu_layers": limits["n_gpu_layers"],
+        "scorer": FORMATS[spec.format].scorer_id, "max_tokens": spec.max_tokens, "temperature": limits["temperature"], "ctx_size": limits["ctx_size"], "n_gpu_layers": limits["n_gpu_layers"],
         "data_sha256": data_sha256, "manifest_sha256": manifest_sha256,
     }
 
