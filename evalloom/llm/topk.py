@@ -35,6 +35,8 @@ K, SCALE, EVERY = 10, 1024, 100
 MAX_PIVOTS, MIN_BLOCK, MAX_BLOCK = 2_048, 512, 16_384
 #: Bytes of replicated queries that a function gives out at once, and queries that are scored at once.
 SENT_BYTES, SCORED = 8 << 20, 256
+#: Bytes of the distances from which the bounds of some queries follow.
+REACH_BYTES = 32 << 20
 LARGEST = 1 << 31
 SLACK = 1e-6
 
@@ -76,13 +78,71 @@ def space_of(vectors: DataFrame, n: int) -> Space:
     size = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     dims, norm2 = vectors.agg(F.max(F.size("v")), F.max(size)).first()
     want = int(min(MAX_PIVOTS, max(1, math.isqrt(n) // 4)))
-    rows = vectors.select("v", F.xxhash64("v").alias("h")).groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(want).collect()
+    hashed = vectors.select("v", F.xxhash64("v").alias("h"))
+    likely = min(1.0, 16 * want / max(1, n))  # the least hashes are below this part of all, unless most vectors are copies
+
+    def least(some: DataFrame) -> list:
+        return some.groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(want).collect()
+
+    rows = least(hashed.where(F.col("h") < int(-(2**63) + likely * (2**64 - 1)))) if likely < 1 else []
+    rows = rows if len(rows) == want else least(hashed)
     space = Space(int(dims), float(norm2), np.zeros((0, int(dims) + 1)))
     x = space.stack(pd.Series([r.v for r in rows]))
     space.pivots = np.hstack([x, np.sqrt(np.maximum(0, space.norm2 - (x**2).sum(axis=1)))[:, None]])
     return space
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+
+
+@dataclass
+class Plan:
+    """What the driver knows of the groups, a few arrays by pivot: into how many blocks each is cut, its least and largest distance to the
+    pivot, and the least distances (near_d) of some of its points (near_of: the group's place)."""
+
+    space: Space
+    k: int
+    ids: np.ndarray
+    blocks: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    near_d: np.ndarray
+    near_of: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.starts = np.cumsum(np.r_[0, self.blocks])
+        self.index = {c: i for i, c in enumerate(self.ids.tolist())}
+
+    def bounds(self, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For distances to all pivots: the bound of the k-th distance, and the groups that may hold an answer."""
+        own = d[:, self.ids]
+        reach = own[:, self.near_of] + self.near_d
+        theta = np.partition(reach, self.k, axis=1)[:, self.k] if reach.shape[1] > self.k else np.full(len(d), np.inf)
+        theta = theta * (1 + SLACK) + SLACK
+        return theta, (own - self.hi <= theta[:, None]) & (self.lo - own <= theta[:, None])
+
+    def sends(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(which query, block, bound) of queries for the blocks that may hold an answer, a bounded number of them at once: queries are taken
+        by slices whose bounds take REACH_BYTES, and a slice's pairs by what goes out at once; one query's pairs are as many as there are blocks."""
+        rows = max(1, REACH_BYTES // (8 * max(1, len(self.near_d) + len(self.space.pivots))))
+        step = max(1, SENT_BYTES // (8 * self.space.dims + 40))
+        for first in range(0, len(x), rows):
+            theta, need = self.bounds(self.space.to_pivots(x[first : first + rows], False))
+            upto = np.cumsum(need @ self.blocks)
+            i = 0
+            while i < len(theta):
+                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + step, side="right")))
+                who, group = np.nonzero(need[i:j])
+                n = self.blocks[group]
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[group], n)
+                who = np.repeat(who, n) + i
+                for s in range(0, len(who), step):
+                    w = who[s : s + step]
+                    yield first + w, at[s : s + step], theta[w]
+                i = j
+
+
 def top_k(data: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """data, queries: (id, v) of integer vectors. (query_id, rank, vec_id, score) of each query's k largest products."""
     spark = data.sparkSession
@@ -93,7 +153,8 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     block = min(MAX_BLOCK, max(MIN_BLOCK, n // 128))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        rows = max(1, REACH_BYTES // (8 * len(space.pivots)))
+        for b in (b.iloc[s : s + rows] for b in batches for s in range(0, max(1, len(b)), rows)):
             d = space.to_pivots(space.stack(b["v"]), True)
             near = d.argmin(axis=1) if len(d) else np.zeros(0, np.int64)
             yield b.assign(cell=near.astype(np.int32), d=d[np.arange(len(d)), near])
@@ -110,39 +171,20 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     blocks = np.maximum(1, -(-count // block))
     near_d, near_of = np.array([r.d for r in least]), np.searchsorted(ids, [r.cell for r in least])
 
-    starts = np.cumsum(np.r_[0, blocks])
-    index = {c: i for i, c in enumerate(ids.tolist())}
-
-    def bounds(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For distances to all pivots: the bound of the k-th distance, and the groups that may hold an answer."""
-        own = d[:, ids]
-        reach = own[:, near_of] + near_d
-        theta = np.partition(reach, k, axis=1)[:, k] if reach.shape[1] > k else np.full(len(d), np.inf)
-        theta = theta * (1 + SLACK) + SLACK
-        return theta, (own - hi <= theta[:, None]) & (lo - own <= theta[:, None])
-
-    def mixed(x: np.ndarray) -> np.ndarray:
-        return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+    plan = Plan(space, k, ids, blocks, lo, hi, near_d, near_of)
 
     row = "block long, query boolean, id long, v array<long>, bound double"
 
     def send_queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            d = space.to_pivots(space.stack(b["v"]), False)
-            theta, need = bounds(d)
-            who, group = np.nonzero(need)
-            n = blocks[group]
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[group], n)
-            who = np.repeat(who, n)
-            step = max(1, SENT_BYTES // (8 * space.dims + 40))
-            for s in range(0, len(who), step):
-                w = who[s : s + step]
-                yield pd.DataFrame({"block": at[s : s + step], "query": True, "id": b["id"].to_numpy()[w], "v": b["v"].to_numpy()[w], "bound": theta[w]})
+            ids_, vectors = b["id"].to_numpy(), b["v"].to_numpy()
+            for who, at, bound in plan.sends(space.stack(b["v"])):
+                yield pd.DataFrame({"block": at, "query": True, "id": ids_[who], "v": vectors[who], "bound": bound})
 
     def send_data(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in assign(batches):
-            g = np.array([index[c] for c in b["cell"]], np.int64)
-            at = starts[g] + mixed(b["id"].to_numpy()) % blocks[g] if len(g) else g
+            g = np.array([plan.index[c] for c in b["cell"]], np.int64)
+            at = plan.starts[g] + mixed(b["id"].to_numpy()) % plan.blocks[g] if len(g) else g
             yield pd.DataFrame({"block": at, "query": False, "id": b["id"], "v": b["v"], "bound": 0.0})
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,10 +1,11 @@
 """Rows that once crashed an operator or lost something: roles with a line's end, near layouts, hot label ids, clashing columns."""
 
 import json
+import tracemalloc
 
 import numpy as np
 import pytest
-from evalloom.llm import chat, gam, line_rules, mixing, simhash
+from evalloom.llm import chat, gam, line_rules, mixing, simhash, topk
 
 
 def test_roles_with_a_line_end(spark):
@@ -108,3 +109,22 @@ def test_prose_that_speaks_of_boilerplate_stays(spark):
     out = {r.i: (r.text, r._lr.clean_text) for r in line_rules.judge(spark.createDataFrame(rows, "i int, text string")).collect()}
     assert all(out[i][0] == out[i][1] for i in range(len(stays)))
     assert all(out[10 + i][1] == f"{plain}\n{plain} More of it." for i in range(len(goes)))
+
+
+def test_memory_of_the_query_side():
+    """2,048 pivots and 10,000 queries that meet every group: what is held at once stays bounded, and no pair is lost."""
+    rng = np.random.default_rng(1)
+    pivots, dims, k = 2048, 16, 10
+    space = topk.Space(dims, 100.0, rng.normal(size=(pivots, dims + 1)))
+    ids, blocks = np.arange(pivots), rng.integers(1, 4, pivots)
+    plan = topk.Plan(space, k, ids, blocks, np.zeros(pivots), np.full(pivots, 1e9), rng.random(pivots * (k + 1)), np.repeat(ids, k + 1))
+    x = rng.normal(size=(10_000, dims))
+    tracemalloc.start()
+    sent = sum(len(who) for who, _, _ in plan.sends(x))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sent == 10_000 * blocks.sum() and peak < 300 << 20
+    few = topk.Plan(space, k, ids, blocks, rng.random(pivots) * 3, 3 + rng.random(pivots) * 3, rng.random(pivots * (k + 1)), np.repeat(ids, k + 1))
+    got = {(int(q), int(b)) for who, at, _ in few.sends(x[:500]) for q, b in zip(who, at, strict=True)}
+    _, need = few.bounds(space.to_pivots(x[:500], False))
+    assert got == {(int(q), int(b)) for q, g in zip(*np.nonzero(need), strict=True) for b in range(few.starts[g], few.starts[g + 1])}
