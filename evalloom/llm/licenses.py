@@ -73,6 +73,34 @@ SENTENCES = {
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd.endorse",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc.grant",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2.ref",
+    "apache license version 2 0 january 2004": "apache.title",
+    "licensed under apache 2 0": "apache.ref",
+    "licensed under either of apache license version 2 0 or mit license": "either.ref",
+    "mit license": "mit.title",
+    "the mit license mit": "mit.name",
+    "gnu general public license version 3 29 june 2007": "gpl3.title",
+    "gnu general public license version 2 june 1991": "gpl2.title",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl3.title",
+    "gnu lesser general public license version 2 1 february 1999": "lgpl21.title",
+    "gnu affero general public license version 3 19 november 2007": "agpl3.title",
+    "gnu general public license version 3 or later": "gpl3later.ref",
+    "gnu general public license version 2 or later": "gpl2later.ref",
+    "mozilla public license version 2 0": "mpl2.title",
+    "eclipse public license v 2 0": "epl2.title",
+    "eclipse public license 2 0": "epl2.title",
+    "the origin of this software must not be misrepresented": "zlib.origin",
+    "altered source versions must be plainly marked as such and must not be misrepresented as being the original software": "zlib.altered",
+    "creative commons attribution sharealike 4 0 international": "ccbysa4.title",
+    "creative commons attribution noncommercial 4 0 international": "ccbync4.title",
+    "creative commons attribution 4 0 international": "ccby4.title",
+    "creative commons attribution 3 0 unported": "ccby3.title",
+    "spdx license identifier gpl 3 0": "gpl3only.spdx",
+    "spdx license identifier lgpl 2 1 only": "lgpl21only.spdx",
+    "spdx license identifier lgpl 3 0 only": "lgpl3only.spdx",
+    "spdx license identifier epl 2 0": "epl2.spdx",
+    "spdx license identifier zlib": "zlib.spdx",
+    "spdx license identifier cc by 4 0": "ccby4.spdx",
+    "spdx license identifier cc by sa 4 0": "ccbysa4.spdx",
     "all rights reserved": "reserved",
     "copyright": "copyright",
 }
@@ -117,16 +145,43 @@ RULES = (
     ("CC-BY-4.0", ("ccby4.ref",)),
     ("ISC", ("isc.grant",)),
     ("MPL-2.0", ("mpl2.ref",)),
+    ("Apache-2.0", ("apache.title",)),
+    ("Apache-2.0", ("either.ref",)),
+    ("MIT", ("either.ref",)),
+    ("MIT", ("mit.title",)),
+    ("MIT", ("mit.name",)),
+    ("GPL-3.0-or-later", ("gpl3later.ref",)),
+    ("GPL-2.0-or-later", ("gpl2later.ref",)),
+    ("GPL-3.0", ("gpl3.title",)),
+    ("GPL-2.0", ("gpl2.title",)),
+    ("LGPL-3.0", ("lgpl3.title",)),
+    ("LGPL-2.1", ("lgpl21.title",)),
+    ("AGPL-3.0", ("agpl3.title",)),
+    ("MPL-2.0", ("mpl2.title",)),
+    ("EPL-2.0", ("epl2.title",)),
+    ("EPL-2.0", ("epl2.spdx",)),
+    ("Zlib", ("zlib.origin", "zlib.altered")),
+    ("Zlib", ("zlib.spdx",)),
+    ("CC-BY-SA-4.0", ("ccbysa4.title",)),
+    ("CC-BY-SA-4.0", ("ccbysa4.spdx",)),
+    ("CC-BY-NC-4.0", ("ccbync4.title",)),
+    ("CC-BY-4.0", ("ccby4.title",)),
+    ("CC-BY-4.0", ("ccby4.spdx",)),
+    ("CC-BY-3.0", ("ccby3.title",)),
+    ("LGPL-2.1-only", ("lgpl21only.spdx",)),
+    ("LGPL-3.0-only", ("lgpl3only.spdx",)),
     ("all-rights-reserved", ("reserved",)),
 )
 #: Each known sentence holds one of these, so a line without them holds no known sentence.
-HINTS = r"(?i)licen[cs]|copyright|reserved|redistribut|permission|warrant|software|version [23]|copy of|cc0|public domain"
+HINTS = r"(?i)licen[cs]|copyright|reserved|redistribut|permission|warrant|software|version [23]|copy of|cc0|public domain|creative commons"
 
 
 #: Between two words of a clause: a blank, a line's end, or a stop inside a line; never an empty line.
 GAP = r"[ \n|]"
 #: Known sentences that count only as a whole one; all others count as parts of a sentence.
-WHOLE = ("all rights reserved", "copyright")
+WHOLE = ("all rights reserved", "copyright", "mit license")
+#: "3.0+" stands for "3.0 or later".
+PLUS = r"(licen[cs]e-identifier:\s*[a-z0-9.-]*[0-9])\+"
 #: Sentences that are turned round by a word before, or by what follows.
 NOT_BEFORE = {"ref": r"(?<!\bnot[ \n]|\bn t[ \n]|\bt[ \n]|\bnever[ \n])"}
 NOT_AFTER = {"gpl3.ref": rf"(?!{GAP}or{GAP})", "spdx": rf"(?=$|[\n|]|{GAP}(?:or|and){GAP})"}
@@ -160,7 +215,7 @@ def spaced(text: str) -> str:
 
 def prepared(text: Column) -> Column:
     """Lower case; letters and digits, single blanks, a | for each stop inside a line, and line ends."""
-    plain = F.regexp_replace(F.lower(text), r"[^a-z0-9\n.!?;: \t]", "_")
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), PLUS, "$1 or later"), r"[^a-z0-9\n.!?;: \t]", "_")
     plain = F.regexp_replace(plain, r"(?<=[.!?;:])[ \t]+", "|")
     plain = F.regexp_replace(plain, r"[^a-z0-9\n|]+", " ")
     return F.trim(F.regexp_replace(plain, r" *([\n|]) *", "$1"))
@@ -228,7 +283,7 @@ def oracle() -> str:
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
 cut AS (SELECT doc_id, line, string_split(regexp_replace(t, '([.!?;:])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS s FROM lines WHERE regexp_matches(t, '{HINTS}')),
 each AS (SELECT doc_id, line, unnest(s) AS s, generate_subscripts(s, 1) AS pos FROM cut),
-plain AS (SELECT doc_id, line, pos, regexp_replace(regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), '^copyright( c)? [0-9].*$', 'copyright'), ' https? .*$', '') AS s FROM each),
+plain AS (SELECT doc_id, line, pos, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(s), '^(.*[0-9])\+$', '\1 or later'), '[^a-z0-9]+', ' ', 'g')), '^copyright( c)? [0-9].*$', 'copyright'), ' https? .*$', '') AS s FROM each),
 ids AS (SELECT doc_id, line, pos, id FROM (SELECT *, CASE s {case} END AS id FROM plain) WHERE id IS NOT NULL),
 {", ".join(steps)},
 named AS (SELECT doc_id, array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(list_filter([{", ".join(names)}], lambda x: x IS NOT NULL), lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END), ',') AS licences FROM r{len(RULES)}),

@@ -5,7 +5,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
-from evalloom.llm import chat, gam, line_rules, mixing, simhash, topk
+from evalloom.llm import chat, gam, licenses, line_rules, mixing, simhash, topk
 
 
 def test_roles_with_a_line_end(spark):
@@ -128,3 +128,26 @@ def test_memory_of_the_query_side():
     got = {(int(q), int(b)) for who, at, _ in few.sends(x[:500]) for q, b in zip(who, at, strict=True)}
     _, need = few.bounds(space.to_pivots(x[:500], False))
     assert got == {(int(q), int(b)) for q, g in zip(*np.nonzero(need), strict=True) for b in range(few.starts[g], few.starts[g + 1])}
+
+
+LICENCES = [
+    ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE"),
+    ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007"),
+    ("GPL-2.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n"),
+    ("LGPL-3.0", "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007"),
+    ("AGPL-3.0", "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0\n\n    THE ACCOMPANYING PROGRAM"), ("Apache-2.0", "Licensed under Apache 2.0"),
+    ("Apache-2.0,MIT", "Licensed under either of Apache License, Version 2.0 or MIT license at your option."),
+    ("GPL-3.0-or-later", "Distributed under the GNU General Public License version 3 or later."),
+    ("Zlib", "1. The origin of this software must not be misrepresented; you must not claim that you wrote it.\n\n2. Altered source versions must be plainly marked as such, and must not be\n   misrepresented as being the original software."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-3.0", "Available as Creative Commons Attribution 3.0 Unported, see the site."), ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 A"), ("MIT", "MIT License\n\nCopyright (c) 2020 A"),
+    ("GPL-3.0-or-later", "// SPDX-License-Identifier: GPL-3.0+"), ("GPL-3.0-only", "# SPDX-License-Identifier: GPL-3.0"), ("LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-only"),
+    ("", "We do not use the MIT licensed parts, nor general public transport version 3."), ("", "It is not licensed under Apache 2.0."),
+]
+
+
+def test_licence_titles_and_statements(spark):
+    out = licenses.scan(spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(LICENCES)], "i int, want string, text string")).orderBy("i").collect()
+    assert [(r.i, ",".join(x for x in r._lic_names)) for r in out] == [(r.i, r.want) for r in out]
