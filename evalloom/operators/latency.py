@@ -41,6 +41,18 @@ def samples_in_intervals(intervals: DataFrame, samples: DataFrame, bin_us: int,
 ORDER = ["us", "event_id"]
 
 
+def phase_intervals(events: DataFrame, keys: list[str], opens: Column, longest_us: int) -> DataFrame:
+    """(keys, t0, t1, closed) from open and close events (us): a phase ends with the next event of its keys, a close (closed) or an open, or after
+    longest_us. A close that comes first, or after a close, is left out; at one time closes come before opens."""
+    told = events.select(*keys, F.col("us").alias("t0"), opens.alias("_opens"), (-F.col("us")).alias("_back"), F.when(opens, 0).otherwise(1).alias("_kind"))
+    told = told.withColumn("_tie", F.struct("_kind", F.monotonically_increasing_id().alias("_id")))
+    after = ordered.previous(F.struct(F.col("t0").alias("us"), F.col("_opens").alias("opens")))  # backwards, so what comes next
+    met = ordered.folded(told, keys, ["_back", "_tie"], {"_next": after}).where("_opens")
+    end = F.col("t0") + longest_us
+    in_time = F.coalesce(F.col("_next.us") <= end, F.lit(False))
+    return met.select(*keys, "t0", F.when(in_time, F.col("_next.us")).otherwise(end).alias("t1"), (in_time & ~F.coalesce("_next.opens", F.lit(True))).alias("closed"))
+
+
 def first_bad(rows: DataFrame) -> DataFrame:
     """Per server, by time: valid timed requests before the first invalid one, and valid ones after it (-1: none bad)."""
     bad = F.coalesce(~F.col("valid"), F.lit(False))

@@ -7,7 +7,7 @@ what precedes a segment is carried into it as one row in front: the log itself i
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,6 +25,7 @@ class Fold:
     earlier: Callable[[Column], Column]
     own: Callable[[Column], Column]
     both: Callable[[Column, Column], Column]
+    upto: int = 0  # own takes rows up to this one (0) or to the one before (-1)
 
 
 def running(value: Column) -> Fold:
@@ -39,6 +40,11 @@ def latest(value: Column) -> Fold:
     return Fold(value, lambda v, order: F.max_by(v, F.when(v.isNotNull(), order)), last, last, lambda e, o: F.coalesce(o, e))
 
 
+def previous(value: Column) -> Fold:
+    """The last value that is not null of the rows before the row."""
+    return replace(latest(value), upto=-1)
+
+
 def segmented(rows: DataFrame, order: str, per: int | None = None) -> DataFrame:
     """rows with `_segment`, by ranges of a numeric column; as many as the counted rows ask for. Nulls come first."""
     return rows.withColumn("_segment", F.when(F.col(order).isNull(), 0).otherwise(range_of(F.col(order), cuts_of(rows, order, per))))
@@ -52,8 +58,9 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], folds: dict[str,
     before = W.partitionBy(*keys).orderBy("_segment").rowsBetween(W.unboundedPreceding, -1)  # MOST rows a group
     carried = parts.select(*keys, "_segment", *[f.earlier(F.col(f"_e_{n}")).over(before).alias(f"_e_{n}") for n, f in folds.items()], F.lit(False).alias("_is_row"))
     both = cut.withColumns({"_is_row": F.lit(True)} | {f"_v_{n}": f.value for n, f in folds.items()}).unionByName(carried, allowMissingColumns=True)
-    upto = W.partitionBy(*keys, "_segment").orderBy("_is_row", *order).rowsBetween(W.unboundedPreceding, 0)
-    out = both.select("*", *[f.both(F.first(f"_e_{n}", ignorenulls=True).over(upto), f.own(F.col(f"_v_{n}")).over(upto)).alias(n) for n, f in folds.items()])
+    inside = W.partitionBy(*keys, "_segment").orderBy("_is_row", *order)
+    upto = lambda end: inside.rowsBetween(W.unboundedPreceding, end)
+    out = both.select("*", *[f.both(F.first(f"_e_{n}", ignorenulls=True).over(upto(0)), f.own(F.col(f"_v_{n}")).over(upto(f.upto))).alias(n) for n, f in folds.items()])
     return out.where("_is_row").select(*rows.columns, *folds)
 
 

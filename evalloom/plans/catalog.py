@@ -353,6 +353,15 @@ def carry_forward(spark, d):
     return ordered.folded(requests(spark, d), ["server_id"], latency.ORDER, {"section": section}).select("event_id", "section")
 
 
+@register(f"""WITH {REQUESTS}, q AS (SELECT server_id, us, event_type = 'signup' AS opens FROM r WHERE event_type IN ('signup', 'purchase')),
+n AS (SELECT *, lead(us) OVER w AS nu, lead(opens) OVER w AS no FROM q WINDOW w AS (PARTITION BY server_id ORDER BY us, opens))
+SELECT server_id, us AS t0, CASE WHEN nu <= us + 86400000000 THEN nu ELSE us + 86400000000 END AS t1, coalesce(nu <= us + 86400000000 AND NOT no, false) AS closed FROM n WHERE opens""")
+def phase_intervals(spark, d):
+    """Intervals from open and close events (here signups and purchases), a day at most."""
+    q = requests(spark, d).where("event_type in ('signup', 'purchase')")
+    return latency.phase_intervals(q, ["server_id"], F.col("event_type") == "signup", 86_400_000_000)
+
+
 RESTART_EVERY = 50
 
 

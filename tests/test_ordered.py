@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 from evalloom.functions import stats, text
-from evalloom.operators import latency, ordered, paired, preflight
+from evalloom.operators import latency, ordered, paired, preflight, ranks
 from evalloom.sources import ranges, results
 from pyspark.sql import functions as F
 
@@ -177,3 +177,20 @@ def test_latency_points_and_settings(spark, tmp_path):
     assert len(old) == 18 and (old["mmproj_sha256"], old["model_sha256"], old["max_tokens"]) == ("h", None, 16)
     new = old | {"data_sha256": "bb", "model_sha256": "z"}
     assert spark.range(1).select(scoring.fingerprint_diff(scoring.fingerprint(old), scoring.fingerprint(new)).alias("d")).first().d == ["data_sha256: aa -> bb", "model_sha256: null -> z"]
+
+
+@pytest.mark.parametrize("per", [20, 10**6])
+def test_phase_intervals_equal_a_loop(spark, per, monkeypatch):
+    monkeypatch.setattr(ranks, "ROWS", per)
+    rng = random.Random(7)
+    rows = [(rng.choice("ab") if i % 3 else None, rng.randrange(400), rng.random() < 0.5) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, us long, opens boolean").repartition(4)
+    want = []
+    for key in ("a", "b", None):
+        own = sorted((us, opens) for k, us, opens in rows if k == key)
+        for (us, opens), following in zip(own, [*own[1:], None], strict=True):
+            if opens:
+                in_time = following is not None and following[0] <= us + 5
+                want.append((key, us, following[0] if in_time else us + 5, in_time and not following[1]))
+    got = [tuple(r) for r in latency.phase_intervals(df, ["key"], F.col("opens"), 5).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
