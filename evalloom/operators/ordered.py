@@ -66,16 +66,23 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], folds: dict[str,
 
 def restart_counter(rows: DataFrame, keys: list[str], order: list[str], reset: Column, dead: Column, every: int, per: int | None = None) -> DataFrame:
     """rows with since_restart (rows since the last restart, this one included), block (restarts before it) and restarts_in_block (the dead rows
-    of its block so far). A row with `reset` comes right behind a restart; without one there is a restart after `every` rows."""
+    of its block so far). A row with `reset` comes right behind a restart; without one there is a restart after `every` rows, never if that is 0."""
     cut = segmented(rows, order[0], per)
     names = [*rows.columns, "_segment"]
     n = folded(cut, keys, order, {"_n": running(F.lit(1))})
     first = folded(n, keys, order, {"_first": latest(F.when(reset, F.col("_n")))})
-    since = (F.col("_n") - F.coalesce("_first", F.lit(1))) % every + 1
+    place = F.col("_n") - F.coalesce("_first", F.lit(1))
+    since = (place % every if every > 0 else place) + 1
     begun = first.withColumn("since_restart", since.cast("long")).select(*names, "_n", "since_restart")
     blocks = folded(begun, keys, order, {"block": running(((F.col("since_restart") == 1) & (F.col("_n") > 1)).cast("long"))})
-    upto = W.partitionBy(*keys, "block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)  # `every` rows at most
-    return blocks.withColumn("restarts_in_block", F.sum(dead.cast("long")).over(upto)).drop("_n", "_segment")
+    told = dead.cast("long")
+    if every > 0:
+        upto = W.partitionBy(*keys, "block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)  # `every` rows at most
+        return blocks.withColumn("restarts_in_block", F.sum(told).over(upto)).drop("_n", "_segment")
+    deaths = folded(blocks, keys, order, {"_deaths": running(told)})  # a block may be a whole group
+    begin = latest(F.when(F.col("since_restart") == 1, F.col("_deaths") - F.coalesce(told, F.lit(0))))
+    out = folded(deaths, keys, order, {"_begin": begin})
+    return out.withColumn("restarts_in_block", F.col("_deaths") - F.col("_begin")).drop("_n", "_segment", "_deaths", "_begin")
 
 
 def ends(rows: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:

@@ -80,7 +80,7 @@ class Restarts(StatefulProcessor):
                 out.append((row, None, None, None, True))
                 continue
             last = (t, i)
-            if since and (reset or since >= self.every):
+            if since and (reset or 0 < self.every <= since):
                 since, block, deaths = 0, block + 1, 0
             since, deaths = since + 1, deaths + bool(dead)
             out.append((row, since, block, deaths, False))

@@ -51,15 +51,15 @@ def test_no_task_holds_a_server(log):
     assert ordered.segmented(df, "us", 60).groupBy("server_id", "_segment").count().agg(F.max("count")).first()[0] <= 120
 
 
-@pytest.mark.parametrize("per", [50, 10**6])
-def test_restart_counter_equals_a_loop(log, per):
+@pytest.mark.parametrize(("per", "every"), [(50, 20), (10**6, 20), (50, 0)])
+def test_restart_counter_equals_a_loop(log, per, every):
     df, rows = log
-    out = ordered.restart_counter(df, ["server_id"], latency.ORDER, F.col("event_id") % 31 == 0, ~F.col("valid"), 20, per)
+    out = ordered.restart_counter(df, ["server_id"], latency.ORDER, F.col("event_id") % 31 == 0, ~F.col("valid"), every, per)
     want = {}
     for group in in_order(rows).values():
         since, block, deaths = 0, 0, 0
         for r in group:
-            if since and (r[2] % 31 == 0 or since >= 20):
+            if since and (r[2] % 31 == 0 or 0 < every <= since):
                 since, block, deaths = 0, block + 1, 0
             since, deaths = since + 1, deaths + (not r[3])
             want[r[2]] = (since, block, deaths)
