@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalloom.functions import scoring, text
-from evalloom.operators import latency, metrics, paired
+from evalloom.operators import latency, ordered, metrics, paired
 from evalloom.plans.catalog import register
 from evalloom.plans.workload import REQUESTS, requests, table
 
@@ -223,12 +223,17 @@ def sample_with_warmups(spark, d):
     return first.select("o_orderkey", n.alias("place")).withColumn("part", F.when(F.col("place") <= 40, "timed").otherwise("warmup"))
 
 
-@register("WITH s AS (SELECT p_partkey AS pos, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part WHERE p_partkey < 9) SELECT CASE WHEN i < 3 THEN 'warmup' ELSE 'timed' END AS phase, CAST(CASE WHEN i < 3 THEN i ELSE i - 3 END AS INT) AS k, pos FROM s")
+WARMUPS = 3
+
+
+@register(f"""WITH s AS (SELECT p_brand AS dataset, p_partkey AS pos, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, CASE WHEN p_brand = 'Brand#11' THEN 1 ELSE {WARMUPS} END AS w FROM part)
+SELECT dataset, CASE WHEN i < w THEN 'warmup' ELSE 'timed' END AS phase, CAST(CASE WHEN i < w THEN i ELSE i - w END AS BIGINT) AS k, pos FROM s""")
 def job_list(spark, d):
-    """Warm-ups, then the timed records, each numbered in its phase."""
-    whole = table(spark, d, "part").where("p_partkey < 9").agg(F.array_sort(F.collect_list("p_partkey")).alias("p"))  # nine positions
-    jobs = [whole.select(F.lit(phase).alias("phase"), F.posexplode(F.slice("p", lo, n)).alias("k", "pos")) for phase, lo, n in (("warmup", 1, 3), ("timed", 4, 6))]
-    return jobs[0].union(jobs[1])
+    """Each dataset's warm-ups (fewer in one of them), then its timed records, numbered in their phase."""
+    part = table(spark, d, "part").select(F.col("p_brand").alias("dataset"), F.col("p_partkey").alias("pos"))
+    n = ordered.folded(part, ["dataset"], ["pos"], {"n": ordered.running(F.lit(1).cast("long"))})
+    i, w = F.col("n") - 1, F.when(F.col("dataset") == "Brand#11", 1).otherwise(WARMUPS)
+    return n.select("dataset", F.when(i < w, "warmup").otherwise("timed").alias("phase"), F.when(i < w, i).otherwise(i - w).alias("k"), "pos")
 
 
 REGISTRY = ((2, "F16", "mmproj-F16"), (5, "Q8", "mmproj-Q8_0"), (8, "Q4", "mmproj-Q4_0"), (9, "Q6", "mmproj-Q6_K"))
